@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.address import same_location
+from cairn.llm.canonical import map_entries, unmatched
 from cairn.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return map_entries(table(spark, d, "intake"), table(spark, d, "canon"))
+
+
+def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return unmatched(table(spark, d, "intake"), table(spark, d, "canon"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return same_location(table(spark, d, "x"), table(spark, d, "taf"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found,)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p4_found)}
 
 SQL: dict[str, str] = {}
