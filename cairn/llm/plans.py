@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.address import same_location
 from cairn.llm.canonical import map_entries, unmatched
+from cairn.llm.entity import match_entities
 from cairn.sources.tables import table
 
 
@@ -17,10 +18,14 @@ def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return unmatched(table(spark, d, "intake"), table(spark, d, "canon"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return match_entities(table(spark, d, "sites"), table(spark, d, "nad")).select("site_id", "uuid")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return same_location(table(spark, d, "x"), table(spark, d, "taf"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p4_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p4_found)}
 
 SQL: dict[str, str] = {}
