@@ -19,7 +19,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cairn.functions.dicts import dictionary
 from cairn.session import materialize, require
@@ -53,29 +52,6 @@ def clean_zip(c: Column) -> Column:
     return F.when(z.rlike(r"^[0-9]{5}(-?[0-9]{4})?$"), F.substring(z, 1, 5)).when(z.rlike(r"^[0-9]{4}$"), F.concat(F.lit("0"), z)).otherwise(z)
 
 
-def neighbourhood(c: Column) -> Column:
-    """The text and all texts with one character deleted."""
-    return F.when(F.length(c) < 2, F.array(c)).otherwise(
-        F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.expr("''"), F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.lit(1000))))))
-    )
-
-
-def slip_cost(a: Column, b: Column) -> Column:
-    """0 for equal texts, about 1 for one slip of the pen, 2 for two (long texts
-    only), NULL beyond. Neighbouring letters exchanged and a letter doubled are
-    the likelier slips."""
-    d = F.levenshtein(a, b, 2)
-    once = lambda c: F.regexp_replace(c, r"(.)\1", "$1")
-    apart = F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y), lambda x: x))
-    letters = lambda c: F.array_sort(F.split(c, ""))
-    return (
-        F.when(a == b, 0.0)
-        .when(d == 1, F.when(once(a) == once(b), 0.95).otherwise(1.0))
-        .when((d == 2) & (F.length(a) == F.length(b)) & (letters(a) == letters(b)) & (apart == 2), 0.95)
-        .when((d == 2) & (F.least(F.length(a), F.length(b)) >= 8), 2.0)
-    )
-
-
 _TYPES = {k: v.lower() for k, v in dictionary("post_type").items() if " " not in k}
 _FULL = {v: k for k, v in reversed(_TYPES.items()) if k != v}
 _WAYS = {k.replace(".", "").replace("-", " "): v.lower() for k, v in dictionary("direction").items()}
@@ -183,65 +159,178 @@ def _parsed(df: DataFrame, extra: str) -> DataFrame:
     return df.mapInPandas(run, f"{extra}, {', '.join(f'{c} string' for c in _COMPONENTS)}")
 
 
-def _keyed_names(df: DataFrame, kept: list[str], several: bool) -> DataFrame:
-    """One row for each reading (``several``) and key ``k`` of the name."""
-    types = dict(df.dtypes)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            at, rows, keys = [], [], []
-            for i, p in enumerate(zip(*(b[c] for c in _COMPONENTS))):
-                for r in readings(p) if several else [p]:
-                    at.append(i)
-                    rows.append(r)
-                    keys.append(name_keys(r[3]))
-            out = b[kept].iloc[at].reset_index(drop=True)
-            yield pd.concat([out, pd.DataFrame(rows, columns=list(_COMPONENTS), dtype=object), pd.Series(keys, name="keys", dtype=object)], axis=1)
-
-    form = ", ".join([*(f"{c} {types[c]}" for c in kept), *(f"{c} string" for c in _COMPONENTS), "keys array<string>"])
-    return df.mapInPandas(run, form).withColumn("k", F.explode("keys")).drop("keys")
-
-
 def street_list(ranges: DataFrame) -> DataFrame:
-    """One row for each street of the reference list: ``street_id``, ZIP,
-    components, lowest and highest number."""
+    """One row for each street of the reference list: ``zip``, components,
+    lowest and highest number."""
     distinct = ranges.where("zip is not null").groupBy("zip", *STREET).agg(F.min(F.least("fromhn", "tohn")).alias("low"), F.max(F.greatest("fromhn", "tohn")).alias("high"))
-    parsed = _parsed(distinct, "zip string, low int, high int").where("name <> ''").groupBy("zip", *_COMPONENTS).agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    return parsed.withColumn("street_id", F.xxhash64("zip", *_COMPONENTS))
-
-
-def _component_cost() -> Column:
-    """Cost of reading a form (``pd, pm, pt, po, sd``) as a street (``r_*``)."""
-    c = F.col
-    crossed = (c("pd") == c("r_sd")) & (c("sd") == c("r_pd"))
-    way = F.when((c("pd") == c("r_pd")) & (c("sd") == c("r_sd")), 0.0).when(crossed, 0.5).when((c("pd") == "") & (c("sd") == ""), 1.0).when((c("r_pd") == "") & (c("r_sd") == ""), 3.0).otherwise(5.0)
-    written = F.substring(c("po"), 2, 100)
-    kind = (
-        F.when(c("po") == c("r_po"), 0.0)
-        .when(c("po") == "", 1.0)
-        .when(c("po").startswith("??"), F.when(c("r_po") != "", 1.6))
-        .when(c("po").startswith("?") & (c("r_po") != "") & F.when(F.length(written) >= 5, F.levenshtein(written, c("r_full")) <= 2).otherwise((F.levenshtein(written, c("r_full")) <= 1) | (F.levenshtein(written, c("r_po")) <= 1)), 0.4)
-        .when(c("po").startswith("?"), 2.0)
-        .when(c("r_po") == "", 3.0)
-        .otherwise(2.5)
-    )
-    pre = F.when(c("pt") == c("r_pt"), 0.0).when(c("pt") == "", 1.0).otherwise(5.0)
-    old = F.when(c("pm") == c("r_pm"), 0.0).when(c("pm") == "", 0.7).otherwise(2.0)
-    return way + kind + pre + old
-
-
-def _best(candidates: DataFrame, margin: float) -> DataFrame:
-    """For each form the readings whose cost is within ``margin`` of the least."""
-    least = F.min("cost").over(Window.partitionBy("h1", "h2"))
-    return candidates.withColumn("least", least).where(F.col("cost") < F.col("least") + margin).drop("least")
+    parsed = _parsed(distinct, "zip string, low int, high int").where("name <> ''")
+    return parsed.groupBy("zip", *_COMPONENTS).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def _place_word(text: str | None) -> str:
+    """Letters and digits of a place name, usual short words written out."""
+    return "".join(_PLACES.get(w, w) for w in _plain(text).split())
+
+
+def _slips(a: str, b: str, most: int) -> int:
+    """Alignment distance (an exchange of neighbours counts one), ``most`` if it is that or more."""
+    if a == b:
+        return 0
+    if abs(len(a) - len(b)) >= most:
+        return most
+    before, last = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            v = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                v = min(v, before[j - 2] + 1)
+            row.append(v)
+        before, last = last, row
+    return min(last[-1], most)
+
+
+def _name_cost(a: str, b: str) -> float:
+    """0 for equal names, about 1 for one slip of the pen, 2 for two (long names
+    only), 9 beyond. A letter doubled or exchanged with its neighbour is the
+    likelier slip. A lost space is one slip at most."""
+    if a == b:
+        return 0.0
+    s, t = a.replace(" ", ""), b.replace(" ", "")
+    d = _slips(s, t, 3)
+    if d == 0:
+        return 0.1
+    if d == 1:
+        likely = len(s) == len(t) and sorted(s) == sorted(t) or _DOUBLED.sub(r"\1", s) == _DOUBLED.sub(r"\1", t)
+        return 0.95 if likely else 1.0
+    return 2.0 if d == 2 and min(len(s), len(t)) >= 8 else 9.0
+
+
+def component_cost(p: tuple, r: tuple) -> float:
+    """Cost of reading a parse ``p`` as the street ``r``, names aside."""
+    pd_, pm, pt, _, po, sd = p
+    rpd, rpm, rpt, _, rpo, rsd = r
+    if (pd_, sd) == (rpd, rsd):
+        cost = 0.0
+    elif (pd_, sd) == (rsd, rpd):
+        cost = 0.5
+    elif not pd_ and not sd:
+        cost = 1.0
+    else:
+        cost = 3.0 if not rpd and not rsd else 5.0
+    if po != rpo:
+        if not po:
+            cost += 1.0
+        elif po.startswith("??"):
+            cost += 1.6 if rpo else 9.0
+        elif po.startswith("?"):
+            word, full = po[1:], _FULL.get(rpo, rpo)
+            near = bool(rpo) and (_slips(word, full, 3) <= 2 if len(word) >= 5 else _slips(word, full, 2) <= 1 or _slips(word, rpo, 2) <= 1)
+            cost += 0.4 if near else 2.0
+        else:
+            cost += 2.5 if rpo else 3.0
+    if pt != rpt:
+        cost += 5.0 if pt else 1.0
+    if pm != rpm:
+        cost += 2.0 if pm else 0.7
+    return cost
+
+
+class StreetIndex:
+    """Deletion-neighbourhood index over the streets of one block."""
+
+    def __init__(self, streets: pd.DataFrame):
+        self.rows = list(zip(*(streets[c] for c in _COMPONENTS)))
+        self.ids, self.low, self.high = (streets[c].tolist() for c in ("street_id", "low", "high"))
+        self.keys: dict[str, list[int]] = {}
+        for i, r in enumerate(self.rows):
+            for k in name_keys(r[3]):
+                self.keys.setdefault(k, []).append(i)
+        self.exact: dict[str, list[int]] = {}
+        for i, r in enumerate(self.rows):
+            self.exact.setdefault(r[3], []).append(i)
+        self.memo: dict[tuple, list[tuple[float, int]]] = {}
+
+    def candidates(self, parsed: tuple, slips: bool) -> list[tuple[float, int]]:
+        """(cost, position) of the streets that the parse may mean; with
+        ``slips`` also those with a misspelt name, type or direction."""
+        at = (parsed, slips)
+        if at not in self.memo:
+            if not slips:
+                found = [(component_cost(parsed, self.rows[i]), i) for i in self.exact.get(parsed[3], ())]
+            else:
+                best: dict[int, float] = {}
+                for p in readings(parsed):
+                    for i in {i for k in name_keys(p[3]) for i in self.keys.get(k, ())}:
+                        c = component_cost(p, self.rows[i]) + _name_cost(p[3], self.rows[i][3])
+                        if c < best.get(i, 9.0):
+                            best[i] = c
+                found = [(c, i) for i, c in best.items() if c <= LIMIT]
+            self.memo[at] = found
+        return self.memo[at]
+
+    def off(self, number: int, i: int) -> float:
+        """What a number outside the ranges of a street costs."""
+        low, high = self.low[i], self.high[i]
+        return 0.0 if low is not None and low == low and low <= number <= high else MARGIN
+
+
+def _digits(number: str) -> int:
+    d = number.split("|")[1]
+    return int(d) if d.isdigit() and len(d) < 10 else -1
+
+
+def _own_block(rows: pd.DataFrame, streets: pd.DataFrame) -> pd.DataFrame:
+    """First pass, inside the ZIP as written: takes only what is plain."""
+    index, parses, out = StreetIndex(streets), {}, []
+    town = streets["r_place"].iloc[0] if len(streets) else None
+    places: dict[str, bool] = {}
+    for x, number, place, *parts in zip(rows["x_id"], rows["number"], rows["place_name"], *(rows[c] for c in STREET)):
+        parts = tuple(parts)
+        if parts not in parses:
+            parses[parts] = parse_street(list(parts))
+        parsed, chosen = parses[parts], None
+        if place not in places:
+            word = _place_word(place)
+            places[place] = not word or not town or _slips(word, town, 4) <= 3
+        if places[place] and parsed[3]:
+            digits = _digits(number)
+            for slips in (False, True):
+                ranked = sorted((c + index.off(digits, i), i) for c, i in index.candidates(parsed, slips))
+                if ranked and ranked[0][0] <= (1.0 + MARGIN if not slips else 1.4) and (len(ranked) == 1 or ranked[1][0] > ranked[0][0]):
+                    chosen = index.ids[ranked[0][1]]
+                    break
+                if ranked and not slips and ranked[0][0] <= 1.0:
+                    break  # tied between streets of just this name
+        out.append((x, number, chosen, "" if chosen is not None else place) + (("",) * 6 if chosen is not None else parsed))
+    return pd.DataFrame(out, columns=["x_id", "number", "street_id", "place_name", *_COMPONENTS])
+
+
+def _any_block(rows: pd.DataFrame, streets: pd.DataFrame) -> pd.DataFrame:
+    """Second pass, in one block of several: the best reading and the runner-up's cost."""
+    index, out = StreetIndex(streets), []
+    town = streets["r_place"].iloc[0] if len(streets) else None
+    block = streets["zip"].iloc[0] if len(streets) else ""
+    for x, number, z, place, *parsed in zip(rows["x_id"], rows["number"], rows["zip"], rows["place"], *(rows[c] for c in _COMPONENTS)):
+        at = 0.0 if z == block else 0.3 if not z else 0.4 if _slips(z, block, 3) <= 2 else 0.8
+        away = 0.0 if place == town else 0.2 if not place or not town else 0.1 if _slips(place, town, 4) <= 3 else 1.0
+        far = 3.0 if at >= 0.8 and away >= 1.0 else 0.0
+        digits = _digits(number)
+        ranked = sorted((c + index.off(digits, i) + at + away + far, index.ids[i]) for c, i in index.candidates(tuple(parsed), True))
+        ranked = [r for r in ranked if r[0] <= LIMIT + MARGIN]
+        if ranked:
+            tied = len(ranked) > 1 and ranked[1][0] <= ranked[0][0]
+            out.append((x, number, z, place, *parsed, round(ranked[0][0], 6), None if tied else ranked[0][1]))
+    return pd.DataFrame(out, columns=["x_id", "number", "zip", "place", *_COMPONENTS, "cost", "street_id"])
 
 
 MARGIN = 0.8  # what a number outside the ranges of a street costs
 LIMIT = 3.6
+GROUP_ROWS = 40_000  # rows that one task looks up at a time
 
 
 def resolve(records: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``x_id`` and ``location``, a text that is equal for records of one place.
+    """``x_id, street, number``: records of one place agree in the last two.
 
     ``records`` has ``x_id``, the number parts, the street parts, ``place_name``
     and ``place_zipcode``; ``ranges`` is the list of streets (``zip``, street
@@ -250,85 +339,93 @@ def resolve(records: DataFrame, ranges: DataFrame) -> DataFrame:
     as a street of its own, in its normalised writing. NULL and ``""`` mean the
     same here, repeated records come out once for each different location, an
     empty table gives an empty result, and extra columns are ignored.
+
+    Rows of one ZIP are looked up together, a busy ZIP in several groups, each
+    with its own copy of the ZIP's streets.
     """
     require(records, "x_id", "number_prefix", "number_digits", "number_suffix", *STREET, "place_name", "place_zipcode")
     require(ranges, "zip", "fromhn", "tohn", *STREET)
-    streets = materialize(street_list(ranges), "streets")
-    fields = [*STREET, "place_name", "place_zipcode"]
-    given = [F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))).alias(c) for c in fields]
+    kind = dict(records.dtypes)["x_id"]
+    given = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in (*STREET, "place_name")]
     mark = lambda c: F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+", "")
     number = F.concat_ws("|", mark("number_prefix"), F.regexp_replace(mark("number_digits"), "^0+(?=.)", ""), mark("number_suffix"))
-    base = records.where("x_id is not null and trim(number_digits) <> ''").select("x_id", number.alias("number"), F.expr("try_cast(number_digits as int)").alias("digits"), *given)
-    keyed = base.withColumns({"h1": F.xxhash64(*fields), "h2": F.xxhash64(F.lit(1), *fields)})
-    forms = keyed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in fields))
-    forms = forms.withColumns({"zip": clean_zip(F.col("place_zipcode")), "place": _place_words(F.col("place_name"))})
-    forms = materialize(_parsed(forms, "h1 long, h2 long, n long, zip string, place string"), "forms")
-
-    zips = streets.select("zip").distinct()
-    full = F.udf(_FULL.get, "string")  # over the streets only
-    ref = streets.select(F.col("zip").alias("r_zip"), *(F.col(c).alias(f"r_{c}") for c in _COMPONENTS), "low", "high", "street_id", F.coalesce(full("po"), F.col("po")).alias("r_full"))
-    keep = ["h1", "h2", "cost", "street_id", "low", "high"]
-    places = materialize(_places(forms, zips), "places")
-    # a ZIP that belongs to another place than the one written is not taken at its word
-    at_home = forms.where("name <> ''").join(places.withColumnRenamed("place", "r_place"), "zip", "left").where("place = '' or r_place is null or levenshtein(place, r_place, 3) >= 0").drop("r_place")
-    same = [at_home["zip"] == ref["r_zip"], at_home["name"] == ref["r_name"]]
-    plainly = at_home.join(ref, same).withColumn("cost", _component_cost()).where("cost <= 1.0")
-    plainly = materialize(_best(plainly.select(*keep), MARGIN), "plainly")
-
-    where = _zips_of_places(forms.select("place").where("place <> ''").distinct(), places)
-    hard = forms.where("name <> ''").join(plainly.select("h1", "h2").distinct(), ["h1", "h2"], "left_anti").drop("n")
+    base = records.where("x_id is not null and trim(number_digits) <> ''").select("x_id", number.alias("number"), clean_zip(F.col("place_zipcode")).alias("zip"), *given)
+
+    # the usual place of each listed ZIP, and how many groups it needs
+    plain_place = F.regexp_replace(F.lower("place_name"), r"[^\p{L}\p{N}]+", " ")
+    seen = base.groupBy("zip", plain_place.alias("written")).agg(F.count(F.lit(1)).alias("n"))
+    seen = materialize(seen, "places")
+    listed = street_list(ranges)
+    usual = seen.groupBy("zip").agg(F.max(F.when(F.trim("written") != "", F.struct("n", "written"))).alias("m"), F.sum("n").alias("n"))
+    usual = usual.select(F.col("zip"), _place_expr(F.coalesce("m.written", F.lit(""))).alias("r_place"), F.ceil(F.col("n") / F.lit(GROUP_ROWS)).cast("int").alias("groups"))
+    streets = listed.join(usual, "zip", "left").withColumn("groups", F.coalesce("groups", F.lit(1))).withColumn("street_id", F.monotonically_increasing_id())
+    streets = materialize(streets.coalesce(max(1, min(8, streets.rdd.getNumPartitions()))), "streets")
+    zips = streets.groupBy("zip").agg(F.first("groups").alias("groups"), F.first("r_place").alias("r_place"))
+
+    # first pass: inside the ZIP as written
+    own = base.join(zips.select("zip", "groups"), "zip", "left").withColumn("part", F.when(F.col("groups").isNotNull(), F.pmod(F.xxhash64("x_id"), "groups")).otherwise(F.pmod(F.xxhash64("x_id", "zip"), F.lit(64))).cast("int"))
+    block = F.when(F.col("groups").isNotNull(), F.col("zip")).otherwise("")
+    copies = streets.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    form = f"x_id {kind}, number string, street_id long, place_name string, {', '.join(f'{c} string' for c in _COMPONENTS)}, zip string"
+
+    def first(rows: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
+        out = _own_block(rows, ref)
+        out["zip"] = rows["zip"].to_numpy()
+        return out
+
+    looked = own.select("x_id", "number", "zip", "place_name", *STREET, block.alias("block"), "part").groupBy("block", "part").cogroup(copies.withColumnRenamed("zip", "block").groupBy("block", "part")).applyInPandas(first, form)
+    looked = materialize(looked, "looked")
+
+    # second pass: what was not plain, in its ZIP, the ZIPs of its place, and else in ZIPs one slip away
+    hard = looked.where("street_id is null").select("x_id", "number", "zip", _place_expr(F.col("place_name")).alias("place"), *_COMPONENTS).distinct()
     hard = materialize(hard, "hard")
-    own = hard.join(zips.withColumnRenamed("zip", "block"), F.col("zip") == F.col("block"))
-    local = hard.join(where, "place").withColumnRenamed("of_place", "block")
-    blocked = own.select(*hard.columns, "block").unionByName(local.select(*hard.columns, "block")).distinct()
-    # with neither a listed ZIP nor a known place: the listed ZIPs one slip away
-    lost = hard.join(blocked.select("h1", "h2").distinct(), ["h1", "h2"], "left_anti")
-    slips = zips.select(F.col("zip").alias("block"), F.explode(neighbourhood(F.col("zip"))).alias("k"))
-    near = lost.where("zip <> ''").select("*", F.explode(neighbourhood(F.col("zip"))).alias("k")).join(slips, "k").select(*hard.columns, "block").distinct()
-    blocked = blocked.unionByName(near)
-
-    index = _keyed_names(streets.withColumnRenamed("zip", "r_zip"), ["r_zip", "street_id"], False).select(F.col("r_zip").alias("block"), "street_id", "k").distinct()
-    probes = _keyed_names(blocked, ["h1", "h2", "zip", "place", "block"], True)
-    pairs = probes.join(index, ["block", "k"]).drop("k", "block").distinct()
-    pairs = pairs.join(ref, "street_id")
-    pairs = pairs.join(places.select(F.col("zip").alias("r_zip"), F.col("place").alias("r_place")), "r_zip", "left")
-    name = F.least(slip_cost(F.col("name"), F.col("r_name")), slip_cost(F.regexp_replace("name", " ", ""), F.regexp_replace("r_name", " ", "")))
-    at = F.when(F.col("zip") == F.col("r_zip"), 0.0).when(F.col("zip") == "", 0.3).when(F.levenshtein(F.col("zip"), F.col("r_zip"), 2) >= 0, 0.4).otherwise(0.8)
-    town = F.when(F.col("place") == F.col("r_place"), 0.0).when((F.col("place") == "") | F.col("r_place").isNull(), 0.2).when(F.levenshtein("place", "r_place", 3) >= 0, 0.1).otherwise(1.0)
-    far = F.when((at >= 0.8) & (town >= 1.0), 3.0).otherwise(0.0)
-    found = pairs.withColumn("cost", _component_cost() + name + at + town + far).where(F.col("cost") <= LIMIT)
-    readings = plainly.unionByName(_best(found.select(*keep), MARGIN))
-
-    # a number outside the ranges of a street speaks against it
-    bare = keyed.select("x_id", "number", "digits", "h1", "h2").distinct()
-    placed = bare.join(readings, ["h1", "h2"], "left").withColumn("cost", F.col("cost") + F.when(F.col("digits").between(F.col("low"), F.col("high")), 0.0).otherwise(MARGIN))
-    chosen = placed.groupBy("x_id", "number", "h1", "h2").agg(F.min(F.struct("cost", "street_id")).alias("m"), F.max(F.struct(-F.col("cost"), F.col("street_id"))).alias("w"))
-    chosen = chosen.select("x_id", "number", "h1", "h2", F.when(F.col("m.street_id") == F.col("w.street_id"), F.col("m.street_id")).alias("street_id"))
-    settled = chosen.where("street_id is not null").select("x_id", F.concat_ws("|", "number", F.col("street_id").cast("string")).alias("location"))
-    odd = chosen.where("street_id is null").join(forms, ["h1", "h2"]).select("x_id", F.concat_ws("|", "number", "zip", F.when(F.col("zip") == "", F.col("place")).otherwise(""), "pd", "pm", "pt", "name", "po", "sd").alias("location"))
-    return settled.unionByName(odd).distinct()
-
-
-def _place_words(c: Column) -> Column:
-    """Letters and digits of a place name, usual short words written out."""
-    out = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[.'’]", ""), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    for short, long in (("ft", "fort"), ("mt", "mount"), ("st", "saint"), ("n", "north"), ("s", "south"), ("spgs", "springs"), ("hts", "heights"), ("jct", "junction"), ("lndg", "landing")):
+    ways = _blocks(hard.where("name <> ''").select("zip", "place").distinct(), zips.select("zip", "r_place"))
+    blocked = hard.join(materialize(ways, "ways"), ["zip", "place"])
+    sizes = blocked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP_ROWS)).cast("int").alias("groups"))
+    sizes = materialize(sizes, "sizes")
+    spread = blocked.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("x_id"), "groups").cast("int")).drop("groups")
+    copies = streets.drop("groups").withColumnRenamed("zip", "block").join(sizes, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("zip", F.col("block"))
+    form = f"x_id {kind}, number string, zip string, place string, {', '.join(f'{c} string' for c in _COMPONENTS)}, cost double, street_id long"
+    read = spread.groupBy("block", "part").cogroup(copies.groupBy("block", "part")).applyInPandas(_any_block, form)
+    whole = ["x_id", "number", "zip", "place", *_COMPONENTS]
+    tied = F.struct("cost", F.coalesce("street_id", F.lit(-1)).alias("street_id"))
+    best = read.groupBy(*whole).agg(F.min(tied).alias("m"), F.max(F.struct(-F.col("cost"), F.coalesce("street_id", F.lit(-1)).alias("street_id"))).alias("w"))
+    best = best.select(*whole, F.when((F.col("m.street_id") >= 0) & (F.col("m.street_id") == F.col("w.street_id")), F.col("m.street_id")).alias("street_id"))
+    late = hard.join(best, whole, "left")
+    text = F.concat_ws("|", "zip", F.when(F.col("zip") == "", F.col("place")).otherwise(""), *_COMPONENTS)
+    settled = looked.where("street_id is not null").select("x_id", F.col("street_id").cast("string").alias("street"), "number")
+    return settled.unionByName(late.select("x_id", F.coalesce(F.col("street_id").cast("string"), text).alias("street"), "number"))
+
+
+_PLACES = {"ft": "fort", "mt": "mount", "st": "saint", "n": "north", "s": "south", "spgs": "springs", "hts": "heights", "jct": "junction", "lndg": "landing"}
+_DOUBLED = re.compile(r"(.)\1")
+
+
+def _place_expr(c: Column) -> Column:
+    """``_place_word`` as an expression."""
+    out = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(F.lower(c), r"[.'’]", ""), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    for short, long in _PLACES.items():
         out = F.replace(out, F.lit(f" {short} "), F.lit(f" {long} "))
     return F.replace(out, F.lit(" "), F.lit(""))
 
 
-def _places(forms: DataFrame, zips: DataFrame) -> DataFrame:
-    """The usual place of each listed ZIP: ``zip, place``."""
-    seen = forms.where("place <> ''").join(zips, "zip", "left_semi").groupBy("zip", "place").agg(F.sum("n").alias("n"))
-    return seen.groupBy("zip").agg(F.max(F.struct("n", "place")).alias("m")).select("zip", "m.place")
+def _neighbours(c: str) -> Column:
+    """The text of a column and all texts with one character deleted."""
+    return F.expr(f"CASE WHEN length({c}) < 2 THEN array({c}) ELSE array_distinct(concat(array({c}), transform(sequence(1, length({c})), i -> concat(substr({c}, 1, i - 1), substr({c}, i + 1))))) END")
 
 
-def _zips_of_places(written: DataFrame, places: DataFrame) -> DataFrame:
-    """``place, of_place``: the ZIPs of the place that was meant."""
-    known = places.select(F.col("place").alias("known"), F.col("zip").alias("of_place"))
-    index = known.select("*", F.explode(neighbourhood(F.col("known"))).alias("k"))
-    probes = written.select("place", F.explode(neighbourhood(F.col("place"))).alias("k"))
-    return probes.join(index, "k").select("place", "of_place").distinct()
+def _blocks(written: DataFrame, zips: DataFrame) -> DataFrame:
+    """``zip, place, block``: the ZIPs in which to look for a ZIP and a place as
+    written: the ZIP if it is listed, those of the place, up to a slip, and
+    without either the listed ZIPs one slip away."""
+    listed = written.join(zips.select("zip"), "zip", "left_semi").withColumn("block", F.col("zip"))
+    known = zips.where("r_place <> ''").select(F.col("zip").alias("block"), F.explode(_neighbours("r_place")).alias("k"))
+    local = written.where("place <> ''").select("zip", "place", F.explode(_neighbours("place")).alias("k")).join(known, "k").drop("k")
+    found = listed.select("zip", "place", "block").unionByName(local.select("zip", "place", "block")).distinct()
+    lost = written.where("zip <> ''").join(found.select("zip", "place").distinct(), ["zip", "place"], "left_anti")
+    slips = zips.select(F.col("zip").alias("block"), F.explode(_neighbours("zip")).alias("k"))
+    near = lost.select("zip", "place", F.explode(_neighbours("zip")).alias("k")).join(slips, "k").select("zip", "place", "block")
+    return found.unionByName(near.distinct())
 
 
 def same_location(records: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -336,6 +433,6 @@ def same_location(records: DataFrame, ranges: DataFrame) -> DataFrame:
 
     The pairs within a location all come out, since the result is defined so;
     see ``resolve`` for one row for each record instead."""
-    located = materialize(resolve(records, ranges), "located")
+    located = resolve(records, ranges).repartition("street", "number").dropDuplicates(["street", "number", "x_id"])
     a, b = located.withColumnRenamed("x_id", "x_id_a"), located.withColumnRenamed("x_id", "x_id_b")
-    return a.join(b, "location").where("x_id_a < x_id_b").select("x_id_a", "x_id_b").distinct()
+    return a.join(b, ["street", "number"]).where("x_id_a < x_id_b").select("x_id_a", "x_id_b").distinct()

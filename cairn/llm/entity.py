@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.llm.address import _deletions, parse_street
+from cairn.llm.address import parse_street
 from cairn.llm.boost import Boosted
 from cairn.session import materialize, require
 
