@@ -29,7 +29,7 @@ _UNIT = re.compile(r"[\s,]*(?:\b(?:apt|apartment|unit|suite|ste|room|rm|fl|floor
 _NUMBER = re.compile(r"(\d+)\s*-?\s*([a-z]?)", re.I)
 _SIDE = "side_id string, number string, unit string, pd string, pm string, pt string, name string, po string, sd string, zip string, city string, lat double, lon double, parcel string"
 
-FEATURES = ["name_same", "name_slip", "name_jaccard", "type", "direction", "pre_type", "zip", "city", "parcel", "log_metres", "rivals"]
+FEATURES = ["name_same", "name_slip", "name_jaccard", "type", "direction", "pre_type", "zip", "city", "parcel", "log_metres", "rivals", "listed"]
 
 
 def minhash(name: str) -> list[int]:
@@ -187,6 +187,7 @@ def compare(b: pd.DataFrame) -> np.ndarray:
         metres = 6_371_008.8 * np.hypot(lat2 - lat1, (lon2 - lon1) * np.cos(lat1))
         out[:, 9] = np.round(np.log10(metres + 1.0), 2)
     out[:, 10] = np.minimum(b["rivals"].to_numpy(dtype=float), 5)
+    out[:, 11] = b["a_listed"].to_numpy(dtype=float)
     return out
 
 
@@ -202,11 +203,28 @@ def weak_labels(x: np.ndarray) -> np.ndarray:
     near, far = f["log_metres"] <= 2.2, f["log_metres"] > 3.3
     parcel, other = f["parcel"] >= 1, f["parcel"] == -1
     area, away = (f["zip"] == 1) | (f["city"] == 1), (f["zip"] == -1) & (f["city"] == -1)
-    yes = (street & (parcel | near) & ~away & ~far) | (whole & area & ~far & ~(f["zip"] == -1) & ~(f["city"] == -1))
-    no = (far & ~parcel) | (other & ~near & ~whole) | (f["type"] == -1) | (f["direction"] == -1) | (f["name_slip"] >= 3) | (away & ~parcel & ~near)
+    # a street written as another street of the area is called is that street
+    foreign = ((f["listed"] >= 1) & (f["name_same"] == 0)) | ((f["listed"] == 2) & ~((f["name_same"] == 1) & (f["type"] == 2) & (f["direction"] >= 1.5)))
+    yes = ~foreign & ((street & (parcel | near) & ~away & ~far) | (whole & area & ~far & ~(f["zip"] == -1) & ~(f["city"] == -1)))
+    no = (foreign & ~(parcel & near)) | (far & ~parcel) | (other & ~near & ~whole) | (f["type"] == -1) | (f["direction"] == -1) | (f["name_slip"] >= 3) | (away & ~parcel & ~near)
     return np.where(yes & ~no, 1.0, np.where(no & ~yes, 0.0, math.nan))
 
 
+def _listed(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Adds ``listed``: 2 if the other list has the street as written in the
+    same ZIP (without one: in the same town), 1 if it has its name, else 0."""
+    street = ["name", "pd", "sd", "pt", "po"]
+    areas = b.where("name <> ''").select(F.explode(F.array("zip", "city")).alias("area"), *street).where("area <> ''").distinct()
+    names = areas.select("area", "name").distinct().withColumn("has_name", F.lit(1))
+    return (
+        a.withColumn("area", F.when(F.col("zip") != "", F.col("zip")).otherwise(F.col("city")))
+        .join(areas.withColumn("has_street", F.lit(1)), ["area", *street], "left")
+        .join(names, ["area", "name"], "left")
+        .withColumn("listed", (F.coalesce("has_street", F.lit(0)) + F.coalesce("has_name", F.lit(0))).cast("double"))
+        .select(*a.columns, "listed")
+    )
+
+
 def match_entities(sites: DataFrame, points: DataFrame, threshold: float = 0.5, sample_pairs: int = 40_000) -> DataFrame:
     """``site_id, uuid, confidence``: for each site its point of the other list.
 
@@ -224,6 +242,7 @@ def match_entities(sites: DataFrame, points: DataFrame, threshold: float = 0.5,
     right = points.where("uuid is not null").select(F.col("uuid").alias("id"), "add_number", "addnum_suf", "st_predir", "st_premod", "st_pretyp", "st_name", "st_postyp", "st_posdir", "subaddress", "post_city", "zip_code", "latitude", "longitude", "parcel_id")
     a = materialize(left.mapInPandas(_sites, _SIDE), "sites")
     b = materialize(right.mapInPandas(_points, _SIDE), "points")
+    a = materialize(_listed(a, b), "listed")
     key = "key long, side_id string"
     ka = a.mapInPandas(_keys, key).withColumnRenamed("side_id", "a_id")
     kb = b.mapInPandas(_keys, key).withColumnRenamed("side_id", "b_id")
@@ -232,7 +251,7 @@ def match_entities(sites: DataFrame, points: DataFrame, threshold: float = 0.5,
     # one number and unit may hide behind a shared key by chance of hashing: check
     full = pairs.join(shown(a, "a"), "a_id").join(shown(b, "b"), "b_id").where("a_number = b_number and a_unit = b_unit")
     full = full.withColumn("rivals", F.count(F.lit(1)).over(Window.partitionBy("a_id")))
-    columns = ["a_id", "b_id", "rivals", *(f"{s}_{c}" for c in ("name", "po", "pd", "sd", "pt", "zip", "city", "parcel", "lat", "lon") for s in "ab")]
+    columns = ["a_id", "b_id", "rivals", "a_listed", *(f"{s}_{c}" for c in ("name", "po", "pd", "sd", "pt", "zip", "city", "parcel", "lat", "lon") for s in "ab")]
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
