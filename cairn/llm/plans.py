@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from cairn.llm.address import same_location
 from cairn.llm.canonical import map_entries, unmatched
 from cairn.llm.entity import match_entities
+from cairn.llm.mixing import measured, mix, share_report
+from cairn.llm.packing import fill_report, pack_documents
 from cairn.sources.tables import table
 
 
@@ -26,6 +28,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return same_location(table(spark, d, "x"), table(spark, d, "taf"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p4_found)}
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack_documents(table(spark, d, "documents"), 2048)
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(p7_containers(spark, d), 2048)
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mix(measured(table(spark, d, "documents")), table(spark, d, "mix_target"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return share_report(p8_mixture(spark, d), table(spark, d, "mix_target"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p4_found, p7_containers, p7_fill, p8_mixture, p8_shares)}
 
 SQL: dict[str, str] = {}
