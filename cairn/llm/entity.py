@@ -1,8 +1,8 @@
 """Matching of two lists of addressed places that share no key.
 
-Candidates come from MinHash values of the street name's letter pairs, and from
-the parcel, each taken together with house number, suffix and unit, which must
-agree in any case. Partial and noisy attributes are compared for each candidate
+Candidates come from MinHash values of the street names' letter pairs, worked
+out over the distinct names of both lists, and from the parcel, each taken
+together with house number, suffix and unit, which must agree in any case. Partial and noisy attributes are compared for each candidate
 pair, and a boosted classifier, trained on weak labels from a bounded sample of
 pairs, gives a calibrated probability.
 """
@@ -17,7 +17,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cairn.llm.address import parse_street
 from cairn.llm.boost import Boosted
@@ -29,7 +28,7 @@ _UNIT = re.compile(r"[\s,]*(?:\b(?:apt|apartment|unit|suite|ste|room|rm|fl|floor
 _NUMBER = re.compile(r"(\d+)\s*-?\s*([a-z]?)", re.I)
 _SIDE = "side_id string, number string, unit string, pd string, pm string, pt string, name string, po string, sd string, zip string, city string, lat double, lon double, parcel string"
 
-FEATURES = ["name_same", "name_slip", "name_jaccard", "type", "direction", "pre_type", "zip", "city", "parcel", "log_metres", "rivals", "listed"]
+FEATURES = ["name_same", "name_slip", "name_jaccard", "type", "direction", "pre_type", "zip", "city", "parcel", "log_metres", "listed"]
 
 
 def minhash(name: str) -> list[int]:
@@ -40,7 +39,7 @@ def minhash(name: str) -> list[int]:
         return []
     codes = np.array([int.from_bytes(g.encode()[:7], "big") for g in grams], dtype=np.uint64)
     mixed = (codes[:, None] * _SEEDS[0].astype(np.uint64) + _SEEDS[1].astype(np.uint64)) ^ ((codes[:, None] * _SEEDS[1].astype(np.uint64)) >> np.uint64(29))
-    mixed = (mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(8)
+    mixed = (mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(12)
     return [int(v) for v in mixed.min(axis=0)]
 
 
@@ -67,7 +66,6 @@ class _Normaliser:
 
     def __init__(self):
         self.streets: dict = {}
-        self.hashes: dict = {}
 
     def street(self, parts: tuple) -> tuple:
         if parts not in self.streets:
@@ -76,13 +74,6 @@ class _Normaliser:
             self.streets[parts] = parse_street(list(parts))
         return self.streets[parts]
 
-    def minhash(self, name: str) -> list[int]:
-        if name not in self.hashes:
-            if len(self.hashes) > 200_000:
-                self.hashes.clear()
-            self.hashes[name] = minhash(name)
-        return self.hashes[name]
-
 
 def _text(v) -> str:
     return v if isinstance(v, str) else ""
@@ -119,19 +110,35 @@ def _points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in _SIDE.split(", ")])
 
 
-def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Block keys of a normalised side: number and unit with each MinHash value, and with the parcel's last six digits."""
-    n = _Normaliser()
+def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for each name and MinHash value, ``band`` being both position and value."""
+    for b in batches:
+        at, bands = [], []
+        for name in b["name"]:
+            for j, v in enumerate(minhash(name)):
+                at.append(name)
+                bands.append((v << 3) | j)
+        yield pd.DataFrame({"name": at, "band": np.array(bands, dtype=np.int64)})
+
+
+def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Keeps pairs of names that may be one name: a third of the letter pairs in common, or two slips apart."""
     for b in batches:
-        at, parts = [], []
-        for i, (number, unit, name, parcel) in enumerate(zip(b["number"], b["unit"], b["name"], b["parcel"])):
-            if number:
-                bands = [f"{j}:{v}" for j, v in enumerate(n.minhash(name))]
-                if len(parcel) >= 6:
-                    bands.append("p:" + parcel[-6:])
-                at += [i] * len(bands)
-                parts += [f"{number}|{unit}|{k}" for k in bands]
-        yield pd.DataFrame({"key": pd.util.hash_array(np.array(parts, dtype=object)).view(np.int64) if parts else np.empty(0, dtype=np.int64), "side_id": b["side_id"].to_numpy()[at] if at else np.empty(0, dtype=object)})
+        keep = [_overlap(x, y) >= 0.34 or _osa(x.replace(" ", ""), y.replace(" ", ""), 3) <= 2 for x, y in zip(b["name"], b["b_name"])]
+        yield b[keep]
+
+
+def _overlap(x: str, y: str) -> float:
+    s, t = x.replace(" ", ""), y.replace(" ", "")
+    g, h = {s[i : i + 2] for i in range(len(s) - 1)}, {t[i : i + 2] for i in range(len(t) - 1)}
+    return len(g & h) / max(1, len(g | h))
+
+
+def similar_names(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``name, b_name``: names of the two lists that share a MinHash value and may be one name."""
+    names = lambda d: d.where("name <> ''").select("name").distinct().mapInPandas(_bands, "name string, band long")
+    pairs = names(left).join(names(right).withColumnRenamed("name", "b_name"), "band").select("name", "b_name").distinct()
+    return pairs.mapInPandas(_alike, "name string, b_name string")
 
 
 def _osa(a: str, b: str, most: int = 3) -> int:
@@ -186,8 +193,7 @@ def compare(b: pd.DataFrame) -> np.ndarray:
     with np.errstate(invalid="ignore"):
         metres = 6_371_008.8 * np.hypot(lat2 - lat1, (lon2 - lon1) * np.cos(lat1))
         out[:, 9] = np.round(np.log10(metres + 1.0), 2)
-    out[:, 10] = np.minimum(b["rivals"].to_numpy(dtype=float), 5)
-    out[:, 11] = b["a_listed"].to_numpy(dtype=float)
+    out[:, 10] = b["a_listed"].to_numpy(dtype=float)
     return out
 
 
@@ -243,21 +249,21 @@ def match_entities(sites: DataFrame, points: DataFrame, threshold: float = 0.5,
     a = materialize(left.mapInPandas(_sites, _SIDE), "sites")
     b = materialize(right.mapInPandas(_points, _SIDE), "points")
     a = materialize(_listed(a, b), "listed")
-    key = "key long, side_id string"
-    ka = a.mapInPandas(_keys, key).withColumnRenamed("side_id", "a_id")
-    kb = b.mapInPandas(_keys, key).withColumnRenamed("side_id", "b_id")
-    pairs = ka.join(kb, "key").select("a_id", "b_id").distinct()
     shown = lambda side, s: side.select(*(F.col(c).alias(f"{s}_{c}" if c != "side_id" else f"{s}_id") for c in side.columns))
-    # one number and unit may hide behind a shared key by chance of hashing: check
-    full = pairs.join(shown(a, "a"), "a_id").join(shown(b, "b"), "b_id").where("a_number = b_number and a_unit = b_unit")
-    full = full.withColumn("rivals", F.count(F.lit(1)).over(Window.partitionBy("a_id")))
-    columns = ["a_id", "b_id", "rivals", "a_listed", *(f"{s}_{c}" for c in ("name", "po", "pd", "sd", "pt", "zip", "city", "parcel", "lat", "lon") for s in "ab")]
+    columns = ["a_id", "b_id", "a_listed", *(f"{s}_{c}" for c in ("name", "po", "pd", "sd", "pt", "zip", "city", "parcel", "lat", "lon") for s in "ab")]
+    left, right = shown(a, "a").where("a_number <> ''"), shown(b, "b").where("b_number <> ''")
+    alike = materialize(similar_names(a, b), "alike")
+    known = left.join(alike.withColumnRenamed("name", "a_name"), "a_name").withColumnRenamed("b_name", "meant")
+    by_name = known.join(right, (F.col("meant") == F.col("b_name")) & (F.col("a_number") == F.col("b_number")) & (F.col("a_unit") == F.col("b_unit"))).select(*columns)
+    tail = lambda s: F.substring(f"{s}_parcel", -6, 6)
+    by_parcel = left.where("length(a_parcel) >= 6").join(right.where("length(b_parcel) >= 6"), (tail("a") == tail("b")) & (F.col("a_number") == F.col("b_number")) & (F.col("a_unit") == F.col("b_unit"))).select(*columns)
+    full = by_name.unionByName(by_parcel)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             yield pd.concat([p[["a_id", "b_id"]].reset_index(drop=True), pd.DataFrame(compare(p), columns=FEATURES)], axis=1)
 
-    judged = materialize(full.select(*columns).mapInPandas(features, "a_id string, b_id string, " + ", ".join(f"{f} double" for f in FEATURES)), "features")
+    judged = materialize(full.mapInPandas(features, "a_id string, b_id string, " + ", ".join(f"{f} double" for f in FEATURES)), "features")
     n = judged.count()
     seen = judged.sample(min(1.0, sample_pairs / max(n, 1)), seed=5).select(*FEATURES).toPandas().to_numpy(dtype=float)
     y = weak_labels(seen) if len(seen) else np.zeros(0)

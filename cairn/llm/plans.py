@@ -9,6 +9,7 @@ from cairn.llm.canonical import map_entries, unmatched
 from cairn.llm.entity import match_entities
 from cairn.llm.mixing import measured, mix, share_report
 from cairn.llm.packing import fill_report, pack_documents
+from cairn.llm.pii import find_personal, redact
 from cairn.sources.tables import table
 
 
@@ -44,6 +45,14 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return share_report(p8_mixture(spark, d), table(spark, d, "mix_target"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p4_found, p7_containers, p7_fill, p8_mixture, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_personal(table(spark, d, "documents"))
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return redact(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p4_found, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_redacted)}
 
 SQL: dict[str, str] = {}
