@@ -1,8 +1,8 @@
 """Matching of two lists of addressed places that share no key.
 
-Candidates come from MinHash values of the street names' letter pairs, worked
-out over the distinct names of both lists, and from the parcel, each taken
-together with house number, suffix and unit, which must agree in any case. Partial and noisy attributes are compared for each candidate
+Candidates share a MinHash band of the street name's letter pairs (two values, or
+one together with ZIP or town) or the parcel, each taken together with house
+number, suffix and unit, which must agree in any case. Partial and noisy attributes are compared for each candidate
 pair, and a boosted classifier, trained on weak labels from a bounded sample of
 pairs, gives a calibrated probability.
 """
@@ -22,7 +22,7 @@ from cairn.llm.address import parse_street
 from cairn.llm.boost import Boosted
 from cairn.session import materialize, require
 
-HASHES = 6
+HASHES = 12  # six bands of two values
 _SEEDS = np.random.default_rng(11).integers(1, 2**61 - 1, size=(2, HASHES), dtype=np.int64) | 1
 _UNIT = re.compile(r"[\s,]*(?:\b(?:apt|apartment|unit|suite|ste|room|rm|fl|floor|lot)\b[\s.#]*|#\s*)([a-z0-9-]{1,6})\s*$", re.I)
 _NUMBER = re.compile(r"(\d+)\s*-?\s*([a-z]?)", re.I)
@@ -39,7 +39,7 @@ def minhash(name: str) -> list[int]:
         return []
     codes = np.array([int.from_bytes(g.encode()[:7], "big") for g in grams], dtype=np.uint64)
     mixed = (codes[:, None] * _SEEDS[0].astype(np.uint64) + _SEEDS[1].astype(np.uint64)) ^ ((codes[:, None] * _SEEDS[1].astype(np.uint64)) >> np.uint64(29))
-    mixed = (mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(12)
+    mixed = (mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(8)
     return [int(v) for v in mixed.min(axis=0)]
 
 
@@ -110,35 +110,31 @@ def _points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in _SIDE.split(", ")])
 
 
-def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row for each name and MinHash value, ``band`` being both position and value."""
+def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Block keys of a normalised side."""
+    memo: dict[str, list[str]] = {}
     for b in batches:
-        at, bands = [], []
-        for name in b["name"]:
-            for j, v in enumerate(minhash(name)):
-                at.append(name)
-                bands.append((v << 3) | j)
-        yield pd.DataFrame({"name": at, "band": np.array(bands, dtype=np.int64)})
-
-
-def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keeps pairs of names that may be one name: a third of the letter pairs in common, or two slips apart."""
-    for b in batches:
-        keep = [_overlap(x, y) >= 0.34 or _osa(x.replace(" ", ""), y.replace(" ", ""), 3) <= 2 for x, y in zip(b["name"], b["b_name"])]
-        yield b[keep]
-
-
-def _overlap(x: str, y: str) -> float:
-    s, t = x.replace(" ", ""), y.replace(" ", "")
-    g, h = {s[i : i + 2] for i in range(len(s) - 1)}, {t[i : i + 2] for i in range(len(t) - 1)}
-    return len(g & h) / max(1, len(g | h))
-
-
-def similar_names(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``name, b_name``: names of the two lists that share a MinHash value and may be one name."""
-    names = lambda d: d.where("name <> ''").select("name").distinct().mapInPandas(_bands, "name string, band long")
-    pairs = names(left).join(names(right).withColumnRenamed("name", "b_name"), "band").select("name", "b_name").distinct()
-    return pairs.mapInPandas(_alike, "name string, b_name string")
+        at, parts = [], []
+        for i, (number, unit, name, zip_, city, parcel) in enumerate(zip(b["number"], b["unit"], b["name"], b["zip"], b["city"], b["parcel"])):
+            if not number:
+                continue
+            if name not in memo:
+                if len(memo) > 200_000:
+                    memo.clear()
+                v = minhash(name)
+                memo[name] = [f"{j}:{v[j]}:{v[j + 1]}" for j in range(0, len(v), 2)] + [f"{x}" for x in v[:2]]
+            bands = memo[name]
+            keys = bands[:-2]
+            if bands and zip_:
+                keys = [*keys, f"z{zip_}:{bands[-2]}"]
+            if bands and city:
+                keys = [*keys, f"c{city}:{bands[-1]}"]
+            if len(parcel) >= 6:
+                keys = [*keys, "p:" + parcel[-6:]]
+            at += [i] * len(keys)
+            parts += [f"{number}|{unit}|{k}" for k in keys]
+        rows = b["rid"].to_numpy()[at] if at else np.empty(0, dtype=np.int64)
+        yield pd.DataFrame({"key": pd.util.hash_array(np.array(parts, dtype=object)).view(np.int64) if parts else np.empty(0, dtype=np.int64), "rid": rows})
 
 
 def _osa(a: str, b: str, most: int = 3) -> int:
@@ -246,18 +242,15 @@ def match_entities(sites: DataFrame, points: DataFrame, threshold: float = 0.5,
     require(points, "uuid", "add_number", "addnum_suf", "st_predir", "st_premod", "st_pretyp", "st_name", "st_postyp", "st_posdir", "subaddress", "post_city", "zip_code", "latitude", "longitude", "parcel_id")
     left = sites.where("site_id is not null").select(F.col("site_id").cast("string").alias("id"), "house_no", "street_line", "city", "zip", "lat", "lon", "parcel_ref").dropDuplicates()
     right = points.where("uuid is not null").select(F.col("uuid").alias("id"), "add_number", "addnum_suf", "st_predir", "st_premod", "st_pretyp", "st_name", "st_postyp", "st_posdir", "subaddress", "post_city", "zip_code", "latitude", "longitude", "parcel_id")
-    a = materialize(left.mapInPandas(_sites, _SIDE), "sites")
-    b = materialize(right.mapInPandas(_points, _SIDE), "points")
-    a = materialize(_listed(a, b), "listed")
+    numbered = lambda d: d.where("number <> ''").withColumn("rid", F.monotonically_increasing_id())
+    b = materialize(numbered(right.mapInPandas(_points, _SIDE)), "points")
+    a = materialize(_listed(numbered(left.mapInPandas(_sites, _SIDE)), b), "sites")
+    key = "key long, rid long"
+    pairs = a.mapInPandas(_keys, key).withColumnRenamed("rid", "a_rid").join(b.mapInPandas(_keys, key).withColumnRenamed("rid", "b_rid"), "key").select("a_rid", "b_rid").distinct()
     shown = lambda side, s: side.select(*(F.col(c).alias(f"{s}_{c}" if c != "side_id" else f"{s}_id") for c in side.columns))
     columns = ["a_id", "b_id", "a_listed", *(f"{s}_{c}" for c in ("name", "po", "pd", "sd", "pt", "zip", "city", "parcel", "lat", "lon") for s in "ab")]
-    left, right = shown(a, "a").where("a_number <> ''"), shown(b, "b").where("b_number <> ''")
-    alike = materialize(similar_names(a, b), "alike")
-    known = left.join(alike.withColumnRenamed("name", "a_name"), "a_name").withColumnRenamed("b_name", "meant")
-    by_name = known.join(right, (F.col("meant") == F.col("b_name")) & (F.col("a_number") == F.col("b_number")) & (F.col("a_unit") == F.col("b_unit"))).select(*columns)
-    tail = lambda s: F.substring(f"{s}_parcel", -6, 6)
-    by_parcel = left.where("length(a_parcel) >= 6").join(right.where("length(b_parcel) >= 6"), (tail("a") == tail("b")) & (F.col("a_number") == F.col("b_number")) & (F.col("a_unit") == F.col("b_unit"))).select(*columns)
-    full = by_name.unionByName(by_parcel)
+    # keys are hashes: number and unit are compared as written
+    full = pairs.join(shown(a, "a"), "a_rid").join(shown(b, "b"), "b_rid").where("a_number = b_number and a_unit = b_unit").select(*columns)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
