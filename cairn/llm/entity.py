@@ -26,7 +26,8 @@ HASHES = 12  # six bands of two values
 _SEEDS = np.random.default_rng(11).integers(1, 2**61 - 1, size=(2, HASHES), dtype=np.int64) | 1
 _UNIT = re.compile(r"[\s,]*(?:\b(?:apt|apartment|unit|suite|ste|room|rm|fl|floor|lot)\b[\s.#]*|#\s*)([a-z0-9-]{1,6})\s*$", re.I)
 _NUMBER = re.compile(r"(\d+)\s*-?\s*([a-z]?)", re.I)
-_SIDE = "side_id string, number string, unit string, pd string, pm string, pt string, name string, po string, sd string, zip string, city string, lat double, lon double, parcel string"
+#: A normalised side: number and unit; street components, ZIP and town, each by tabs; place as packed microdegrees.
+_SIDE = "side_id string, number string, street string, area string, parcel string, at long"
 
 FEATURES = ["name_same", "name_slip", "name_jaccard", "type", "direction", "pre_type", "zip", "city", "parcel", "log_metres", "listed"]
 
@@ -57,84 +58,90 @@ def _city(c: str | None) -> str:
     return "".join(_CITY.get(w, w) for w in re.sub(r"[\W_]+", " ", (c or "").lower()).split())
 
 
-def _parcel(p: str | None) -> str:
-    return re.sub(r"\D", "", p or "")
+def _parcel(p: str) -> str:
+    return re.sub(r"\D", "", p)
 
 
-class _Normaliser:
-    """Parses rows of either side; remembers streets, of which there are few."""
+class _Memo(dict):
+    """Results of a function by argument; few enough to keep, else forgotten."""
 
-    def __init__(self):
-        self.streets: dict = {}
+    def __init__(self, f):
+        self.f = f
 
-    def street(self, parts: tuple) -> tuple:
-        if parts not in self.streets:
-            if len(self.streets) > 200_000:
-                self.streets.clear()
-            self.streets[parts] = parse_street(list(parts))
-        return self.streets[parts]
+    def __missing__(self, k):
+        if len(self) > 200_000:
+            self.clear()
+        self[k] = v = self.f(k)
+        return v
 
 
 def _text(v) -> str:
     return v if isinstance(v, str) else ""
 
 
-def _float(v) -> float:
-    return float(v) if v is not None and v == v and v != 0 else math.nan
+def _packed(lat: pd.Series, lon: pd.Series) -> pd.Series:
+    """Latitude and longitude in one number; NULL where missing or zero."""
+    lat, lon = lat.to_numpy(dtype=float), lon.to_numpy(dtype=float)
+    known = np.isfinite(lat) & np.isfinite(lon) & ~((lat == 0) & (lon == 0))
+    y, x = (np.round(np.where(known, v, 0) * 1e6).astype(np.int64) for v in (lat, lon))
+    return pd.Series(((y + (1 << 30)) << 32) | (x + (1 << 30))).astype("Int64").where(known)
+
+
+def _unpacked(at: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    known = at.notna().to_numpy()
+    v = at.fillna(0).to_numpy(dtype=np.int64)
+    lat, lon = ((v >> 32) - (1 << 30)) / 1e6, ((v & 0xFFFFFFFF) - (1 << 30)) / 1e6
+    return np.where(known, lat, math.nan), np.where(known, lon, math.nan)
 
 
 def _sites(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    n = _Normaliser()
+    street = _Memo(lambda line: "\t".join(parse_street(["", "", "", line, "", ""])))
+    city, code = _Memo(_city), _Memo(_zip)
     for b in batches:
         rows = []
-        for sid, house, line, city, z, lat, lon, parcel in zip(b["id"], b["house_no"], b["street_line"], b["city"], b["zip"], b["lat"], b["lon"], b["parcel_ref"]):
-            line, house = _text(line), _text(house)
+        for sid, house, line, town, z, parcel in zip(b["id"], b["house_no"], b["street_line"], b["city"], b["zip"], b["parcel_ref"]):
+            line = _text(line)
             unit = _UNIT.search(line)
-            if unit:
-                line = line[: unit.start()]
-            m = _NUMBER.search(house)
-            number = f"{int(m[1])}{m[2].lower()}" if m else ""
-            rows.append((sid, number, unit[1].lower() if unit else "", *n.street(("", "", "", line, "", "")), _zip(_text(z)), _city(_text(city)), _float(lat), _float(lon), _parcel(_text(parcel))))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _SIDE.split(", ")])
+            m = _NUMBER.search(_text(house))
+            number = f"{int(m[1])}{m[2].lower()}|{unit[1].lower() if unit else ''}" if m else ""
+            rows.append((sid, number, street[line[: unit.start()] if unit else line], f"{code[_text(z)]}\t{city[_text(town)]}", _parcel(parcel) if parcel else ""))
+        yield pd.DataFrame(rows, columns=["side_id", "number", "street", "area", "parcel"]).assign(at=_packed(b["lat"], b["lon"]).to_numpy(dtype=object))
 
 
 def _points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    n = _Normaliser()
     fields = ["st_predir", "st_premod", "st_pretyp", "st_name", "st_postyp", "st_posdir"]
+    street = _Memo(lambda parts: "\t".join(parse_street(list(parts))))
+    city, code = _Memo(_city), _Memo(_zip)
+    unit = _Memo(lambda s: m[1].lower() if (m := _UNIT.search(s)) else s.strip().lower())
+    suffix = _Memo(lambda s: re.sub(r"[^a-z]", "", s.lower()))
     for b in batches:
         rows = []
-        for uid, num, suf, sub, city, z, lat, lon, parcel, *street in zip(b["id"], b["add_number"], b["addnum_suf"], b["subaddress"], b["post_city"], b["zip_code"], b["latitude"], b["longitude"], b["parcel_id"], *(b[f] for f in fields)):
-            unit = _UNIT.search(_text(sub))
-            number = "" if num is None or num != num else f"{int(num)}{re.sub(r'[^a-z]', '', _text(suf).lower())}"
-            rows.append((uid, number, unit[1].lower() if unit else _text(sub).strip().lower(), *n.street(tuple(_text(s) for s in street)), _zip(_text(z)), _city(_text(city)), _float(lat), _float(lon), _parcel(_text(parcel))))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _SIDE.split(", ")])
+        for uid, num, suf, sub, town, z, parcel, *parts in zip(b["id"], b["add_number"], b["addnum_suf"], b["subaddress"], b["post_city"], b["zip_code"], b["parcel_id"], *(b[f] for f in fields)):
+            number = "" if num is None or num != num else f"{int(num)}{suffix[suf] if suf else ''}|{unit[sub] if sub else ''}"
+            rows.append((uid, number, street[tuple(parts)], f"{code[_text(z)]}\t{city[_text(town)]}", _parcel(parcel) if parcel else ""))
+        yield pd.DataFrame(rows, columns=["side_id", "number", "street", "area", "parcel"]).assign(at=_packed(b["latitude"], b["longitude"]).to_numpy(dtype=object))
+
+
+def _hashed(values: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array(values, dtype=object), categorize=True)
 
 
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Block keys of a normalised side."""
-    memo: dict[str, list[str]] = {}
+    """Block keys of a normalised side, each a hash of number and unit and one more thing."""
+    bands = _Memo(lambda name: np.array(minhash(name) or [0] * HASHES, dtype=np.uint64))
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    mix = lambda u, v: ((u * odd) ^ (v + odd)) * np.uint64(0xBF58476D1CE4E5B9)
     for b in batches:
-        at, parts = [], []
-        for i, (number, unit, name, zip_, city, parcel) in enumerate(zip(b["number"], b["unit"], b["name"], b["zip"], b["city"], b["parcel"])):
-            if not number:
-                continue
-            if name not in memo:
-                if len(memo) > 200_000:
-                    memo.clear()
-                v = minhash(name)
-                memo[name] = [f"{j}:{v[j]}:{v[j + 1]}" for j in range(0, len(v), 2)] + [f"{x}" for x in v[:2]]
-            bands = memo[name]
-            keys = bands[:-2]
-            if bands and zip_:
-                keys = [*keys, f"z{zip_}:{bands[-2]}"]
-            if bands and city:
-                keys = [*keys, f"c{city}:{bands[-1]}"]
-            if len(parcel) >= 6:
-                keys = [*keys, "p:" + parcel[-6:]]
-            at += [i] * len(keys)
-            parts += [f"{number}|{unit}|{k}" for k in keys]
-        rows = b["rid"].to_numpy()[at] if at else np.empty(0, dtype=np.int64)
-        yield pd.DataFrame({"key": pd.util.hash_array(np.array(parts, dtype=object)).view(np.int64) if parts else np.empty(0, dtype=np.int64), "rid": rows})
+        names = [s.split("\t")[3] for s in b["street"]]
+        zips, cities = zip(*(s.split("\t") for s in b["area"])) if len(b) else ((), ())
+        rid, base, sig = b["rid"].to_numpy(), _hashed(list(b["number"])), np.stack([bands[n] for n in names]) if len(b) else np.zeros((0, HASHES), dtype=np.uint64)
+        named = np.array([n != "" for n in names], dtype=bool)
+        parcel = b["parcel"]
+        parts = [(named, sig[:, j] * odd ^ sig[:, j + 1] + np.uint64(j)) for j in range(0, HASHES, 2)]
+        parts.append((named & np.array([z != "" for z in zips], dtype=bool), _hashed(list(zips)) ^ sig[:, 0]))
+        parts.append((named & np.array([c != "" for c in cities], dtype=bool), _hashed(list(cities)) ^ sig[:, 1]))
+        parts.append(((parcel.str.len() >= 6).to_numpy(), _hashed(list(parcel.str[-6:]))))
+        yield pd.DataFrame({"key": np.concatenate([mix(base[ok], v[ok]).view(np.int64) for ok, v in parts]), "rid": np.concatenate([rid[ok] for ok, _ in parts])})
 
 
 def _osa(a: str, b: str, most: int = 3) -> int:
@@ -164,28 +171,38 @@ def _agree(a: str, b: str) -> float:
 
 def compare(b: pd.DataFrame) -> np.ndarray:
     """Features of candidate pairs, columns ``a_*`` and ``b_*`` of both sides."""
-    memo: dict[tuple[str, str], tuple[float, float, float]] = {}
-
-    def names(x: str, y: str) -> tuple[float, float, float]:
-        if (x, y) not in memo:
-            s, t = x.replace(" ", ""), y.replace(" ", "")
-            g, h = {s[i : i + 2] for i in range(len(s) - 1)}, {t[i : i + 2] for i in range(len(t) - 1)}
-            memo[x, y] = (float(x == y), float(min(_osa(s, t), 3)), len(g & h) / max(1, len(g | h)))
-        return memo[x, y]
+    memo: dict[tuple[str, str], tuple] = {}
+
+    def streets(x: str, y: str) -> tuple:
+        ad, _, at, an, ao, as_ = x.split("\t")
+        bd, _, bt, bn, bo, bs = y.split("\t")
+        s, t = an.replace(" ", ""), bn.replace(" ", "")
+        g, h = {s[i : i + 2] for i in range(len(s) - 1)}, {t[i : i + 2] for i in range(len(t) - 1)}
+        kind = 2.0 if ao == bo else 1.0 if not ao else 0.5 if ao.startswith("?") else 0.2 if not bo else -1.0
+        way = 2.0 if (ad, as_) == (bd, bs) else 1.5 if (ad, as_) == (bs, bd) else 1.0 if not ad and not as_ else 0.2 if not bd and not bs else -1.0
+        return float(an == bn), float(min(_osa(s, t), 3)), len(g & h) / max(1, len(g | h)), kind, way, 1.0 if at == bt else 0.0 if not at else -1.0
+
+    def areas(x: str, y: str) -> tuple:
+        (az, ac), (bz, bc) = x.split("\t"), y.split("\t")
+        return _agree(az, bz), _agree(ac, bc)
+
+    def parcels(x: str, y: str) -> float:
+        if not x or not y:
+            return math.nan
+        return 2.0 if x == y else 1.0 if len(x) >= 6 and len(x) < len(y) and y.endswith(x) else 0.0 if _osa(x, y, 2) < 2 else -1.0
 
     out = np.full((len(b), len(FEATURES)), math.nan)
-    for i, r in enumerate(zip(*(b[f"{s}_{c}"] for c in ("name", "po", "pd", "sd", "pt", "zip", "city", "parcel") for s in "ab"))):
-        an, bn, ao, bo, ad, bd, as_, bs, at, bt, az, bz, ac, bc, ap, bp = r
-        out[i, :3] = names(an, bn)
-        out[i, 3] = 2.0 if ao == bo else 1.0 if not ao else 0.5 if ao.startswith("?") else 0.2 if not bo else -1.0
-        same, crossed = (ad, as_) == (bd, bs), (ad, as_) == (bs, bd)
-        out[i, 4] = 2.0 if same else 1.5 if crossed else 1.0 if not ad and not as_ else 0.2 if not bd and not bs else -1.0
-        out[i, 5] = 1.0 if at == bt else 0.0 if not at else -1.0
-        out[i, 6] = _agree(az, bz)
-        out[i, 7] = _agree(ac, bc)
-        if ap and bp:
-            out[i, 8] = 2.0 if ap == bp else 1.0 if len(ap) >= 6 and len(ap) < len(bp) and bp.endswith(ap) else 0.0 if _osa(ap, bp, 2) < 2 else -1.0
-    lat1, lon1, lat2, lon2 = (np.radians(b[c].to_numpy(dtype=float)) for c in ("a_lat", "a_lon", "b_lat", "b_lon"))
+    for i, (sa, sb, ra, rb, pa, pb) in enumerate(zip(b["a_street"], b["b_street"], b["a_area"], b["b_area"], b["a_parcel"], b["b_parcel"])):
+        v = memo.get((sa, sb))
+        if v is None:
+            v = memo[sa, sb] = streets(sa, sb)
+        w = memo.get((ra, rb))
+        if w is None:
+            w = memo[ra, rb] = areas(ra, rb)
+        out[i, :8] = v + w
+        out[i, 8] = parcels(pa, pb)
+    lat1, lon1 = (np.radians(v) for v in _unpacked(b["a_at"]))
+    lat2, lon2 = (np.radians(v) for v in _unpacked(b["b_at"]))
     with np.errstate(invalid="ignore"):
         metres = 6_371_008.8 * np.hypot(lat2 - lat1, (lon2 - lon1) * np.cos(lat1))
         out[:, 9] = np.round(np.log10(metres + 1.0), 2)
@@ -215,13 +232,15 @@ def weak_labels(x: np.ndarray) -> np.ndarray:
 def _listed(a: DataFrame, b: DataFrame) -> DataFrame:
     """Adds ``listed``: 2 if the other list has the street as written in the
     same ZIP (without one: in the same town), 1 if it has its name, else 0."""
-    street = ["name", "pd", "sd", "pt", "po"]
-    areas = b.where("name <> ''").select(F.explode(F.array("zip", "city")).alias("area"), *street).where("area <> ''").distinct()
-    names = areas.select("area", "name").distinct().withColumn("has_name", F.lit(1))
+    name = F.element_at(F.split("street", "\t"), 4)
+    parts = F.split("area", "\t")
+    areas = b.select(F.explode(F.array(F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))).alias("where"), "street").where("where <> ''").distinct().withColumn("name", name).where("name <> ''")
+    names = areas.select("where", "name").distinct().withColumn("has_name", F.lit(1))
     return (
-        a.withColumn("area", F.when(F.col("zip") != "", F.col("zip")).otherwise(F.col("city")))
-        .join(areas.withColumn("has_street", F.lit(1)), ["area", *street], "left")
-        .join(names, ["area", "name"], "left")
+        a.withColumn("name", name)
+        .withColumn("where", F.when(F.get(parts, F.lit(0)) != "", F.get(parts, F.lit(0))).otherwise(F.get(parts, F.lit(1))))
+        .join(areas.select("where", "street", F.lit(1).alias("has_street")), ["where", "street"], "left")
+        .join(names, ["where", "name"], "left")
         .withColumn("listed", (F.coalesce("has_street", F.lit(0)) + F.coalesce("has_name", F.lit(0))).cast("double"))
         .select(*a.columns, "listed")
     )
@@ -248,9 +267,9 @@ def match_entities(sites: DataFrame, points: DataFrame, threshold: float = 0.5,
     key = "key long, rid long"
     pairs = a.mapInPandas(_keys, key).withColumnRenamed("rid", "a_rid").join(b.mapInPandas(_keys, key).withColumnRenamed("rid", "b_rid"), "key").select("a_rid", "b_rid").distinct()
     shown = lambda side, s: side.select(*(F.col(c).alias(f"{s}_{c}" if c != "side_id" else f"{s}_id") for c in side.columns))
-    columns = ["a_id", "b_id", "a_listed", *(f"{s}_{c}" for c in ("name", "po", "pd", "sd", "pt", "zip", "city", "parcel", "lat", "lon") for s in "ab")]
+    columns = ["a_id", "b_id", "a_listed", *(f"{s}_{c}" for c in ("street", "area", "parcel", "at") for s in "ab")]
     # keys are hashes: number and unit are compared as written
-    full = pairs.join(shown(a, "a"), "a_rid").join(shown(b, "b"), "b_rid").where("a_number = b_number and a_unit = b_unit").select(*columns)
+    full = pairs.join(shown(a, "a"), "a_rid").join(shown(b, "b"), "b_rid").where("a_number = b_number").select(*columns)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
