@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values of the curve: position to (i, j) quadrant for each orientation, and the change of orientation.
 _POS_TO_IJ = np.array([[0, 1, 3, 2], [0, 2, 3, 1], [3, 2, 0, 1], [3, 1, 0, 2]])
@@ -69,7 +70,7 @@ def cell_center(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.degrees(np.arctan2(y, x)), np.degrees(np.arctan2(z, np.hypot(x, y)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _tokens(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for lon, lat in batches:
         known = (lon.notna() & lat.notna()).to_numpy()

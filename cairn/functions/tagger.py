@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.functions.dicts import dictionary, map_direction, map_post_type, map_pre_type, map_state
 from cairn.functions.phonetic import map_ordinal
@@ -28,7 +29,7 @@ _TYPES, _WAYS, _STATES = dictionary("post_type"), dictionary("direction"), dicti
 _UNITS = {"apt", "apartment", "unit", "suite", "ste", "rm", "room", "fl", "floor", "lot", "bldg", "building", "trlr", "#"}
 _PRE = ("state route", "state rte", "county road", "county rd", "us highway", "us hwy", "us route", "state highway", "state hwy", "co rd", "st rte", "route", "highway", "us", "sr", "cr")
 _MODIFIERS = {"old", "new"}
-TAGS = "array<struct<label:string,token:string>>"
+TAGS = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("token", T.StringType())]))
 
 
 def tag(text: str | None) -> list[tuple[str, str]] | None:

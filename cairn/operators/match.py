@@ -15,7 +15,7 @@ from cairn.functions.phonetic import is_ordinal, ordinal_neighbors, street_key
 from cairn.functions.text import FLAT, NUMBER, STREET, format_number, to_int
 from cairn.functions.zips import VARIANTS, choose_zips
 from cairn.operators.fuzzy import close_pairs, nearest_pairs
-from cairn.session import require
+from cairn.session import materialize, require
 
 TYPE_MODES = ("exact", "swap", "compatible", "ignore")
 DIRECTION_MODES = ("exact", "swap", "ignore")
@@ -69,7 +69,9 @@ def match_streets(x: DataFrame, y: DataFrame, x_id: str, y_ord: str, by: Sequenc
     usable = "street_name is not null and street_name <> ''"
     xs = x.where(usable).select(F.col(x_id).alias("x_id"), *by, *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in STREET))
     ys = y.where(usable).groupBy(*by, *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in STREET)).agg(F.min(y_ord).alias("y_ord"))
-    forms = xs.select(*by, *STREET).distinct().withColumn("form", F.xxhash64(*STREET))
+    # stage boundaries: both sides are read several times below
+    xs, ys = materialize(xs, "x_streets"), materialize(ys, "y_streets")
+    forms = xs.select(*by, *STREET).distinct()
 
     def keyed(d: DataFrame) -> DataFrame:
         d = d.withColumn("tv", F.explode(_pair_variants("street_pretype", "street_posttype", types))).withColumn("dv", F.explode(_pair_variants("street_predirectional", "street_postdirectional", directions)))
@@ -84,8 +86,8 @@ def match_streets(x: DataFrame, y: DataFrame, x_id: str, y_ord: str, by: Sequenc
     exact = exact.withColumns({"t": t_rank, "d": F.col("xd") + F.col("yd")}).where("t is not null")
     key = [*by, *STREET]
     first = exact.groupBy(*key).agg(F.min(F.struct((F.col("t") + F.col("d")).alias("c"), "t", "d", "y_ord")).alias("best")).select(*key, F.col("best.y_ord").alias("y_ord"), F.lit("exact").alias("how"))
-
-    rest = a.join(first, key, "left_anti").withColumn("xv", F.lower("street_name"))
+    first = materialize(first, "exact_streets")
+    rest = materialize(a.join(first, key, "left_anti").withColumn("xv", F.lower("street_name")), "other_streets")
     yb = b.withColumn("yv", F.lower("y_street_name"))
     block = [*by, "bucket"]
     ykeys = yb.withColumn("key", street_key(F.col("yv")))
@@ -117,6 +119,7 @@ def match_numbers(x: DataFrame, y: DataFrame, x_id: str, y_ord: str, by: Sequenc
     usable = "number_digits is not null and number_digits <> ''"
     xs = x.where(usable).select(F.col(x_id).alias("x_id"), *by, text.alias("xv"), to_int(F.col("number_digits")).alias("xn"))
     ys = y.where(usable).select(F.col(y_ord).alias("y_ord"), *by, text.alias("yv"), to_int(F.col("number_digits")).alias("yn")).groupBy(*by, "yv").agg(F.min("y_ord").alias("y_ord"), F.min_by("yn", "y_ord").alias("yn"))
+    xs, ys = materialize(xs, "x_numbers"), materialize(ys, "y_numbers")
     exact = xs.join(ys.withColumnRenamed("yv", "xv"), [*by, "xv"]).select("x_id", "y_ord", F.lit("exact").alias("how"))
     if fuzzy < 1:
         return exact
@@ -141,7 +144,7 @@ class AddressIndex:
     def __init__(self, y: DataFrame, y_ord: str):
         require(y, y_ord, *FLAT)
         rows = y.select(F.col(y_ord).alias("y_ord"), *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in FLAT))
-        self.rows = unique_addresses(rows, "y_ord")
+        self.rows = materialize(unique_addresses(rows, "y_ord"), "index")
 
     def summary(self) -> DataFrame:
         """``place_zipcode, n_addresses, n_streets`` of the index."""
@@ -156,13 +159,13 @@ def match_addresses(x: DataFrame, y: DataFrame | AddressIndex, x_id: str = "x_id
     """
     index = y if isinstance(y, AddressIndex) else AddressIndex(y, y_ord)
     require(x, x_id, *FLAT)
-    xs = x.select(F.col(x_id).alias("x_id"), *FLAT)
+    xs = materialize(x.select(F.col(x_id).alias("x_id"), *FLAT), "x")
     ref = index.rows
     zips = choose_zips(xs, "place_zipcode", ref, "place_zipcode", zip_variants)
-    placed = xs.join(zips.select(F.col("source_zip").alias("place_zipcode"), F.col("zip").alias("at_zip")), "place_zipcode")
+    placed = materialize(xs.join(zips.select(F.col("source_zip").alias("place_zipcode"), F.col("zip").alias("at_zip")), "place_zipcode"), "placed")
     yz = ref.withColumnRenamed("place_zipcode", "at_zip")
     street = match_streets(placed, yz, "x_id", "y_ord", ["at_zip"], phonetic, fuzzy, types, directions).drop("how")
-    chosen = street.join(yz.select("y_ord", *(F.col(c).alias(f"s_{c}") for c in STREET)), "y_ord").drop("y_ord")
+    chosen = materialize(street.join(yz.select("y_ord", *(F.col(c).alias(f"s_{c}") for c in STREET)), "y_ord").drop("y_ord"), "streets")
     at = placed.select("x_id", "at_zip", *NUMBER).join(chosen, "x_id")
     pool = yz.select("y_ord", "at_zip", *NUMBER, *(F.col(c).alias(f"s_{c}") for c in STREET))
     number = match_numbers(at, pool, "x_id", "y_ord", ["at_zip", *(f"s_{c}" for c in STREET)], number_fuzzy).drop("how")
