@@ -53,9 +53,9 @@ def per_key(df: DataFrame, key: str, results: Mapping[str, tuple[str, str | Colu
         *(_ALGEBRAIC[kind](F.col(f"`{c}`") if isinstance(c, str) else c).alias(n) for n, (kind, c) in results.items()),
     )
     for name, column in distinct.items():
-        values = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{column}`").alias("v")).groupBy("k", "v").agg(F.lit(1).alias("one"))
-        counts = values.groupBy("k").agg(F.count("v").alias(name))
-        out = out.join(counts, out[key].eqNullSafe(counts["k"]), "left").drop("k")
+        values = df.select(F.col(f"`{key}`").alias("__k"), F.col(f"`{column}`").alias("__v")).distinct()
+        counts = values.groupBy("__k").agg(F.count("__v").alias(name))
+        out = out.join(counts, F.col(f"`{key}`").eqNullSafe(F.col("__k")), "left").drop("__k")
     return out
 
 

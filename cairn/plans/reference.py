@@ -127,7 +127,8 @@ def _taf_streets(spark: SparkSession, d: str) -> DataFrame:
 def _street_query(types: str, directions: str, fuzz: float, phon: float):
     def run(spark: SparkSession, d: str) -> DataFrame:
         out = match.match_streets(_x_streets(spark, d), _taf_streets(spark, d), "key", "taf_id", ["zip"], phon, fuzz, types, directions)
-        return out.select(F.col("x_id").alias("street"), F.col("y_ord").alias("taf_id"), "how")
+        out = out.select(F.col("x_id").alias("street"), F.col("y_ord").alias("taf_id"), "how")
+        return out.where("how = 'exact'") if fuzz < 1 else out  # the exact stage on its own
 
     return run
 

@@ -1,0 +1,138 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cairn.functions.text import FLAT
+from cairn.operators import counties, fuzzy, geocode, match
+from cairn.operators.compact import assign_files, compact, longest_first, read_compacted
+from cairn.operators.heavy_keys import heavy_keys, per_key
+from cairn.operators.spatial import Quadtree, RTree, containing_region, great_circle, inside, near_points, parse_point, parse_polygons
+
+
+def addresses(spark, rows, key="x_id"):
+    """rows: (id, digits, name, type, zip)"""
+    out = [(i, "", d, "", "", "", "", n, t, "", "Town", "OH", z) for i, d, n, t, z in rows]
+    return spark.createDataFrame(out, f"{key} int, " + ", ".join(f"{c} string" for c in FLAT))
+
+
+def test_heavy_keys(spark):
+    df = spark.createDataFrame([("a", 1)] * 7 + [("b", 2)] * 2 + [(None, 3), ("", 4)], "k string, v int")
+    assert [r["k"] for r in heavy_keys(df, "k", 0.5).collect()] == ["a"]
+    got = {r["k"]: (r["n_rows"], r["s"], r["d"]) for r in per_key(df, "k", {"s": ("sum", "v")}, {"d": "v"}).collect()}
+    assert got == {"a": (7, 7, 1), "b": (2, 4, 1), None: (1, 3, 1), "": (1, 4, 1)}
+    assert heavy_keys(df.limit(0), "k", 0.1).count() == 0
+    with pytest.raises(ValueError):
+        per_key(df, "k", {"k": ("sum", "v")})
+
+
+def test_longest_first():
+    groups = longest_first([7, 6, 5, 4, 3], 2)
+    load = [sum(s for s, g in zip([7, 6, 5, 4, 3], groups) if g == k) for k in (0, 1)]
+    assert sorted(load) == [11, 14] and longest_first([], 3) == []
+
+
+def test_compact(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i % 5, "z", f"v{i % 7}", None if i % 2 else "x") for i in range(40)] + [(3, 3, "z", "v3", None)], "id int, file int, zone string, v string, w string")
+    files = spark.createDataFrame([(i, 100 * i) for i in range(5)] + [(9, 0)], "file int, n_bytes int")
+    out = str(tmp_path / "out")
+    manifest = compact(rows, files, out, "id", "file", "zone", target_bytes=300)
+    got = {(r["id"], r["v"], r["w"]) for r in read_compacted(spark, out).collect()}
+    want = {}
+    for r in rows.orderBy("id").collect():
+        want.setdefault((r["zone"], r["v"], r["w"]), r["id"])
+    assert {(i, k[1], k[2]) for k, i in want.items()} == got and manifest.agg(F.sum("n_rows")).first()[0] == len(got)
+    (tmp_path / "out" / manifest.first()["path"]).unlink()
+    with pytest.raises(RuntimeError):
+        read_compacted(spark, out)
+
+
+def test_compact_empty(spark, tmp_path):
+    rows = spark.createDataFrame([], "id int, file int, zone string, v string")
+    compact(rows, spark.createDataFrame([], "file int, n_bytes int"), str(tmp_path / "o"), "id", "file", "zone")
+    assert read_compacted(spark, str(tmp_path / "o")) is None
+
+
+def test_assign_splits_busy_shards(spark):
+    files = spark.range(50).select(F.col("id").alias("file_id"), F.lit("a").alias("shard_key"), F.lit(10).alias("n_bytes"))
+    got = assign_files(files, 100, shard_files=10)
+    assert got.count() == 50 and got.groupBy("out_group").count().agg(F.max("count")).first()[0] <= 10
+
+
+def test_rtree_against_brute_force():
+    r = np.random.default_rng(3)
+    x, y, qx, qy = r.random(700), r.random(700), r.random(50), r.random(50)
+    q, i = RTree(x, y, x, y).probe(qx - 0.05, qy - 0.05, qx + 0.05, qy + 0.05)
+    want = {(a, b) for a in range(50) for b in range(700) if abs(x[b] - qx[a]) <= 0.05 and abs(y[b] - qy[a]) <= 0.05}
+    assert set(zip(q.tolist(), i.tolist())) == want
+
+
+def test_quadtree_covers():
+    r = np.random.default_rng(4)
+    lon, lat = r.normal(-84, 1, 3000), r.normal(39, 1, 3000)
+    t = Quadtree(lon, lat, 50)
+    counts = np.bincount(t.leaf(lon, lat), minlength=len(t.starts))
+    assert counts.max() <= 50
+    same = Quadtree(np.full(500, 1.0), np.full(500, 2.0), 50)
+    assert same.salts.max() == 10
+
+
+def test_near_points(spark):
+    r = np.random.default_rng(5)
+    q = [(f"q{i}", float(a), float(b)) for i, (a, b) in enumerate(zip(r.normal(-84, 0.002, 60), r.normal(39, 0.002, 60)))] + [("date line", 179.99999, 0.0), ("none", None, 1.0), ("nan", float("nan"), 1.0)]
+    p = [(f"p{i}", float(a), float(b)) for i, (a, b) in enumerate(zip(r.normal(-84, 0.002, 300), r.normal(39, 0.002, 300)))] + [("beyond", -179.99999, 0.0)]
+    p += [("pile", -84.0, 39.0)] * 50
+    form = "id string, lon double, lat double"
+    got = {tuple(x) for x in near_points(spark.createDataFrame(q, form), spark.createDataFrame(p, form), 60.0, leaf_rows=20).collect()}
+    want = {(a[0], b[0]) for a in q[:61] for b in p if great_circle(a[2], a[1], b[2], b[1]) <= 60.0}
+    assert got == want and ("date line", "beyond") in got
+
+
+def test_regions(spark):
+    wkt = [("a", "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 2 1, 2 2, 1 2, 1 1))"), ("b", "MULTIPOLYGON (((10 10, 12 10, 12 12, 10 12, 10 10)), ((4 0, 6 0, 6 4, 4 4, 4 0)))"), ("c", "POLYGON EMPTY"), ("d", None)]
+    pts = [("in", 3.0, 3.0), ("hole", 1.5, 1.5), ("part", 11.0, 11.0), ("edge", 4.0, 2.0), ("out", 50.0, 50.0)]
+    got = {tuple(x) for x in containing_region(spark.createDataFrame(pts, "id string, lon double, lat double"), spark.createDataFrame(wkt, "id string, wkt string"), leaf_rows=1).collect()}
+    assert got == {("in", "a"), ("part", "b"), ("edge", "b")}
+    assert inside(parse_polygons(wkt[0][1])[0], np.array([0.5]), np.array([0.5])).tolist() == [True]
+
+
+def test_parse_point(spark):
+    rows = spark.createDataFrame([(v,) for v in ["POINT (-84.5 39)", "point ( -84.5   39 )", "SRID=4326;POINT(-84.5 39)", "POINT Z (-84.5 39 0)", "POINT EMPTY", None, "x"]], "w string").select(parse_point("w").alias("p")).collect()
+    assert [r["p"] and (r["p"]["lon"], r["p"]["lat"]) for r in rows] == [(-84.5, 39.0)] * 4 + [None] * 3
+
+
+def test_staged_match(spark):
+    x = addresses(spark, [(1, "10", "MAINE", "St", "45220"), (2, "99", "MAIN", "St", "45220"), (3, "10", "MAIN", "St", "45229"), (4, "10", "OAK", "St", "45220"), (5, "10", "MAIN", "St", "45103")])
+    y = addresses(spark, [(1, "10", "MAIN", "St", "45220"), (2, "11", "MAIN", "St", "45220"), (3, "10", "ELM", "St", "45220"), (4, "10", "MAIN", "St", "45229")], "y_ord")
+    got = match.match_addresses(x, y, zip_variants=None).withColumn("stage", match.match_stage())
+    assert [(r["x_id"], r["stage"], r["y_ord"]) for r in got.orderBy("x_id").collect()] == [(1, "number", 1), (2, "street", None), (3, "number", 4), (4, "zip", None), (5, "none", None)]
+
+
+def test_numbers(spark):
+    x = addresses(spark, [(i, d, "A", "", "1") for i, d in enumerate(["1", "10", "228", "11", "22", "99897", None])])
+    y = addresses(spark, [(i, d, "A", "", "1") for i, d in enumerate(["12", "11", "10", "22"])], "y_ord")
+    got = {r["x_id"]: r["y_ord"] for r in match.match_numbers(x, y, "x_id", "y_ord").collect()}
+    assert got == {0: 2, 1: 2, 2: 3, 3: 1, 4: 3}
+
+
+def test_fuzzy_names(spark):
+    y = ["adams", "pine", "pinye", "woolper"]
+    x = spark.createDataFrame([(0, "Pinye"), (1, "Wolper"), (2, "zzz"), (3, None)], "i int, v string")
+    got = {tuple(r) for r in fuzzy.fuzzy_match(x, spark.createDataFrame(list(enumerate(y)), "j int, v string"), "i", "j", "v", 1).collect()}
+    assert got == {(0, 2, 0), (1, 3, 1)}
+
+
+def test_geocode(spark):
+    line = "LINESTRING (0 0, 0.01 0)"
+    form = "taf_id int, zip string, fromhn int, tohn int, side string, parity string, offset_flag string, geometry_wkt string, street_predirectional string, street_premodifier string, street_pretype string, street_name string, street_posttype string, street_postdirectional string"
+    taf = spark.createDataFrame([(1, "45220", 1, 99, "L", "O", "N", line, "", "", "", "MAIN", "St", ""), (2, "45220", 2, 100, "R", "E", "N", line, "", "", "", "MAIN", "St", ""), (3, "42520", None, 9, "L", "O", "N", line, "", "", "", "ELM", "St", "")], form)
+    x = addresses(spark, [(1, "1", "MAIN", "St", "45220"), (2, "2", "MAIN", "St", "45220"), (3, "5", "ELM", "St", "45220"), (4, "5", "OAK", "St", "45220"), (5, "5", "OAK", "St", None)])
+    got = {r["x_id"]: r for r in geocode.geocode(x, taf).collect()}
+    assert [got[i]["geocode_stage"] for i in range(1, 6)] == ["range", "range", "street_variant", "none", "none"]
+    lat = [float(got[i]["matched_geography"].split()[2].rstrip(")")) for i in (1, 2)]
+    assert lat[0] > 0 > lat[1] and got[3]["matched_geography"] is None
+
+
+def test_counties(spark):
+    ref = spark.createDataFrame([("Hamilton County", "OH", "39061"), ("St. Louis County", "MO", "29189"), ("St. Louis city", "MO", "29510"), ("Orleans Parish", "LA", "22071")], "county_full string, state string, county_fips string")
+    asked = spark.createDataFrame([("Hamilton", "Ohio"), ("orleans", "LA"), ("39061", "OH"), ("Nowhere", "OH")], "county string, state string")
+    assert {r["county"]: r["county_fips"] for r in counties.lookup_counties(asked, ref).collect()} == {"Hamilton": "39061", "orleans": "22071", "39061": "39061", "Nowhere": None}
