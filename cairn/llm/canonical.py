@@ -130,7 +130,8 @@ def candidates(values: DataFrame, canon: DataFrame) -> DataFrame:
     head = given.where("field = 'name' and length(plain) >= 12 and levenshtein(substr(plain, 1, 8), 'city of ', 3) >= 0").select("field", "given", F.expr("regexp_replace(regexp_replace(plain, '^\\\\S+ \\\\S+ ', ''), ' ', '')").alias("value"))
     glued = given.where("field = 'name' and replace(plain, ' ', '') rlike '^cityof|(city|usa|oh|in|ky)$'").select("field", "given", F.expr("regexp_replace(replace(plain, ' ', ''), '^cityof|(city|usa|oh|in|ky)$', '')").alias("value"))
     forms = solid.unionByName(tail).unionByName(head).unionByName(glued).where("value <> ''").distinct()
-    ref = references(canon)
+    forms = materialize(forms, "value_forms")
+    ref = materialize(references(canon), "references")
     near = near_strings(forms, ref)
     near = near.withColumn("slips", F.when(F.col("dist") <= 1, F.col("dist")).otherwise(F.expr(osa_sql("value", "text"))))
     limit = F.when(F.col("field") == "name", F.when(F.length("text") >= 8, 2).otherwise(1)).otherwise(1)
@@ -155,7 +156,7 @@ def map_entries(entries: DataFrame, canon: DataFrame) -> DataFrame:
     require(canon, "canon_id", "field", "canonical")
     values = materialize(values_of(entries), "values")
     near = materialize(candidates(values, canon), "near")
-    options = values.join(near, ["field", "given"]).select("id", "field", "given", "canon_id", "dist")
+    options = materialize(values.join(near, ["field", "given"]).select("id", "field", "given", "canon_id", "dist"), "options")
     exact = options.where("dist = 0").select("id", "field", "canon_id").distinct()
     usual = exact.groupBy("field", "canon_id").agg(F.count(F.lit(1)).alias("n"))
     names, codes = (exact.where(F.col("field") == f).select("id", F.col("canon_id").alias(f"{f}_id")) for f in ("name", "zipcode"))
