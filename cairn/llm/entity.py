@@ -1,10 +1,13 @@
 """Matching of two lists of addressed places that share no key.
 
 Candidates share a MinHash band of the street name's letter pairs (two values, or
-one together with ZIP or town) or the parcel, each taken together with house
-number, suffix and unit, which must agree in any case. Partial and noisy attributes are compared for each candidate
-pair, and a boosted classifier, trained on weak labels from a bounded sample of
-pairs, gives a calibrated probability.
+one together with ZIP or town), each taken together with house number, suffix
+and unit; or the parcel, whole with the unit or its end with the digits of the
+number in any order; or those digits and the place on the map. The unit must
+agree in any case; a number with a slip needs a witness (``slip_witnessed``) and
+yields to the same number. Partial and noisy attributes are compared for each
+candidate pair, and a boosted classifier, trained on weak labels from a bounded
+sample of pairs, gives a calibrated probability.
 """
 
 from __future__ import annotations
@@ -29,6 +32,9 @@ _NUMBER = re.compile(r"(\d+)\s*-?\s*([a-z]?)", re.I)
 #: A normalised side: number and unit; street components, ZIP and town, each by tabs; place as packed microdegrees.
 _SIDE = "side_id string, number string, street string, area string, parcel string, at long"
 
+SLIP_METRES = 15.0  # within which a place speaks for a number with its digits in another order
+_CELL = 0.001
+
 FEATURES = ["name_same", "name_slip", "name_jaccard", "type", "direction", "pre_type", "zip", "city", "parcel", "log_metres", "listed"]
 
 
@@ -88,8 +94,8 @@ def _packed(lat: pd.Series, lon: pd.Series) -> pd.Series:
 
 
 def _unpacked(at: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    known = at.notna().to_numpy()
     v = at.fillna(0).to_numpy(dtype=np.int64)
+    known = v != 0
     lat, lon = ((v >> 32) - (1 << 30)) / 1e6, ((v & 0xFFFFFFFF) - (1 << 30)) / 1e6
     return np.where(known, lat, math.nan), np.where(known, lon, math.nan)
 
@@ -127,7 +133,11 @@ def _hashed(values: list[str]) -> np.ndarray:
 
 
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Block keys of a normalised side, each a hash of number and unit and one more thing."""
+    """Block keys of a normalised side, each a hash of two things or more.
+
+    The first are free of slips in the name, the last of slips in the number.
+    A column ``around`` asks for the places within reach, not the own one only.
+    """
     bands = _Memo(lambda name: np.array(minhash(name) or [0] * HASHES, dtype=np.uint64))
     odd = np.uint64(0x9E3779B97F4A7C15)
     mix = lambda u, v: ((u * odd) ^ (v + odd)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -140,8 +150,56 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [(named, sig[:, j] * odd ^ sig[:, j + 1] + np.uint64(j)) for j in range(0, HASHES, 2)]
         parts.append((named & np.array([z != "" for z in zips], dtype=bool), _hashed(list(zips)) ^ sig[:, 0]))
         parts.append((named & np.array([c != "" for c in cities], dtype=bool), _hashed(list(cities)) ^ sig[:, 1]))
-        parts.append(((parcel.str.len() >= 6).to_numpy(), _hashed(list(parcel.str[-6:]))))
-        yield pd.DataFrame({"key": np.concatenate([mix(base[ok], v[ok]).view(np.int64) for ok, v in parts]), "rid": np.concatenate([rid[ok] for ok, _ in parts])})
+        parts = [(ok, mix(base, v)) for ok, v in parts]
+        units, loose = _hashed([n.split("|")[1] for n in b["number"]]), _hashed([_digits(n) for n in b["number"]])
+        told = (parcel.str.len() >= 6).to_numpy()
+        parts.append((told, mix(loose, _hashed(list(parcel.str[-6:])))))
+        parts.append((told, mix(units, _hashed(list(parcel)))))
+        lat, lon = _unpacked(b["at"])
+        at = np.isfinite(lat)
+        # degrees in which SLIP_METRES lie; of longitude more, the nearer to a pole
+        north = np.where(at, SLIP_METRES / 111_000, 0.0)
+        east = north / np.maximum(np.cos(np.radians(np.where(at, lat, 0.0))), 0.01)
+        cell = lambda dy, dx: tuple(np.floor(np.where(at, v + d, 0.0) / _CELL).astype(np.int64) for v, d in ((lat, dy * north), (lon, dx * east)))
+        seen = []
+        for dy, dx in ((-1, -1), (-1, 1), (1, -1), (1, 1)) if "around" in b else ((0, 0),):
+            y, x = cell(dy, dx)
+            new = at & ~np.any([(y == v) & (x == w) for v, w in seen] or [np.zeros(len(b), dtype=bool)], axis=0)
+            parts.append((new, mix(loose, mix(y.view(np.uint64), x.view(np.uint64)))))
+            seen.append((y, x))
+        yield pd.DataFrame({"key": np.concatenate([k[ok].view(np.int64) for ok, k in parts]), "rid": np.concatenate([rid[ok] for ok, _ in parts])})
+
+
+def _digits(number: str) -> str:
+    """A normalised number with its digits in order of size, suffix and unit as they are."""
+    house, _, unit = number.partition("|")
+    return "".join(sorted(c for c in house if c.isdigit())) + house.lstrip("0123456789") + "|" + unit
+
+
+def number_slip(a: str, b: str) -> float:
+    """1 same number, 0.5 its digits in another order, 0 another slip, -1 another
+    number. Other slips are one edit, or digits in another order where one side
+    lacks the suffix. Units must agree."""
+    if a == b:
+        return 1.0
+    (x, _, u), (y, _, v) = a.partition("|"), b.partition("|")
+    if u != v:
+        return -1.0
+    if _digits(a) == _digits(b):
+        return 0.5
+    bare = x.isdigit() != y.isdigit() and sorted(filter(str.isdigit, x)) == sorted(filter(str.isdigit, y))
+    return 0.0 if bare or _osa(x, y, 2) < 2 else -1.0
+
+
+def slip_witnessed(slip: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether a pair may stand with this agreement of numbers.
+
+    Neighbours' numbers are one digit apart, so most slips need the same whole
+    parcel; digits in another order also go with the end of the parcel, or a
+    place too near for a neighbour.
+    """
+    parcel, metres = x[:, FEATURES.index("parcel")], x[:, FEATURES.index("log_metres")]
+    return (slip == 1) | ((slip >= 0) & (parcel == 2)) | ((slip == 0.5) & ((parcel >= 1) | (metres <= math.log10(SLIP_METRES + 1))))
 
 
 def _osa(a: str, b: str, most: int = 3) -> int:
@@ -213,7 +271,7 @@ def compare(b: pd.DataFrame) -> np.ndarray:
 def weak_labels(x: np.ndarray) -> np.ndarray:
     """1 for pairs that surely agree, 0 for pairs that surely do not, NaN between.
 
-    Number, suffix and unit agree in every pair. Of the independent witnesses
+    Number, suffix and unit agree in every pair but for witnessed slips. Of the independent witnesses
     (street, ZIP or town, parcel, place on the map) several must speak alike.
     """
     f = dict(zip(FEATURES, x.T))
@@ -251,8 +309,10 @@ def match_entities(sites: DataFrame, points: DataFrame, threshold: float = 0.5,
 
     The classifier is fitted on at most about ``sample_pairs`` candidate pairs;
     all pairs are judged. A site gets the most probable point if its probability
-    reaches ``threshold`` (ties: the lowest uuid), else no row. House number with
-    suffix and unit must agree exactly; without a number a site has no match.
+    reaches ``threshold`` (ties: the highest uuid), else no row. Points of the same
+    house number with suffix and unit go first; a number with a slip counts only
+    where parcel or place bear it out (``slip_witnessed``). Without a number a
+    site has no match.
     NULL, empty and zero values count as missing. Repeated deliveries change
     nothing: the pair's best comparison counts. Empty tables give an empty
     result; extra columns are ignored.
@@ -261,23 +321,31 @@ def match_entities(sites: DataFrame, points: DataFrame, threshold: float = 0.5,
     require(points, "uuid", "add_number", "addnum_suf", "st_predir", "st_premod", "st_pretyp", "st_name", "st_postyp", "st_posdir", "subaddress", "post_city", "zip_code", "latitude", "longitude", "parcel_id")
     left = sites.where("site_id is not null").select(F.col("site_id").cast("string").alias("id"), "house_no", "street_line", "city", "zip", "lat", "lon", "parcel_ref").dropDuplicates()
     right = points.where("uuid is not null").select(F.col("uuid").alias("id"), "add_number", "addnum_suf", "st_predir", "st_premod", "st_pretyp", "st_name", "st_postyp", "st_posdir", "subaddress", "post_city", "zip_code", "latitude", "longitude", "parcel_id")
-    numbered = lambda d: d.where("number <> ''").withColumn("rid", F.monotonically_increasing_id())
+    # a NULL would turn the packed places of a batch into floats, too coarse for them
+    numbered = lambda d: d.where("number <> ''").fillna(0, ["at"]).withColumn("rid", F.monotonically_increasing_id())
     b = materialize(numbered(right.mapInPandas(_points, _SIDE)), "points")
     a = materialize(_listed(numbered(left.mapInPandas(_sites, _SIDE)), b), "sites")
     key = "key long, rid long"
-    pairs = a.mapInPandas(_keys, key).withColumnRenamed("rid", "a_rid").join(b.mapInPandas(_keys, key).withColumnRenamed("rid", "b_rid"), "key").select("a_rid", "b_rid").distinct()
+    pairs = a.withColumn("around", F.lit(True)).mapInPandas(_keys, key).withColumnRenamed("rid", "a_rid").join(b.mapInPandas(_keys, key).withColumnRenamed("rid", "b_rid"), "key").select("a_rid", "b_rid").distinct()
     shown = lambda side, s: side.select(*(F.col(c).alias(f"{s}_{c}" if c != "side_id" else f"{s}_id") for c in side.columns))
-    columns = ["a_id", "b_id", "a_listed", *(f"{s}_{c}" for c in ("street", "area", "parcel", "at") for s in "ab")]
-    # keys are hashes: number and unit are compared as written
-    full = pairs.join(shown(a, "a"), "a_rid").join(shown(b, "b"), "b_rid").where("a_number = b_number").select(*columns)
+    # keys are hashes: numbers are compared as written
+    differ = F.col("a_number") != F.col("b_number")
+    numbers = [F.when(differ, F.col(f"{s}_number")).alias(f"{s}_number") for s in "ab"]
+    columns = ["a_id", "b_id", "a_listed", *numbers, *(f"{s}_{c}" for c in ("street", "area", "parcel", "at") for s in "ab")]
+    full = pairs.join(shown(a, "a"), "a_rid").join(shown(b, "b"), "b_rid").select(*columns)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            yield pd.concat([p[["a_id", "b_id"]].reset_index(drop=True), pd.DataFrame(compare(p), columns=FEATURES)], axis=1)
-
-    judged = materialize(full.mapInPandas(features, "a_id string, b_id string, " + ", ".join(f"{f} double" for f in FEATURES)), "features")
+            slip = np.array([number_slip(u, v) if isinstance(u, str) else 1.0 for u, v in zip(p["a_number"], p["b_number"])])
+            p, slip = p[slip >= 0].reset_index(drop=True), slip[slip >= 0]
+            x = compare(p)
+            ok = slip_witnessed(slip, x)
+            yield pd.concat([p[["a_id", "b_id"]], pd.DataFrame(x, columns=FEATURES).assign(number=slip)], axis=1)[ok]
+
+    known_by = [*FEATURES, "number"]
+    judged = materialize(full.mapInPandas(features, "a_id string, b_id string, " + ", ".join(f"{f} double" for f in known_by)), "features")
     n = judged.count()
-    seen = judged.sample(min(1.0, sample_pairs / max(n, 1)), seed=5).select(*FEATURES).toPandas().to_numpy(dtype=float)
+    seen = judged.sample(min(1.0, sample_pairs / max(n, 1)), seed=5).select(*known_by).toPandas().to_numpy(dtype=float)
     y = weak_labels(seen) if len(seen) else np.zeros(0)
     known = ~np.isnan(y)
     # pairs are also learnt with a witness hidden, so that each of them weighs on its own
@@ -291,8 +359,8 @@ def match_entities(sites: DataFrame, points: DataFrame, threshold: float = 0.5,
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            yield pd.DataFrame({"a_id": p["a_id"], "b_id": p["b_id"], "confidence": model.predict(p[FEATURES].to_numpy(dtype=float))})
+            yield pd.DataFrame({"a_id": p["a_id"], "b_id": p["b_id"], "same": p["number"] == 1, "confidence": model.predict(p[known_by].to_numpy(dtype=float))})
 
-    scored = judged.mapInPandas(judge, "a_id string, b_id string, confidence double").where(F.col("confidence") >= threshold)
-    best = scored.groupBy("a_id").agg(F.max_by("b_id", F.struct("confidence", "b_id")).alias("uuid"), F.max("confidence").alias("confidence"))
-    return best.select(F.col("a_id").cast("long").alias("site_id"), "uuid", "confidence")
+    scored = judged.mapInPandas(judge, "a_id string, b_id string, same boolean, confidence double").where(F.col("confidence") >= threshold)
+    best = scored.groupBy("a_id").agg(F.max(F.struct("same", "confidence", "b_id")).alias("best"))
+    return best.select(F.col("a_id").cast("long").alias("site_id"), F.col("best.b_id").alias("uuid"), "best.confidence")

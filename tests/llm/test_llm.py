@@ -76,6 +76,31 @@ def test_features_of_pairs():
     assert x[0].tolist() == [1, 0, 1, 2, 2, 1, 1, 1, 2, 0, 2] and entity.weak_labels(x).tolist() == [1.0]
 
 
+def test_number_slips():
+    assert [entity.number_slip("6098|", n) for n in ("6098|", "6908|", "6099|", "698|", "6098a|", "6098|4", "7198|")] == [1, 0.5, 0, 0, 0, -1, -1]
+    assert entity.number_slip("6013a|2", "6031|2") == 0 and entity.number_slip("6013a|", "6031b|") == -1
+
+
+def test_sites_with_a_slip_in_the_number(spark):
+    nad = "uuid string, add_number int, addnum_suf string, st_predir string, st_premod string, st_pretyp string, st_name string, st_postyp string, st_posdir string, subaddress string, post_city string, zip_code string, latitude double, longitude double, parcel_id string"
+    place = lambda n, side: (39.0 + n * 4e-5, -84.0 - 0.05 * side)
+    parcel = lambda n, side: f"{n:06d}{side}7531"
+    have = [(n, k, side) for n in range(1200, 1700, 7) for side, k in enumerate(["Street", "Avenue"])]
+    points = [(f"{n}{k[0]}", n, None, None, None, None, "Flodorpryor", k, None, None, "Townham", "11111", *place(n, side), parcel(n, side)) for n, k, side in have]
+    sites = [(n, str(n), f"Flodorpryor {k}", "Townham", "11111", *place(n, side), parcel(n, side) if n % 2 else None) for n, k, side in have if side == 0]
+    odd = [
+        (1, "1241", "Flodorpryor Street", "Townham", "11111", None, None, parcel(1214, 0)),  # transposed, same parcel
+        (2, "1275", "Flodorpryor Street", "Townham", "11111", None, None, parcel(1277, 0)),  # another slip, same parcel
+        (3, "1921", "Flodorpryor Street", "Townham", "11111", *place(1291, 0), None),  # transposed, same place
+        (4, "1943", "Flodorpryor Street", "Townham", "11111", None, None, None),  # 1439 is no lot, and nothing bears out another
+        (5, "1228", "Flodorpryor Street", "Townham", "11111", *place(1235, 0), None),  # the same number goes first
+        (6, "1208", "Flodorpryor Street", "Townham", "11111", *place(1207, 0), None),  # a neighbour's number is no slip
+    ]
+    got = {r["site_id"]: r["uuid"] for r in entity.match_entities(spark.createDataFrame(sites + odd, "site_id int, house_no string, street_line string, city string, zip string, lat double, lon double, parcel_ref string"), spark.createDataFrame(points, nad)).collect()}
+    assert {i: u for i, u in got.items() if i < 10} == {1: "1214S", 2: "1277S", 3: "1291S", 5: "1228S"}
+    assert all(got.get(n) == f"{n}S" for n, *_ in sites)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_packing_plan(seed):
     r = random.Random(seed)
