@@ -7,8 +7,10 @@ the spans above the kind's calibrated threshold are taken, the surest first.
 
 The classifiers learn from weak labels: phrases that announce a kind ("call",
 "my name is") or rule it out ("tracking says", "ticket") label the spans beside
-them in a bounded sample of documents, and each labelled span is also shown with
-its context hidden, so that form alone suffices where nothing announces a span.
+them, and each labelled span is also shown with its context hidden, so that form
+alone suffices where nothing announces a span. Names, cues and thresholds come
+from the labels of all documents, reduced to bounded tables; the trees alone are
+fitted on a bounded sample.
 """
 
 from __future__ import annotations
@@ -26,10 +28,13 @@ from pyspark.sql import functions as F
 
 from cairn.functions.dicts import POST_TYPES
 from cairn.llm.boost import Boosted
-from cairn.session import require
+from cairn.session import materialize, require
 
 KINDS = ("email", "phone", "id", "address", "name")
-SAMPLE_DOCUMENTS = 6_000  # documents from which the classifiers learn, at most about
+SAMPLE_DOCUMENTS = 6_000  # documents on which the trees are fitted, at most about
+GIVEN_SHARE = 10_000  # a given name goes with one in so many of the announced families at least, an ending with one in ENDING_SHARE
+ENDING_SHARE = 100
+CUE_SHARE = 1_000  # a cue stands beside one in so many of the labelled spans of its kind at least
 
 # Words that end a street name in running text (full words and
 # abbreviations of the usual types; ambiguous ones are left to the classifier).
@@ -109,24 +114,33 @@ class Lexicon:
     @classmethod
     def learn(cls, texts: list[str]) -> Lexicon:
         first, last = defaultdict(set), defaultdict(set)
-        for t in texts:
-            for m in _PAIR.finditer(t):
-                if _ANNOUNCES["name"].search(t, max(0, m.start() - 40), m.start()) or _ADDRESSEE.match(t, m.end()):
-                    a, b = (m[4], m[1]) if m[3] else (m[1], m[4])
-                    if len(b) >= 6 and len(a) >= 2:
-                        first[a.lower()].add(b.lower())
-                        last[b.lower()].add(a.lower())
-        given = {g for g, f in first.items() if len(f) >= 2 and len(g) >= 3 and g not in _PLAIN and g not in _PLACES}
-        tails: dict[str, set[str]] = defaultdict(set)
-        for f, gs in last.items():
-            if gs & given:
-                for n in (4, 5, 6):
-                    tails[f[-n:]].add(f)
-        families = {f for f, gs in last.items() if gs & given}
-        common = [e for e, f in tails.items() if len(f) >= max(4, len(families) // 100)]
+        for a, b in {p for t in texts for p in announced_pairs(t)}:
+            first[a].add(b)
+            last[b].add(a)
+        given = cls.givens({g: len(f) for g, f in first.items()}, len(last))
+        families = [f for f, gs in last.items() if gs & given]
+        return cls(given, cls.ends(Counter(f[-n:] for f in families for n in (4, 5, 6)), len(families)))
+
+    @staticmethod
+    def givens(families: dict[str, int], n: int) -> frozenset[str]:
+        """Given names by the number of families announced with them, of ``n`` families."""
+        return frozenset(g for g, f in families.items() if f >= max(2, n // GIVEN_SHARE) and len(g) >= 3 and g not in _PLAIN and g not in _PLACES)
+
+    @staticmethod
+    def ends(families: dict[str, int], n: int) -> tuple[str, ...]:
+        """Endings by the number of families that have them, of ``n`` families."""
+        common = sorted(e for e, f in families.items() if f >= max(4, n // ENDING_SHARE))
         # a longer ending says no more than a shorter one that ends it
-        endings = tuple(sorted((e for e in common if not any(o != e and e.endswith(o) for o in common)), key=len, reverse=True))
-        return cls(frozenset(given), endings)
+        return tuple(sorted((e for e in common if not any(o != e and e.endswith(o) for o in common)), key=len, reverse=True))
+
+
+def announced_pairs(text: str) -> Iterator[tuple[str, str]]:
+    """(given, family) of the announced names of a text, in lower case."""
+    for m in _PAIR.finditer(text):
+        if _ANNOUNCES["name"].search(text, max(0, m.start() - 40), m.start()) or _ADDRESSEE.match(text, m.end()):
+            a, b = (m[4], m[1]) if m[3] else (m[1], m[4])
+            if len(b) >= 6 and len(a) >= 2:
+                yield a.lower(), b.lower()
 
 
 _BEFORE = re.compile(rf"(?<![\w@.+-])((?:({_L}[\w'’-]*)|({_L}\.))(?:[ \t]+({_L})\.?)?[ \t]+)$")
@@ -202,6 +216,7 @@ def _shorter(text: str, form: str, a: int, b: int) -> list[tuple[str, str, int,
 
 
 FEATURES = ["form", "length", "digits", "letters", "words", "first digit", "fives", "separators", "upper", "capital words", "plain words", "place word", "file", "given", "ending", "same case", "before", "after", "line start", "line end", "announced", "ruled out", "left cue", "right cue"]
+_SPEAKING = FEATURES.index("announced")  # the features before it need neither labels nor cues
 _HIDDEN = [FEATURES.index(f) for f in ("before", "after", "line start", "line end", "announced", "ruled out", "left cue", "right cue")]
 
 
@@ -286,6 +301,32 @@ def weak_label(text: str, kind: str, form: str, a: int, b: int, lex: Lexicon) ->
     return 1.0 if yes else 0.0
 
 
+def labelled(text: str, lex: Lexicon) -> list[tuple[str, str, int, int, float]]:
+    """(kind, form, start, end, label) of the spans whose weak label is known."""
+    out = [(k, f, a, b, weak_label(text, k, f, a, b, lex)) for k, f, a, b in spans(text, lex)]
+    return [s for s in out if s[-1] == s[-1]]
+
+
+def _beside(text: str, a: int, b: int) -> set[str]:
+    left, right = _words(text, a, b)
+    return set(left + right)
+
+
+def cue_scores(counts: dict[str, tuple[float, float]], n: float, m: float) -> dict[str, float]:
+    """Log odds of words beside spans, by how many of ``n`` spans labelled 1 and
+    ``m`` labelled 0 they stand beside."""
+    least = max(5, (n + m) / CUE_SHARE)
+    n, m = max(1.0, n), max(1.0, m)
+    return {w: math.log((yes + 0.5) / n) - math.log((no + 0.5) / m) for w, (yes, no) in counts.items() if yes + no >= least}
+
+
+def muted(x: np.ndarray) -> np.ndarray:
+    """Features of spans as if their context were not known to speak either way."""
+    mute = x.copy()
+    mute[:, _HIDDEN[-4:]] = 0.0
+    return mute
+
+
 @dataclass
 class Detector:
     """Lexicon, context cues, and a classifier with its threshold for each kind."""
@@ -296,28 +337,26 @@ class Detector:
     thresholds: dict[str, float] = field(default_factory=dict)
 
     @classmethod
-    def fit(cls, texts: list[str], seed: int = 3) -> Detector:
-        lex = Lexicon.learn(texts)
-        found = [(t, *s) for t in dict.fromkeys(texts) for s in spans(t, lex)]
-        labels = np.array([weak_label(t, k, f, a, b, lex) for t, k, f, a, b in found])
-        self = cls(lex)
+    def fit(cls, texts: list[str], seed: int = 3, lexicon: Lexicon | None = None, cues: dict[str, dict[str, float]] | None = None) -> Detector:
+        """Fitted on ``texts``, by a lexicon and cues learnt elsewhere if given."""
+        self = cls(Lexicon.learn(texts) if lexicon is None else lexicon)
+        found = [(t, *s) for t in dict.fromkeys(texts) for s in labelled(t, self.lexicon)]
         for kind in KINDS:
-            at = [i for i, (_, k, *_) in enumerate(found) if k == kind and labels[i] == labels[i]]
-            y = labels[at]
-            yes, no = Counter(), Counter()
-            for i, v in zip(at, y):
-                left, right = _words(found[i][0], found[i][3], found[i][4])
-                (yes if v else no).update(set(left + right))
-            n, m = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
-            self.cues[kind] = {w: math.log((yes[w] + 0.5) / n) - math.log((no[w] + 0.5) / m) for w in yes | no if yes[w] + no[w] >= 5}
-            if not len(at):
+            own = [s for s in found if s[1] == kind]
+            y = np.array([s[-1] for s in own])
+            if cues is None:
+                yes, no = Counter(), Counter()
+                for t, _, _, a, b, v in own:
+                    (yes if v else no).update(_beside(t, a, b))
+                self.cues[kind] = cue_scores({w: (yes[w], no[w]) for w in yes | no}, y.sum(), len(y) - y.sum())
+            else:
+                self.cues[kind] = cues.get(kind, {})
+            if not own:
                 continue
-            x = np.array([describe(t, k, f, a, b, lex, self.cues[kind]) for t, k, f, a, b in (found[i] for i in at)])
+            x = np.array([describe(t, k, f, a, b, self.lexicon, self.cues[kind]) for t, k, f, a, b, _ in own])
             bare = x.copy()
             bare[:, _HIDDEN] = math.nan
-            # a span whose context is not known to speak either way
-            mute = x.copy()
-            mute[:, _HIDDEN[-4:]] = 0.0
+            mute = muted(x)
             model = Boosted(rounds=40, depth=4).fit(np.concatenate([x, bare, mute]), np.tile(y, 3), seed=seed)
             self.models[kind] = model
             self.thresholds[kind] = best_threshold(model.predict(mute), y)
@@ -351,25 +390,109 @@ class Detector:
         return out
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+_LEVELS = np.arange(0.2, 0.81, 0.05)
+
+
+def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> float:
     """The threshold in [0.2, 0.8] with the best F1 (ties: nearest to one half)."""
+    w = np.ones(len(y)) if weight is None else weight
     best = (-1.0, 0.0, 0.5)
-    for t in np.arange(0.2, 0.81, 0.05):
+    for t in _LEVELS:
         got = p >= t
-        hit = float((got & (y > 0.5)).sum())
-        f = 2 * hit / max(1.0, got.sum() + (y > 0.5).sum())
+        hit = float(w[got & (y > 0.5)].sum())
+        f = 2 * hit / max(1.0, w[got].sum() + w[y > 0.5].sum())
         best = max(best, (round(f, 3), -abs(t - 0.5), float(t)))
     return best[2]
 
 
+def learn_lexicon(texts: DataFrame) -> Lexicon:
+    """``Lexicon.learn`` over all rows of ``text``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame(sorted({p for t in b["text"].unique() for p in announced_pairs(t)}), columns=["given", "family"])
+
+    pairs = materialize(texts.select("text").mapInPandas(run, "given string, family string").distinct(), "announced")
+    n = pairs.select("family").distinct().count()
+    first = pairs.groupBy("given").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2, n // GIVEN_SHARE))
+    given = Lexicon.givens({r["given"]: r["n"] for r in first.toLocalIterator()}, n)
+    if not given:
+        return Lexicon()
+    known = texts.sparkSession.createDataFrame([(g,) for g in sorted(given)], "given string")
+    families = pairs.join(F.broadcast(known), "given", "left_semi").select("family").distinct()
+    n = families.count()
+    tails = families.select(F.explode(F.array_distinct(F.array(*(F.expr(f"right(family, {k})") for k in (4, 5, 6))))).alias("tail"))
+    last = tails.groupBy("tail").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(4, n // ENDING_SHARE))
+    return Lexicon(given, Lexicon.ends({r["tail"]: r["n"] for r in last.toLocalIterator()}, n))
+
+
+def label_spans(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``kind, label, beside, features`` of all spans with a known weak label;
+    copies of a text count once. ``features`` are those of form and place."""
+    shared = texts.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for h, t in b.drop_duplicates("h")[["h", "text"]].itertuples(index=False):
+                for k, f, x, y, v in labelled(t, shared.value):
+                    rows.append((h, k, f, x, y, v, sorted(_beside(t, x, y)), describe(t, k, f, x, y, shared.value, {})[:_SPEAKING]))
+            yield pd.DataFrame(rows, columns=["h", "kind", "form", "start", "end", "label", "beside", "features"])
+
+    rows = texts.select("text", F.xxhash64("text").alias("h")).mapInPandas(run, "h long, kind string, form string, start int, end int, label double, beside array<string>, features array<double>")
+    return materialize(rows.dropDuplicates(["h", "kind", "form", "start", "end"]).select("kind", "label", "beside", "features"), "labels")
+
+
+def learn_cues(labels: DataFrame) -> dict[str, dict[str, float]]:
+    """The cues of each kind, from all labelled spans."""
+    yes, no = F.sum("label"), F.sum(1 - F.col("label"))
+    size = {r["kind"]: (r["yes"], r["no"]) for r in labels.groupBy("kind").agg(yes.alias("yes"), no.alias("no")).collect()}
+    words = labels.select("kind", "label", F.explode("beside").alias("word")).groupBy("kind", "word").agg(yes.alias("yes"), no.alias("no"))
+    least = F.lit(0.0)
+    for kind, (n, m) in size.items():
+        least = F.when(F.col("kind") == kind, max(5.0, (n + m) / CUE_SHARE)).otherwise(least)
+    counts: dict[str, dict[str, tuple[float, float]]] = {k: {} for k in size}
+    for r in words.where(F.col("yes") + F.col("no") >= least).toLocalIterator():
+        counts[r["kind"]][r["word"]] = (r["yes"], r["no"])
+    return {k: cue_scores(dict(sorted(c.items())), *size[k]) for k, c in counts.items()}
+
+
+def choose_thresholds(labels: DataFrame, models: dict[str, Boosted]) -> dict[str, float]:
+    """The threshold of each kind that has a model, from all labelled spans."""
+    shared = labels.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for kind, own in b.groupby("kind"):
+                if kind in shared.value:
+                    x = np.zeros((len(own), len(FEATURES)))
+                    x[:, :_SPEAKING] = np.stack(own["features"].to_list())
+                    level = np.searchsorted(_LEVELS, shared.value[kind].predict(x), side="right")
+                    yield own[["kind", "label"]].assign(level=level).groupby(["kind", "label", "level"]).size().reset_index(name="n")
+
+    counts: dict[str, list[tuple[float, float, int]]] = defaultdict(list)
+    levels = labels.select("kind", "label", "features").mapInPandas(run, "kind string, label double, level int, n long")
+    for r in levels.groupBy("kind", "label", "level").agg(F.sum("n").alias("n")).collect():
+        counts[r["kind"]].append((_LEVELS[r["level"] - 1] if r["level"] else 0.0, r["label"], r["n"]))
+    return {k: best_threshold(*(np.array(v, dtype=float) for v in zip(*rows))) for k, rows in counts.items()}
+
+
 def fit_detector(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, seed: int = 3) -> Detector:
-    """A detector fitted on at most about ``sample_documents`` texts, picked by a
-    hash of the text, so that copies count once."""
+    """A detector whose lexicon, cues and thresholds are learnt from all texts.
+
+    The trees are fitted on at most about ``sample_documents`` texts, picked by
+    a hash of the text, so that copies count once.
+    """
     texts = documents.where("text is not null and text <> ''")
+    lexicon = learn_lexicon(texts)
+    labels = label_spans(texts, lexicon)
+    cues = learn_cues(labels)
     n = texts.count()
     share = min(1.0, sample_documents / max(n, 1))
     picked = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("text").distinct()
-    return Detector.fit(sorted(r["text"] for r in picked.limit(2 * sample_documents).toLocalIterator()), seed)
+    detector = Detector.fit(sorted(r["text"] for r in picked.limit(2 * sample_documents).toLocalIterator()), seed, lexicon, cues)
+    detector.thresholds |= choose_thresholds(labels, detector.models)
+    return detector
 
 
 def find_personal(documents: DataFrame, detector: Detector | None = None) -> DataFrame:
@@ -379,11 +502,11 @@ def find_personal(documents: DataFrame, detector: Detector | None = None) -> Dat
     give no row; texts repeated under other numbers give the same rows again,
     repeated rows of one document one row. Overlapping findings: the surer one,
     then the longer. Without a document the result is empty; extra columns are
-    ignored. Unless given, the detector is fitted on a sample of the documents.
+    ignored. Unless given, the detector is learnt from the documents.
     """
     require(documents, "doc_id", "text")
     detector = fit_detector(documents) if detector is None else detector
-    shared = documents.sparkSession.sparkContext.broadcast(detector)  # bounded by the sample
+    shared = documents.sparkSession.sparkContext.broadcast(detector)  # bounded by the sample and by shares of the labels
     kind = dict(documents.dtypes)["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -183,3 +183,25 @@ def test_redact(spark):
     docs = spark.createDataFrame([(1, "Call (555) 555-0199 before noon."), (2, None), (3, "")], "doc_id int, text string")
     assert {r["doc_id"]: r["text"] for r in pii.redact(docs, d).collect()} == {1: "Call [PHONE] before noon.", 2: None, 3: ""}
     assert [tuple(r) for r in pii.find_personal(docs, d).collect()] == [(1, "phone", "(555) 555-0199")]
+
+
+def test_detector_learns_from_all_texts(spark):
+    # one text in eight is sampled; each family is announced once with each given name
+    whole = pii.Detector.fit(TEXTS)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, *TEXTS[:9], None, ""])], "doc_id int, text string").repartition(3)
+    d = pii.fit_detector(docs, sample_documents=len(TEXTS) // 8)
+    assert d.lexicon == whole.lexicon and {"marta", "rufus", "priya", "anton"} == d.lexicon.given and len(d.lexicon.endings) == 3
+    assert d.cues == {k: pytest.approx(c) for k, c in whole.cues.items()} and d.cues["phone"]
+    assert ("name", "family, given", 9, 24) in pii.spans("Noted by Wavotorp, Anton in May.", d.lexicon)
+
+
+def test_thresholds_from_all_labels(spark):
+    r = np.random.default_rng(4)
+    p, y = r.random(400), (r.random(400) < 0.4).astype(float)
+    level = np.searchsorted(pii._LEVELS, p, side="right")
+    cells, n = np.unique(np.stack([level, y]), axis=1, return_counts=True)
+    shown = np.where(cells[0] > 0, pii._LEVELS[np.maximum(cells[0].astype(int) - 1, 0)], 0.0)
+    assert pii.best_threshold(shown, cells[1], n.astype(float)) == pii.best_threshold(p, y)
+    d = pii.Detector.fit(TEXTS)
+    labels = pii.label_spans(spark.createDataFrame([(t,) for t in TEXTS * 2], "text string"), d.lexicon)
+    assert pii.choose_thresholds(labels, d.models) == d.thresholds
