@@ -110,27 +110,30 @@ def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[l
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
-    """Patterns, each with its multiplicity: a container starts with the largest
-    item left and takes the largest item that fits until none does. A pattern is
-    used as often as its items last, so there are at most as many patterns as sizes."""
-    c = _Counts(counts, capacity)
-    out = []
-    while w := c.below(capacity):
-        items, room = [], capacity
-        used: dict[int, int] = {}
-        s = w
-        while s:
-            take = int(min(c.n[s] - used.get(s, 0), room // s))
-            if take > 0:
-                items += [s] * take
-                used[s] = used.get(s, 0) + take
-                room -= take * s
-            s = c.below(min(room, s - 1))
-        m = min(int(c.n[s]) // k for s, k in used.items())
-        for s, k in used.items():
-            c.n[s] -= m * k
-        out.append((items, m))
-    return out
+    """Patterns, each with its multiplicity: the items, largest first, each go
+    into the open container with the least sufficient room, or a new one.
+
+    Items of one size that follow each other fill one container after another,
+    so they are dealt to all containers of a pattern at once, and a size adds at
+    most two patterns."""
+    rooms: list[list[tuple[list[int], int]]] = [[] for _ in range(capacity + 1)]  # open patterns by room left
+    for s in sorted((s for s, n in counts.items() if n > 0), reverse=True):
+        n, room = counts[s], s
+        while n > 0:
+            while room <= capacity and not rooms[room]:
+                room += 1
+            if room > capacity:
+                # none has room: a new pattern
+                rooms[capacity].append(([], -(-n // (capacity // s))))
+                room = capacity
+            items, m = rooms[room].pop()
+            k = min(room // s, n)
+            full = min(m, n // k)
+            n -= k * full
+            rooms[room - k * s].append((items + [s] * k, full))
+            if m > full:
+                rooms[room].append((items, m - full))
+    return [p for open_ in rooms for p in open_]
 
 
 def plan_containers(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:

@@ -114,6 +114,19 @@ def test_packing_plan(seed):
     assert used == counts
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_best_fit_item_by_item(seed):
+    r = random.Random(300 + seed)
+    counts = {s: r.randint(1, 5) for s in r.sample(range(1, 31), 12)}
+    loads: list[int] = []
+    for s in sorted((s for s, n in counts.items() for _ in range(n)), reverse=True):
+        fullest = max((v for v in loads if v + s <= 30), default=None)
+        if fullest is not None:
+            loads.remove(fullest)
+        loads.append((fullest or 0) + s)
+    assert sorted(sum(items) for items, m in packing.best_fit(counts, 30) for _ in range(m)) == sorted(loads)
+
+
 def least_containers(items, capacity):
     items, best = sorted(items, reverse=True), len(items)
 
