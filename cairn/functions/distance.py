@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,14 +28,22 @@ def osa(a: str, b: str) -> Column:
     return F.when(F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull(), F.expr(osa_sql(f"`{a}`", f"`{b}`")))
 
 
-def osa_within(a: str, b: str, limit: float) -> Column:
-    """Whether two columns are at most ``limit`` apart. The built-in Levenshtein
-    distance, never more than twice the other, decides first, so that the fold
-    runs over likely pairs only. An infinite limit gives true for all, NULL too."""
-    if math.isinf(limit):
-        return F.lit(True)
-    if limit <= 0:
-        return F.col(f"`{a}`") == F.col(f"`{b}`")
-    k = int(limit)
-    near = F.levenshtein(F.col(f"`{a}`"), F.col(f"`{b}`"), 2 * k)
-    return F.when((near >= 0) & (near <= k), F.lit(True)).when(near > k, osa(a, b) <= k).when(near < 0, F.lit(False))
+def osa_up_to(a: str, b: str, k: int) -> Column:
+    """Distance of two columns if it is at most ``k``, else NULL.
+
+    The built-in Levenshtein distance, never more than twice the other, decides
+    nearly all pairs. It differs only where neighbours are exchanged: a distance
+    of 2 can be 1 only if both texts have the same letters. The fold runs over
+    what is left.
+    """
+    x, y = F.col(f"`{a}`"), F.col(f"`{b}`")
+    if k < 1:
+        return F.when(x == y, 0)
+    near = F.levenshtein(x, y, 2 * k)
+    letters = lambda c: F.sort_array(F.split(c, ""))
+    same = letters(x) == letters(y)
+    out = F.when(near < 0, F.lit(None).cast("int")).when(near <= 1, near)
+    # with t exchanges and e other edits: distance t + e, near at most 2t + e, and the letters differ by e at most
+    out = out.when((near == 2) & ~same, F.lit(2 if k >= 2 else None).cast("int")).when((near == 2 * k) & ~same, F.lit(None).cast("int"))
+    full = osa(a, b)
+    return out.otherwise(F.when(full <= k, full))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,11 +29,24 @@ def ordinal_number(c: Column) -> Column:
     return F.when(is_ordinal(c), F.regexp_extract(c, "^[0-9]+", 0).try_cast("int"))
 
 
+def _ordinal_words(c: Column) -> Column:
+    """The words of a text in capitals; digits and marks are dropped."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.replace(F.upper(c), F.lit("-"), F.lit(" ")), "[^A-Z ]", ""), " +", " "))
+
+
+def _by_word(c: Column, values: Mapping[str, int | str]) -> Column:
+    """The value of the ordinal words of a text. One lookup in a constant table,
+    so that the expression stays small enough to be compiled."""
+    return F.try_element_at(F.create_map(*(F.lit(v) for kv in values.items() for v in kv)), _ordinal_words(c))
+
+
 def parse_word_ordinal(c: Column) -> Column:
     """The number that ordinal words stand for, 1 to 99; digits and marks are dropped first."""
-    words = F.trim(F.regexp_replace(F.regexp_replace(F.replace(F.upper(c), F.lit("-"), F.lit(" ")), "[^A-Z ]", ""), " +", " "))
-    table = F.create_map(*(F.lit(v) for kv in word_ordinals().items() for v in kv))
-    return F.try_element_at(table, words)
+    return _by_word(c, word_ordinals())
+
+
+def ordinal_text(n: int) -> str:
+    return f"{n}{'TH' if n % 100 in (11, 12, 13) else {1: 'ST', 2: 'ND', 3: 'RD'}.get(n % 10, 'TH')}".upper()
 
 
 def canonical_ordinal(n: Column) -> Column:
@@ -41,7 +56,7 @@ def canonical_ordinal(n: Column) -> Column:
 
 def map_ordinal(c: Column) -> Column:
     """Numeric ordinals in capitals, ordinal words as numbers, all else unchanged."""
-    return F.when(is_ordinal(F.trim(c)), F.upper(F.trim(c))).otherwise(F.coalesce(canonical_ordinal(parse_word_ordinal(c)), c))
+    return F.when(is_ordinal(F.trim(c)), F.upper(F.trim(c))).otherwise(F.coalesce(_by_word(c, {w: ordinal_text(n) for w, n in word_ordinals().items()}), c))
 
 
 def soundex(c: Column) -> Column:
@@ -52,10 +67,9 @@ def soundex(c: Column) -> Column:
 
 def street_key(c: Column) -> Column:
     """``#`` and four digits for an ordinal, else Soundex."""
-    mapped = map_ordinal(c)
-    n = ordinal_number(mapped)
-    padded = F.when(n > 9999, n.cast("string")).otherwise(F.lpad(n.cast("string"), 4, "0"))
-    return F.when(n.isNotNull(), F.concat(F.lit("#"), padded)).otherwise(soundex(mapped))
+    number = F.regexp_extract(F.trim(c), "(?i)^([0-9]+)(st|nd|rd|th)$", 1).try_cast("int")
+    written = F.when(number.isNotNull(), F.format_string("#%04d", number))
+    return F.coalesce(written, _by_word(c, {w: f"#{n:04d}" for w, n in word_ordinals().items()}), soundex(c))
 
 
 def ordinal_neighbors(key: Column) -> Column:

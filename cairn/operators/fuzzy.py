@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.functions.distance import osa
+from cairn.functions.distance import osa, osa_up_to
 from cairn.functions.text import FLAT, PLACE
 from cairn.session import require
 
@@ -24,7 +24,7 @@ DEFAULT_LIMITS: dict[str, float] = {f: 0.0 for f in FLAT} | {"street_name": 1.0}
 
 def deletions(c: str, k: int) -> Column:
     """The string and what is left of it after up to ``k`` deletions (k <= 2)."""
-    once = lambda s: F.when(F.length(s) < 1, F.array(s)).otherwise(F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.lit(10_000)))))
+    once = lambda s: F.when(F.length(s) < 1, F.array(s)).otherwise(F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))))
     col = F.col(c)
     if k < 1:
         return F.array(col)
@@ -34,12 +34,33 @@ def deletions(c: str, k: int) -> Column:
     return F.array_distinct(F.concat(first, F.flatten(F.transform(once(col), once))))
 
 
+def _by_segments(x: DataFrame, y: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """``by, xv, yv`` that may be within ``k`` edits, for any ``k``.
+
+    Cut ``yv`` into 2k + 1 segments: an edit changes one of them, an exchange of
+    neighbours two, so one is left unchanged, at most k characters from its
+    place. A ``yv`` too short for that is compared with the ``xv`` that are not
+    more than k longer.
+    """
+    m = 2 * k + 1
+    long = y.where(F.length("yv") >= m).withColumn("size", F.length("yv"))
+    cut = lambda d: d.withColumn("seg", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumns({"from": F.expr(f"seg * size div {m}"), "to": F.expr(f"(seg + 1) * size div {m}")})
+    pieces = cut(long).select(*by, "yv", "size", "seg", F.expr("substr(yv, from + 1, to - from)").alias("piece"))
+    probes = cut(x.withColumn("size", F.explode(F.sequence(F.greatest(F.length("xv") - k, F.lit(m)), F.greatest(F.length("xv") + k, F.lit(m))))))
+    probes = probes.withColumn("at", F.explode(F.sequence(F.col("from") - k, F.col("from") + k))).where("at >= 0 and at + to - from <= length(xv)")
+    probes = probes.select(*by, "xv", "size", "seg", F.expr("substr(xv, at + 1, to - from)").alias("piece")).distinct()
+    found = probes.join(pieces, [*by, "size", "seg", "piece"]).select(*by, "xv", "yv")
+    brief = x.where(F.length("xv") < m + k).withColumn("size", F.explode(F.sequence(F.greatest(F.length("xv") - k, F.lit(0)), F.length("xv") + k)))
+    short = brief.join(y.where(F.length("yv") < m).withColumn("size", F.length("yv")), [*by, "size"]).select(*by, "xv", "yv")
+    return found.unionByName(short)
+
+
 def close_pairs(x: DataFrame, y: DataFrame, limit: float, by: Sequence[str] = ()) -> DataFrame:
     """``by, xv, yv, dist`` for all distinct values ``xv`` of ``x`` and ``yv`` of
     ``y`` (lower case already) with equal ``by`` and distance up to ``limit``.
 
-    Up to two edits by deletion neighbourhoods; beyond, by comparing within
-    ``by``, which then should be selective. NULL matches nothing.
+    Candidates come from equality joins: on deletion neighbourhoods up to two
+    edits, on segments beyond. NULL matches nothing.
     """
     by = list(by)
     x, y = x.where("xv is not null").select(*by, "xv").distinct(), y.where("yv is not null").select(*by, "yv").distinct()
@@ -47,11 +68,10 @@ def close_pairs(x: DataFrame, y: DataFrame, limit: float, by: Sequence[str] = ()
         return x.join(y.withColumn("xv", F.col("yv")), [*by, "xv"]).select(*by, "xv", "yv", F.lit(0).alias("dist"))
     k = int(limit)
     if k <= 2:
-        keyed = x.withColumn("k", F.explode(deletions("xv", k))).join(y.withColumn("k", F.explode(deletions("yv", k))), [*by, "k"])
-        pairs = keyed.select(*by, "xv", "yv").distinct()
+        found = x.withColumn("k", F.explode(deletions("xv", k))).join(y.withColumn("k", F.explode(deletions("yv", k))), [*by, "k"]).select(*by, "xv", "yv")
     else:
-        pairs = x.join(y, by) if by else x.join(y, F.abs(F.length("xv") - F.length("yv")) <= k)
-    return pairs.where(F.levenshtein("xv", "yv", 2 * k) >= 0).withColumn("dist", osa("xv", "yv")).where(F.col("dist") <= k)
+        found = _by_segments(x, y, k, by)
+    return found.distinct().withColumn("dist", osa_up_to("xv", "yv", k)).where("dist is not null")
 
 
 def nearest_pairs(x: DataFrame, y: DataFrame, limit: float, by: Sequence[str] = ()) -> DataFrame:

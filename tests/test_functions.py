@@ -62,12 +62,12 @@ def test_distance(spark):
     r = random.Random(1)
     word = lambda: "".join(r.choice("abc") for _ in range(r.randint(0, 6)))
     pairs = [(word(), word()) for _ in range(400)] + [("", ""), (None, "a")]
-    rows = spark.createDataFrame(pairs, "a string, b string").withColumn("d", distance.osa("a", "b")).withColumn("near", distance.osa_within("a", "b", 2)).collect()
+    rows = spark.createDataFrame(pairs, "a string, b string").withColumns({"d": distance.osa("a", "b"), **{f"d{k}": distance.osa_up_to("a", "b", k) for k in range(4)}}).collect()
     for x in rows:
         if x["a"] is None:
             assert x["d"] is None
         else:
-            assert x["d"] == osa(x["a"], x["b"]) and x["near"] == (x["d"] <= 2)
+            assert x["d"] == osa(x["a"], x["b"]) and all(x[f"d{k}"] == (x["d"] if x["d"] <= k else None) for k in range(4))
 
 
 def test_geometry(spark):

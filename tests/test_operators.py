@@ -136,3 +136,23 @@ def test_counties(spark):
     ref = spark.createDataFrame([("Hamilton County", "OH", "39061"), ("St. Louis County", "MO", "29189"), ("St. Louis city", "MO", "29510"), ("Orleans Parish", "LA", "22071")], "county_full string, state string, county_fips string")
     asked = spark.createDataFrame([("Hamilton", "Ohio"), ("orleans", "LA"), ("39061", "OH"), ("Nowhere", "OH")], "county string, state string")
     assert {r["county"]: r["county_fips"] for r in counties.lookup_counties(asked, ref).collect()} == {"Hamilton": "39061", "orleans": "22071", "39061": "39061", "Nowhere": None}
+
+
+def test_close_pairs_for_any_limit(spark):
+    import random
+
+    from tests.test_functions import osa
+
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("abcd") for _ in range(n))
+    x, y = [sorted({word(r.randint(0, 11)) for _ in range(60)}) for _ in range(2)]
+    xs, ys = (spark.createDataFrame([(w,) for w in s], f"{c} string") for s, c in ((x, "xv"), (y, "yv")))
+    for k in (1, 2, 3, 4):
+        got = {(p["xv"], p["yv"]): p["dist"] for p in fuzzy.close_pairs(xs, ys, k).collect()}
+        assert got == {(a, b): osa(a, b) for a in x for b in y if osa(a, b) <= k}
+
+
+def test_one_edit_behind_ten_thousand_characters(spark):
+    a = "".join(chr(97 + i * i % 23) for i in range(10_050))
+    x, y = spark.createDataFrame([(a + "xyz",)], "xv string"), spark.createDataFrame([(a + "xz",)], "yv string")
+    assert [r["dist"] for r in fuzzy.close_pairs(x, y, 1).collect()] == [1]
