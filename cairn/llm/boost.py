@@ -79,8 +79,9 @@ class Boosted:
             node = np.where(inner, 2 * node + 1 + right, node)
         return value[node]
 
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, seed: int = 7) -> Boosted:
-        """Fits on four fifths of the rows and calibrates on the others (Platt)."""
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, seed: int = 7, groups: np.ndarray | None = None) -> Boosted:
+        """Fits on four fifths of the rows and calibrates on the others (Platt).
+        Rows of one group (by default each row its own) stay together."""
         x, y = np.asarray(x, dtype=float), np.asarray(y, dtype=float)
         w = np.ones(len(y)) if weight is None else np.asarray(weight, dtype=float)
         self.edges = []
@@ -90,9 +91,11 @@ class Boosted:
             middle = (distinct[1:] + distinct[:-1]) / 2
             self.edges.append(middle if len(middle) <= self.bins else np.unique(np.quantile(v, np.linspace(0, 1, self.bins + 1)[1:-1])))
         b = self._binned(x)
-        order = np.random.default_rng(seed).permutation(len(y))
-        held = np.zeros(len(y), dtype=bool)
-        held[order[: len(y) // 5]] = len(y) >= 50
+        _, group = np.unique(np.arange(len(y)) if groups is None else groups, return_inverse=True)
+        parts = int(group.max()) + 1 if len(group) else 0
+        held = np.zeros(parts, dtype=bool)
+        held[np.random.default_rng(seed).permutation(parts)[: parts // 5]] = parts >= 50
+        held = held[group]
         fit = ~held
         rate = np.clip(np.average(y[fit], weights=w[fit]) if fit.any() else 0.5, 1e-4, 1 - 1e-4)
         self.base = float(np.log(rate / (1 - rate)))
@@ -112,13 +115,20 @@ class Boosted:
         # the targets are drawn in a little, as Platt proposes
         up, down = (y * w).sum(), ((1 - y) * w).sum()
         t = np.where(y > 0.5, (up + 1) / (up + 2), 1 / (down + 2))
+        def loss(a: float, c: float) -> float:
+            v = a * z + c
+            return float((w * (np.logaddexp(0, v) - t * v)).sum() + 0.5 * (a - 1) ** 2)
+
         a, c = 1.0, 0.0
         for _ in range(50):
             p = _sigmoid(a * z + c)
             d, s = w * (p - t), w * p * (1 - p) + 1e-9
-            grad = np.array([(d * z).sum() + 1e-3 * (a - 1), d.sum()])
-            hess = np.array([[(s * z * z).sum() + 1e-3, (s * z).sum()], [(s * z).sum(), s.sum() + 1e-6]])
-            step = np.linalg.solve(hess, grad)
+            grad = np.array([(d * z).sum() + (a - 1), d.sum()])
+            hess = np.array([[(s * z * z).sum() + 1, (s * z).sum()], [(s * z).sum(), s.sum() + 1e-6]])
+            step, now = np.linalg.solve(hess, grad), loss(a, c)
+            # where the classes are apart a full step may lead far astray
+            while np.abs(step).max() >= 1e-8 and loss(a - step[0], c - step[1]) > now:
+                step = step / 2
             a, c = a - step[0], c - step[1]
             if np.abs(step).max() < 1e-8:
                 break
