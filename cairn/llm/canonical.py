@@ -91,6 +91,14 @@ def near_strings(values: DataFrame, ref: DataFrame) -> DataFrame:
     return pairs.withColumn("dist", F.expr("levenshtein(value, text, k)")).where("dist >= 0").select("field", "value", "text", "dist")
 
 
+LONG_NAME, SHORT_NAME, LONG_TYPE = 8, 5, 4  # letters from which a name may have two slips, a name one and its exchange, a street type one
+
+
+def edits_allowed(field: Column, size: Column) -> Column:
+    """Levenshtein edits within which an entry is sought: twice the slips, since an exchange of neighbours counts two."""
+    return F.when(field == "name", F.when(size >= LONG_NAME, 4).when(size >= SHORT_NAME, 2).otherwise(1)).when(field == "zipcode", 2).otherwise(F.when(size >= LONG_TYPE, 2).otherwise(0))
+
+
 def references(canon: DataFrame) -> DataFrame:
     """The reference strings: plain forms of the entries, for street types also
     their usual spellings. ``field, text, canon_id, k``."""
@@ -100,7 +108,7 @@ def references(canon: DataFrame) -> DataFrame:
     kind = canon.where("field = 'posttype'").select("field", F.expr(type_sql("canonical")).alias("text"), "canon_id")
     more = kind.join(spelling, kind["text"] == spelling["canonical"]).select("field", F.expr(type_sql("spelling")).alias("text"), "canon_id")
     size = F.length("text")
-    k = F.when(F.col("field") == "name", F.when(size >= 8, 4).when(size >= 5, 2).otherwise(1)).when(F.col("field") == "zipcode", 2).otherwise(F.when(size >= 4, 2).otherwise(0))
+    k = edits_allowed(F.col("field"), size)
     return name.unionByName(code).unionByName(kind).unionByName(more).where("text <> ''").groupBy("field", "text").agg(F.min("canon_id").alias("canon_id")).withColumn("k", k)
 
 
@@ -134,34 +142,49 @@ def candidates(values: DataFrame, canon: DataFrame) -> DataFrame:
     ref = materialize(references(canon), "references")
     near = near_strings(forms, ref)
     near = near.withColumn("slips", F.when(F.col("dist") <= 1, F.col("dist")).otherwise(F.expr(osa_sql("value", "text"))))
-    limit = F.when(F.col("field") == "name", F.when(F.length("text") >= 8, 2).otherwise(1)).otherwise(1)
+    limit = F.when(F.col("field") == "name", F.when(F.length("text") >= LONG_NAME, 2).otherwise(1)).otherwise(1)
     found = forms.join(near.where(F.col("slips") <= limit), ["field", "value"]).join(ref.select("field", "text", "canon_id"), ["field", "text"])
     return found.groupBy("field", "given", "canon_id").agg(F.min("slips").alias("dist"))
 
 
+def mapped_values(entries: DataFrame, canon: DataFrame) -> DataFrame:
+    """``id, field, given, canon_id``: ``map_entries`` with the value as given."""
+    require(entries, "intake_id", "name", "posttype", "zipcode")
+    require(canon, "canon_id", "field", "canonical")
+    values = materialize(values_of(entries), "values")
+    return _choose(values, materialize(candidates(values, canon), "near"))
+
+
 def map_entries(entries: DataFrame, canon: DataFrame) -> DataFrame:
     """``intake_id, field, canon_id``: the entry of ``canon`` that each value of
     ``entries`` (``intake_id, name, posttype, zipcode``) means.
 
     The nearest entry wins. Among equally near ones the other fields of the
-    record decide: names and ZIPs that occur together in exactly entered records
-    belong together. A ZIP one slip away is not taken when the record's place is
+    record decide: a name and a ZIP belong together if they stand together in
+    ``TOGETHER_SHARE`` of the records that have either exactly. A ZIP one slip away is not taken when the record's place is
     known and has no such ZIP, nor a name two slips away when the ZIP is known
     and belongs elsewhere. What remains tied goes to the entry exactly entered
     more often, then to the lowest ``canon_id``. NULL, empty and placeholder
     values give no row (see ``unmatched``), repeated records one row, empty
     tables an empty result; extra columns are ignored.
     """
-    require(entries, "intake_id", "name", "posttype", "zipcode")
-    require(canon, "canon_id", "field", "canonical")
-    values = materialize(values_of(entries), "values")
-    near = materialize(candidates(values, canon), "near")
+    return mapped_values(entries, canon).select(F.col("id").alias("intake_id"), "field", "canon_id").distinct()
+
+
+#: Of the records in which a name, or a ZIP, stands exactly beside an exact ZIP or name: the part in which a pair belongs together.
+TOGETHER_SHARE = 0.02
+
+
+def _choose(values: DataFrame, near: DataFrame) -> DataFrame:
+    """The entry of each value of each record, among those ``near`` it."""
     options = materialize(values.join(near, ["field", "given"]).select("id", "field", "given", "canon_id", "dist"), "options")
     exact = options.where("dist = 0").select("id", "field", "canon_id").distinct()
     usual = exact.groupBy("field", "canon_id").agg(F.count(F.lit(1)).alias("n"))
     names, codes = (exact.where(F.col("field") == f).select("id", F.col("canon_id").alias(f"{f}_id")) for f in ("name", "zipcode"))
-    together = names.join(codes, "id").groupBy("name_id", "zipcode_id").agg(F.count(F.lit(1)).alias("both")).where("both >= 2")
-    together = materialize(together.select("name_id", "zipcode_id"), "together")
+    # a table of names by ZIPs, however many records there are
+    both = materialize(names.join(codes, "id").groupBy("name_id", "zipcode_id").agg(F.count(F.lit(1)).alias("both")), "both")
+    of = lambda c: F.sum("both").over(Window.partitionBy(c))
+    together = materialize(both.withColumn("least", TOGETHER_SHARE * F.greatest(of("name_id"), of("zipcode_id"))).where("both >= least").select("name_id", "zipcode_id"), "together")
     sure = lambda f: options.where((F.col("field") == f) & (F.col("dist") <= (1 if f == "name" else 0))).groupBy("id").agg(F.min("canon_id").alias(f"{f}_id"), F.max("canon_id").alias("high")).where(f"{f}_id = high").drop("high")
     by_name = sure("name").join(together, "name_id").select("id", F.lit("zipcode").alias("field"), F.col("zipcode_id").alias("canon_id"), F.lit(1).alias("fits"))
     by_code = sure("zipcode").join(together, "zipcode_id").select("id", F.lit("name").alias("field"), F.col("name_id").alias("canon_id"), F.lit(1).alias("fits"))
@@ -173,11 +196,13 @@ def map_entries(entries: DataFrame, canon: DataFrame) -> DataFrame:
     judged = judged.withColumn("rank", F.col("dist") + F.when(strange, 0.5).otherwise(0.0))
     order = Window.partitionBy("id", "field", "given").orderBy("rank", F.coalesce("n", F.lit(0)).desc(), "canon_id")
     best = judged.withColumn("r", F.row_number().over(order)).where("r = 1")
-    return best.select(F.col("id").alias("intake_id"), "field", F.col("canon_id").cast("int").alias("canon_id")).distinct()
+    return best.select("id", "field", "given", F.col("canon_id").cast("int").alias("canon_id"))
 
 
 def unmatched(entries: DataFrame, canon: DataFrame, mapped: DataFrame | None = None) -> DataFrame:
-    """``field, given, n_records``: the values of records that found no entry."""
-    mapped = map_entries(entries, canon) if mapped is None else mapped
-    left = values_of(entries).join(mapped.select(F.col("intake_id").alias("id"), "field"), ["id", "field"], "left_anti")
+    """``field, given, n_records``: the values of records that found no entry,
+    also where the record has another value of the field that did.
+    ``mapped`` is the result of ``mapped_values``, if there is one already."""
+    mapped = mapped_values(entries, canon) if mapped is None else mapped
+    left = values_of(entries).join(mapped.select("id", "field", "given"), ["id", "field", "given"], "left_anti")
     return left.groupBy("field", "given").agg(F.count_distinct("id").alias("n_records"))
