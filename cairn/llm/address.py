@@ -13,8 +13,10 @@ a missing one, so a record without a part goes to the street without it.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -58,6 +60,9 @@ _WAYS = {k.replace(".", "").replace("-", " "): v.lower() for k, v in dictionary(
 _ORDINALS = ordinal_words()
 _PRE = re.compile(rf"({'|'.join(sorted(PRE_TYPE_WORDS, key=len, reverse=True))}) (?=[0-9])")
 _MARKS, _OTHER = re.compile(r"[.'’]"), re.compile(r"[\W_]+")
+LAST_WORD = 5  # letters from which the last word of a name is a key of its own
+LONG_TYPE = 5  # letters from which a street type may have two slips
+LONG_NAME = 8  # letters from which a name may have two slips
 _COMPONENTS = ("pd", "pm", "pt", "name", "po", "sd")
 
 
@@ -128,7 +133,7 @@ def readings(parsed: tuple[str, str, str, str, str, str]) -> list[tuple[str, str
             if set(_deletions(t[0])) & set(_deletions(w)):
                 out.append((_WAYS[w], pm, pt, _name(t[1:]), po, sd))
     if not po:
-        for n in range(2, min(10, len(name) - 3)):
+        for n in range(2, min(max(map(len, _TYPES)) + 2, len(name) - 3)):
             head, tail = name[:-n].rstrip(), name[-n:].lstrip()
             if tail in _TYPES and len(head) >= 4:
                 out.append((pd_, pm, pt, head, _TYPES[tail], sd))
@@ -144,7 +149,7 @@ def readings(parsed: tuple[str, str, str, str, str, str]) -> list[tuple[str, str
 def name_keys(name: str) -> list[str]:
     """Keys of the index: the deletions of the name without spaces and of its last word."""
     keys, last = _deletions(name.replace(" ", "")), name.rsplit(" ", 1)[-1]
-    return list(dict.fromkeys(keys + _deletions(last))) if last != name and len(last) >= 5 else keys
+    return list(dict.fromkeys(keys + _deletions(last))) if last != name and len(last) >= LAST_WORD else keys
 
 
 def _parsed(df: DataFrame, extra: str) -> DataFrame:
@@ -203,37 +208,68 @@ def _name_cost(a: str, b: str) -> float:
     if d == 1:
         likely = len(s) == len(t) and sorted(s) == sorted(t) or _DOUBLED.sub(r"\1", s) == _DOUBLED.sub(r"\1", t)
         return 0.95 if likely else 1.0
-    return 2.0 if d == 2 and min(len(s), len(t)) >= 8 else 9.0
+    return 2.0 if d == 2 and min(len(s), len(t)) >= LONG_NAME else 9.0
+
+
+SLOTS = ("pd", "pm", "pt", "po", "sd")  # the components other than the name
+LACKING = {"pd": 1.0, "pm": 0.7, "pt": 1.0, "po": 1.0, "sd": 1.0}  # a part of the street that is not written
+SURPLUS = {"pd": 3.0, "pm": 2.0, "pt": 5.0, "po": 3.0, "sd": 3.0}  # a written part that the street lacks
+TURNED = 0.5  # a direction at the other end
+_NEVER = 99.0
+
+
+def _surplus(slot: str, word: str, street: dict[str, str]) -> float:
+    if slot == "po" and word.startswith("?"):
+        return _NEVER if word.startswith("??") else 2.0
+    if slot in ("pd", "sd") and (street["pd"] or street["sd"]):
+        return 5.0
+    return SURPLUS[slot]
+
+
+def _part_cost(slot: str, word: str, other: str, part: str) -> float:
+    """Cost of reading a written component as a component of the street."""
+    if slot != other:
+        return TURNED if {slot, other} == {"pd", "sd"} and word == part else _NEVER
+    if word == part:
+        return 0.0
+    if slot == "po":
+        if word.startswith("??"):
+            return 1.6
+        if word.startswith("?"):
+            w, full = word[1:], _FULL.get(part, part)
+            return 0.4 if (_slips(w, full, 3) <= 2 if len(w) >= LONG_TYPE else _slips(w, full, 2) <= 1 or _slips(w, part, 2) <= 1) else 2.0
+        return 2.5
+    return {"pm": 2.0, "pt": 5.0}.get(slot, _NEVER)
+
+
+def assign(costs: list[list[float]], surplus: list[float], lacking: list[float]) -> float:
+    """Least cost of assigning rows to columns, at most one to each; rows and
+    columns left alone cost ``surplus`` and ``lacking``. Exact, by dynamic
+    programming over sets of columns."""
+    best = {0: 0.0}
+    for i, row in enumerate(costs):
+        after: dict[int, float] = {}
+        for used, c in best.items():
+            after[used] = min(after.get(used, math.inf), c + surplus[i])
+            for j, v in enumerate(row):
+                if not used >> j & 1:
+                    after[used | 1 << j] = min(after.get(used | 1 << j, math.inf), c + v)
+        best = after
+    return min(c + sum(v for j, v in enumerate(lacking) if not used >> j & 1) for used, c in best.items())
+
+
+@lru_cache(maxsize=200_000)
+def _assigned(written: tuple[str, ...], street: tuple[str, ...]) -> float:
+    have = [(s, w) for s, w in zip(SLOTS, written) if w]
+    want = [(s, w) for s, w in zip(SLOTS, street) if w]
+    parts = dict(zip(SLOTS, street))
+    return assign([[_part_cost(s, w, t, v) for t, v in want] for s, w in have], [_surplus(s, w, parts) for s, w in have], [LACKING[t] for t, _ in want])
 
 
 def component_cost(p: tuple, r: tuple) -> float:
-    """Cost of reading a parse ``p`` as the street ``r``, names aside."""
-    pd_, pm, pt, _, po, sd = p
-    rpd, rpm, rpt, _, rpo, rsd = r
-    if (pd_, sd) == (rpd, rsd):
-        cost = 0.0
-    elif (pd_, sd) == (rsd, rpd):
-        cost = 0.5
-    elif not pd_ and not sd:
-        cost = 1.0
-    else:
-        cost = 3.0 if not rpd and not rsd else 5.0
-    if po != rpo:
-        if not po:
-            cost += 1.0
-        elif po.startswith("??"):
-            cost += 1.6 if rpo else 9.0
-        elif po.startswith("?"):
-            word, full = po[1:], _FULL.get(rpo, rpo)
-            near = bool(rpo) and (_slips(word, full, 3) <= 2 if len(word) >= 5 else _slips(word, full, 2) <= 1 or _slips(word, rpo, 2) <= 1)
-            cost += 0.4 if near else 2.0
-        else:
-            cost += 2.5 if rpo else 3.0
-    if pt != rpt:
-        cost += 5.0 if pt else 1.0
-    if pm != rpm:
-        cost += 2.0 if pm else 0.7
-    return cost
+    """Cost of reading a parse ``p`` as the street ``r``, names aside: the least
+    of all assignments of written components to components of the street."""
+    return _assigned(p[:3] + p[4:], r[:3] + r[4:])
 
 
 class StreetIndex:
@@ -334,8 +370,8 @@ def resolve(records: DataFrame, ranges: DataFrame) -> DataFrame:
 
     ``records`` has ``x_id``, the number parts, the street parts, ``place_name``
     and ``place_zipcode``; ``ranges`` is the list of streets (``zip``, street
-    parts, ``fromhn``, ``tohn``). Records without a house number have no
-    location and do not come out. A street that the list does not settle counts
+    parts, ``fromhn``, ``tohn``). Records without a house number or a street
+    name have no location and do not come out. A street that the list does not settle counts
     as a street of its own, in its normalised writing. NULL and ``""`` mean the
     same here, repeated records come out once for each different location, an
     empty table gives an empty result, and extra columns are ignored.
@@ -359,12 +395,11 @@ def resolve(records: DataFrame, ranges: DataFrame) -> DataFrame:
     usual = seen.groupBy("zip").agg(F.max(F.when(F.trim("written") != "", F.struct("n", "written"))).alias("m"), F.sum("n").alias("n"))
     usual = usual.select(F.col("zip"), _place_expr(F.coalesce("m.written", F.lit(""))).alias("r_place"), F.ceil(F.col("n") / F.lit(GROUP_ROWS)).cast("int").alias("groups"))
     streets = listed.join(usual, "zip", "left").withColumn("groups", F.coalesce("groups", F.lit(1))).withColumn("street_id", F.monotonically_increasing_id())
-    streets = materialize(streets.coalesce(max(1, min(8, streets.rdd.getNumPartitions()))), "streets")
+    streets = materialize(streets, "streets")
     zips = streets.groupBy("zip").agg(F.first("groups").alias("groups"), F.first("r_place").alias("r_place"))
 
-    # first pass: inside the ZIP as written
-    own = base.join(zips.select("zip", "groups"), "zip", "left").withColumn("part", F.when(F.col("groups").isNotNull(), F.pmod(F.xxhash64("x_id"), "groups")).otherwise(F.pmod(F.xxhash64("x_id", "zip"), F.lit(64))).cast("int"))
-    block = F.when(F.col("groups").isNotNull(), F.col("zip")).otherwise("")
+    # first pass: inside the ZIP as written; where that is not listed there is nothing to look up
+    own = base.join(zips.select("zip", "groups"), "zip").withColumn("part", F.pmod(F.xxhash64("x_id"), "groups").cast("int"))
     copies = streets.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     form = f"x_id {kind}, number string, street_id long, place_name string, {', '.join(f'{c} string' for c in _COMPONENTS)}, zip string"
 
@@ -373,13 +408,14 @@ def resolve(records: DataFrame, ranges: DataFrame) -> DataFrame:
         out["zip"] = rows["zip"].to_numpy()
         return out
 
-    looked = own.select("x_id", "number", "zip", "place_name", *STREET, block.alias("block"), "part").groupBy("block", "part").cogroup(copies.withColumnRenamed("zip", "block").groupBy("block", "part")).applyInPandas(first, form)
-    looked = materialize(looked, "looked")
+    listed_rows = own.select("x_id", "number", "zip", "place_name", *STREET, "part").groupBy("zip", "part").cogroup(copies.groupBy("zip", "part")).applyInPandas(first, form)
+    others = _parsed(base.join(zips.select("zip"), "zip", "left_anti"), f"x_id {kind}, number string, place_name string, zip string").withColumn("street_id", F.lit(None).cast("long"))
+    looked = materialize(listed_rows.unionByName(others), "looked")
 
     # second pass: what was not plain, in its ZIP, the ZIPs of its place, and else in ZIPs one slip away
-    hard = looked.where("street_id is null").select("x_id", "number", "zip", _place_expr(F.col("place_name")).alias("place"), *_COMPONENTS).distinct()
+    hard = looked.where("street_id is null and name <> ''").select("x_id", "number", "zip", _place_expr(F.col("place_name")).alias("place"), *_COMPONENTS).distinct()
     hard = materialize(hard, "hard")
-    ways = _blocks(hard.where("name <> ''").select("zip", "place").distinct(), zips.select("zip", "r_place"))
+    ways = _blocks(hard.select("zip", "place").distinct(), zips.select("zip", "r_place"))
     blocked = hard.join(materialize(ways, "ways"), ["zip", "place"])
     sizes = blocked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP_ROWS)).cast("int").alias("groups"))
     sizes = materialize(sizes, "sizes")
