@@ -58,7 +58,9 @@ def mix(records: DataFrame, targets: DataFrame, total: int | None = None, seed:
     ``source, target_share, max_repeat``. ``total`` is the size of the mixture;
     by default the largest for which every source still reaches its share. A
     source that cannot reach its share of a larger total is used ``max_repeat``
-    times, which the report shows.
+    times, which the report shows. A source without records, or never to be
+    used, limits nothing: the report shows that it gave nothing, and the others
+    keep their proportions.
 
     Records without a listed source, without size, or never used do not come
     out. A weight that is NULL or not positive counts as 0.05. Repeated rows are
@@ -81,7 +83,7 @@ def mix(records: DataFrame, targets: DataFrame, total: int | None = None, seed:
     have = {r["source"]: (int(r["size"]), int(r["n"]), float(r["rate"])) for r in known.groupBy("source").agg(F.sum("n_tokens").alias("size"), F.count(F.lit(1)).alias("n"), F.avg("weight").alias("rate")).collect()}
     scale = sum(s for s, _ in wanted.values())
     shares = {s: share / scale for s, (share, _) in wanted.items() if share > 0} if scale > 0 else {}
-    reach = [wanted[s][1] * have.get(s, (0,))[0] / share for s, share in shares.items()]
+    reach = [most / share for s, share in shares.items() if (most := wanted[s][1] * have.get(s, (0,))[0]) > 0]
     budget = float(total) if total is not None else min(reach, default=0.0)
     parts = []
     for s, (size, n, rate) in have.items():
