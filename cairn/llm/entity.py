@@ -1,13 +1,15 @@
 """Matching of two lists of addressed places that share no key.
 
-Candidates share a MinHash band of the street name's letter pairs (two values, or
-one together with ZIP or town), each taken together with house number, suffix
-and unit; or the parcel, whole with the unit or its end with the digits of the
-number in any order; or those digits and the place on the map. The unit must
-agree in any case; a number with a slip needs a witness (``slip_witnessed``) and
-yields to the same number. Partial and noisy attributes are compared for each
-candidate pair, and a boosted classifier, trained on weak labels from a bounded
-sample of pairs, gives a calibrated probability.
+Candidates share a MinHash band of the street name's letter pairs and an area (two
+values with the first three digits of the ZIP, with the coarse cell of the map
+or with a MinHash value of the town, one with the ZIP), each taken together with house number,
+suffix and unit, so that no block spans the whole country; or the parcel, whole
+with the unit or its end with the digits of the number in any order; or those
+digits and the place on the map. The unit must agree in any case; a number with a
+slip needs a witness (``slip_witnessed``) and yields to the same number. Partial
+and noisy attributes are compared for each candidate pair, and a boosted
+classifier, trained on weak labels from a bounded sample of pairs, gives a
+calibrated probability.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ _SIDE = "side_id string, number string, street string, area string, parcel strin
 
 SLIP_METRES = 15.0  # within which a place speaks for a number with its digits in another order
 _CELL = 0.001
+AREA_CELL = 0.1  # degrees of the coarse cells, about 10 km
+AREA_REACH = 0.01  # degrees by which two places of one address may lie apart and still share a coarse cell
+PARCEL_END = 6  # digits of a parcel number that tell it apart within a number
 
 FEATURES = ["name_same", "name_slip", "name_jaccard", "type", "direction", "pre_type", "zip", "city", "parcel", "log_metres", "listed"]
 
@@ -132,11 +137,24 @@ def _hashed(values: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array(values, dtype=object), categorize=True)
 
 
+def _cells(lat: np.ndarray, lon: np.ndarray, side: float, reach: float | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, column, where new) of the cells of places; with ``reach`` (degrees of
+    latitude; of longitude more, the nearer to a pole) of all cells within it."""
+    at = np.isfinite(lat)
+    north = np.where(at, reach or 0.0, 0.0)
+    east = north / np.maximum(np.cos(np.radians(np.where(at, lat, 0.0))), 0.01)
+    seen: list[tuple[np.ndarray, np.ndarray]] = []
+    for dy, dx in ((-1, -1), (-1, 1), (1, -1), (1, 1)) if reach else ((0, 0),):
+        y, x = (np.floor(np.where(at, v + d, 0.0) / side).astype(np.int64) for v, d in ((lat, dy * north), (lon, dx * east)))
+        yield y, x, at & ~np.any([(y == v) & (x == w) for v, w in seen] or [np.zeros(len(lat), dtype=bool)], axis=0)
+        seen.append((y, x))
+
+
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Block keys of a normalised side, each a hash of two things or more.
 
     The first are free of slips in the name, the last of slips in the number.
-    A column ``around`` asks for the places within reach, not the own one only.
+    ``usual`` is the town that the ZIP usually goes with, for a missing one. A column ``around`` asks for the places within reach, not the own one only.
     """
     bands = _Memo(lambda name: np.array(minhash(name) or [0] * HASHES, dtype=np.uint64))
     odd = np.uint64(0x9E3779B97F4A7C15)
@@ -147,26 +165,24 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rid, base, sig = b["rid"].to_numpy(), _hashed(list(b["number"])), np.stack([bands[n] for n in names]) if len(b) else np.zeros((0, HASHES), dtype=np.uint64)
         named = np.array([n != "" for n in names], dtype=bool)
         parcel = b["parcel"]
-        parts = [(named, sig[:, j] * odd ^ sig[:, j + 1] + np.uint64(j)) for j in range(0, HASHES, 2)]
-        parts.append((named & np.array([z != "" for z in zips], dtype=bool), _hashed(list(zips)) ^ sig[:, 0]))
-        parts.append((named & np.array([c != "" for c in cities], dtype=bool), _hashed(list(cities)) ^ sig[:, 1]))
+        pair = lambda j: sig[:, j] * odd ^ sig[:, j + 1] + np.uint64(j)
+        known = lambda texts: np.array([t != "" for t in texts], dtype=bool)
+        regions = [z[:3] if len(z) == 5 else "" for z in zips]
+        lat, lon = _unpacked(b["at"])
+        parts = [(named & known(regions), _hashed(regions) ^ pair(j)) for j in (2, 4)]
+        for y, x, new in _cells(lat, lon, AREA_CELL, AREA_REACH if "around" in b else None):
+            parts += [(named & new, mix(y.view(np.uint64), x.view(np.uint64)) ^ pair(j)) for j in (6, 8, 10)]
+        parts += [(named & known(zips), _hashed(list(zips)) ^ sig[:, j] + np.uint64(j)) for j in (0, 11)]
+        towns = [c or t or "" for c, t in zip(cities, b["usual"])] if len(b) else []
+        spelt = np.stack([bands[t] for t in towns]) if len(b) else np.zeros((0, HASHES), dtype=np.uint64)
+        parts += [(named & known(towns), mix(spelt[:, j], pair(2 * j))) for j in (0, 1, 2)]
         parts = [(ok, mix(base, v)) for ok, v in parts]
         units, loose = _hashed([n.split("|")[1] for n in b["number"]]), _hashed([_digits(n) for n in b["number"]])
-        told = (parcel.str.len() >= 6).to_numpy()
-        parts.append((told, mix(loose, _hashed(list(parcel.str[-6:])))))
+        told = (parcel.str.len() >= PARCEL_END).to_numpy()
+        parts.append((told, mix(loose, _hashed(list(parcel.str[-PARCEL_END:])))))
         parts.append((told, mix(units, _hashed(list(parcel)))))
-        lat, lon = _unpacked(b["at"])
-        at = np.isfinite(lat)
-        # degrees in which SLIP_METRES lie; of longitude more, the nearer to a pole
-        north = np.where(at, SLIP_METRES / 111_000, 0.0)
-        east = north / np.maximum(np.cos(np.radians(np.where(at, lat, 0.0))), 0.01)
-        cell = lambda dy, dx: tuple(np.floor(np.where(at, v + d, 0.0) / _CELL).astype(np.int64) for v, d in ((lat, dy * north), (lon, dx * east)))
-        seen = []
-        for dy, dx in ((-1, -1), (-1, 1), (1, -1), (1, 1)) if "around" in b else ((0, 0),):
-            y, x = cell(dy, dx)
-            new = at & ~np.any([(y == v) & (x == w) for v, w in seen] or [np.zeros(len(b), dtype=bool)], axis=0)
+        for y, x, new in _cells(lat, lon, _CELL, SLIP_METRES / 111_000 if "around" in b else None):
             parts.append((new, mix(loose, mix(y.view(np.uint64), x.view(np.uint64)))))
-            seen.append((y, x))
         yield pd.DataFrame({"key": np.concatenate([k[ok].view(np.int64) for ok, k in parts]), "rid": np.concatenate([rid[ok] for ok, _ in parts])})
 
 
@@ -287,6 +303,46 @@ def weak_labels(x: np.ndarray) -> np.ndarray:
     return np.where(yes & ~no, 1.0, np.where(no & ~yes, 0.0, math.nan))
 
 
+def known_pairs(n: int = 4_000, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    """Invented comparisons with labels, for what no data are needed: those of all
+    kinds whose witnesses speak plainly."""
+    r = np.random.default_rng(seed)
+    x = np.full((n, len(FEATURES)), math.nan)
+    same = r.random(n) < 0.5
+    x[:, 0] = same
+    x[:, 1] = np.where(same, 0, r.integers(0, 4, n))
+    x[:, 2] = np.where(same, 1.0, np.clip(1 - 0.3 * x[:, 1] + r.normal(0, 0.1, n), 0, 0.95))
+    for j, values in {3: (2, 2, 1, 0.5, 0.2, -1), 4: (2, 2, 1.5, 1, 0.2, -1), 5: (1, 1, 0, -1), 6: (1, 1, 0, -1, math.nan), 7: (1, 1, 0, -1, math.nan), 8: (2, 1, 0, -1, -1, math.nan), 10: (2, 1, 0)}.items():
+        x[:, j] = r.choice(values, n)
+    x[:, 9] = np.where(r.random(n) < 0.3, math.nan, np.round(r.uniform(0, 5, n), 2))
+    y = weak_labels(x)
+    known = ~np.isnan(y)
+    return x[known], y[known]
+
+
+def fit_pairs(seen: np.ndarray) -> Boosted:
+    """A classifier of comparisons (rows of ``FEATURES`` and the agreement of numbers), by their weak labels and,
+    with little weight, by ``known_pairs``, so that it is fitted even where no pair of the data speaks plainly."""
+    y = weak_labels(seen) if len(seen) else np.zeros(0)
+    known = ~np.isnan(y)
+    x, t = seen[known].reshape(-1, len(FEATURES) + 1), y[known]
+    more, labels = known_pairs()
+    more = np.column_stack([more, np.ones(len(more))])
+    every, target = np.concatenate([x, more]), np.concatenate([t, labels])
+    weight = np.concatenate([np.ones(len(t)), np.full(len(labels), KNOWN_WEIGHT / len(labels))])
+    # pairs are also learnt with a witness hidden, so that each of them weighs on its own
+    hidden = [every]
+    for j in (6, 7, 8, 9):
+        h = every.copy()
+        h[:, j] = math.nan
+        hidden.append(h)
+    k = len(hidden)
+    return Boosted(rounds=50, depth=4).fit(np.concatenate(hidden), np.tile(target, k), np.tile(weight, k), groups=np.tile(np.arange(len(target)), k))
+
+
+KNOWN_WEIGHT = 200.0  # of the invented comparisons, in pairs of the data
+
+
 def _listed(a: DataFrame, b: DataFrame) -> DataFrame:
     """Adds ``listed``: 2 if the other list has the street as written in the
     same ZIP (without one: in the same town), 1 if it has its name, else 0."""
@@ -326,7 +382,12 @@ def match_entities(sites: DataFrame, points: DataFrame, threshold: float = 0.5,
     b = materialize(numbered(right.mapInPandas(_points, _SIDE)), "points")
     a = materialize(_listed(numbered(left.mapInPandas(_sites, _SIDE)), b), "sites")
     key = "key long, rid long"
-    pairs = a.withColumn("around", F.lit(True)).mapInPandas(_keys, key).withColumnRenamed("rid", "a_rid").join(b.mapInPandas(_keys, key).withColumnRenamed("rid", "b_rid"), "key").select("a_rid", "b_rid").distinct()
+    # one row for each ZIP of five digits, so never more than 100,000
+    code, town = F.split("area", "\t")[0], F.split("area", "\t")[1]
+    usual = b.select(code.alias("code"), town.alias("town")).where("code rlike '^[0-9]{5}$' and town <> ''").groupBy("code", "town").agg(F.count(F.lit(1)).alias("n")).groupBy("code").agg(F.max(F.struct("n", "town"))["town"].alias("usual"))
+    usual = F.broadcast(materialize(usual, "towns"))
+    placed = lambda side: side.withColumn("code", code).join(usual, "code", "left").drop("code")
+    pairs = placed(a).withColumn("around", F.lit(True)).mapInPandas(_keys, key).withColumnRenamed("rid", "a_rid").join(placed(b).mapInPandas(_keys, key).withColumnRenamed("rid", "b_rid"), "key").select("a_rid", "b_rid").distinct()
     shown = lambda side, s: side.select(*(F.col(c).alias(f"{s}_{c}" if c != "side_id" else f"{s}_id") for c in side.columns))
     # keys are hashes: numbers are compared as written
     differ = F.col("a_number") != F.col("b_number")
@@ -345,17 +406,8 @@ def match_entities(sites: DataFrame, points: DataFrame, threshold: float = 0.5,
     known_by = [*FEATURES, "number"]
     judged = materialize(full.mapInPandas(features, "a_id string, b_id string, " + ", ".join(f"{f} double" for f in known_by)), "features")
     n = judged.count()
-    seen = judged.sample(min(1.0, sample_pairs / max(n, 1)), seed=5).select(*known_by).toPandas().to_numpy(dtype=float)
-    y = weak_labels(seen) if len(seen) else np.zeros(0)
-    known = ~np.isnan(y)
-    # pairs are also learnt with a witness hidden, so that each of them weighs on its own
-    x, t = seen[known], y[known]
-    hidden = [x]
-    for j in (6, 7, 8, 9):
-        h = x.copy()
-        h[:, j] = math.nan
-        hidden.append(h)
-    model = Boosted(rounds=50, depth=4).fit(np.concatenate(hidden), np.tile(t, len(hidden))) if len(t) else Boosted()
+    seen = judged.sample(min(1.0, sample_pairs / max(n, 1)), seed=5).select(*known_by).toPandas().to_numpy(dtype=float).reshape(-1, len(known_by))
+    model = fit_pairs(seen)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:

@@ -61,6 +61,33 @@ def test_map_entries(spark):
     assert got == {(1, "name", 1), (1, "posttype", 3), (1, "zipcode", 4), (2, "name", 1), (2, "zipcode", 4), (3, "name", 2), (3, "posttype", 3)}
 
 
+def test_unmatched_values_of_a_record_with_another_value(spark):
+    canon = spark.createDataFrame([(1, "name", "Fligostow")], "canon_id int, field string, canonical string")
+    entries = spark.createDataFrame([(1, "Fligostow", None, None), (1, "Zzqqxxyy", None, None), (2, "Zzqqxxyy", None, " ")], "intake_id int, name string, posttype string, zipcode string")
+    assert [tuple(r) for r in canonical.unmatched(entries, canon).collect()] == [("name", "Zzqqxxyy", 2)]
+    assert canonical.unmatched(entries.limit(0), canon).count() == 0 and canonical.map_entries(entries, canon.limit(0)).count() == 0
+
+
+def test_records_without_a_street_name_have_no_location(spark):
+    taf = spark.createDataFrame([("11111", 1, 99, "", "", "", "Main", "St", "")], TAF)
+    rows = [(1, "5", None, None, None), (2, "5", "", None, "11111"), (3, "5", "", "Town", "11111"), (4, "5", "Main", "Town", "11111"), (5, "5", "Main", None, "11111"), (6, "5", "Elm", None, "99999"), (7, "5", "Elm", None, "99999")]
+    x = spark.createDataFrame([(i, "", n, "", "", "", "", name, "", "", place, "OH", z) for i, n, name, place, z in rows], "x_id int, " + ", ".join(f"{c} string" for c in FLAT))
+    assert {tuple(r) for r in address.same_location(x, taf).collect()} == {(4, 5), (6, 7)}
+
+
+def test_a_type_of_many_letters_glued_to_the_name():
+    assert ("", "", "", "main", "expy", "") in address.readings(address.parse_street(["", "", "", "mainexpressway", "", ""]))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_assignment_is_the_best_of_all(seed):
+    r = random.Random(seed)
+    n, m = r.randint(0, 4), r.randint(0, 4)
+    costs, surplus, lacking = [[r.random() * 4 for _ in range(m)] for _ in range(n)], [r.random() * 3 for _ in range(n)], [r.random() * 3 for _ in range(m)]
+    ways = [w for w in itertools.product(range(m + 1), repeat=n) if len({j for j in w if j < m}) == sum(j < m for j in w)]
+    assert address.assign(costs, surplus, lacking) == pytest.approx(min(sum(surplus[i] if j == m else costs[i][j] for i, j in enumerate(w)) + sum(v for j, v in enumerate(lacking) if j not in w) for w in ways))
+
+
 def test_minhash():
     assert entity.minhash("") == [] and len(entity.minhash("a")) == entity.HASHES
     near = np.mean([a == b for a, b in zip(entity.minhash("flodorpryor"), entity.minhash("flodorpyror"))])
@@ -101,6 +128,35 @@ def test_sites_with_a_slip_in_the_number(spark):
     assert all(got.get(n) == f"{n}S" for n, *_ in sites)
 
 
+SITES = "site_id int, house_no string, street_line string, city string, zip string, lat double, lon double, parcel_ref string"
+NAD = "uuid string, add_number int, addnum_suf string, st_predir string, st_premod string, st_pretyp string, st_name string, st_postyp string, st_posdir string, subaddress string, post_city string, zip_code string, latitude double, longitude double, parcel_id string"
+
+
+def test_pairs_without_weak_labels(spark):
+    import math
+
+    model = entity.fit_pairs(np.zeros((0, len(entity.FEATURES) + 1)))
+    same, other = [1, 0, 1, 2, 2, 1, 1, 1, 2, 0.3, 2, 1], [0, 3, 0.1, -1, -1, 1, -1, -1, -1, 4.5, 0, 1]
+    assert model.predict(np.array([same, other])).round().tolist() == [1, 0]
+    # only pairs that contradict each other: a street of the same name far away
+    sites = spark.createDataFrame([(1, "5", "Oak Street", "Townham", "11111", 39.0, -84.0, "123456789")], SITES)
+    points = spark.createDataFrame([("u", 5, None, None, None, None, "Oak", "Avenue", None, None, "Elsewhere", "11188", 40.9, -80.0, "987654321")], NAD)
+    assert entity.match_entities(sites, points).count() == 0 and math.isclose(model.base, model.base)
+
+
+def test_one_address_in_every_town(spark):
+    # the same number on a street of the same name in 300 towns: blocks stay within an area
+    town = lambda i: (f"{20000 + 131 * i:05d}", f"{'abcdefghijklmnopqrst'[i % 20]}{'klmnopqrstuvwxy'[i // 20]}{i * 7919 % 9973}ville", 25.0 + i * 0.07, -120.0 + i * 0.11)
+    points, sites = [], []
+    for i in range(300):
+        z, c, lat, lon = town(i)
+        points.append((f"u{i}", 100, None, None, None, None, "Maplewood", "Street", None, None, c, z, lat, lon, None))
+        sites.append((i, "100", "Maplewood St" if i % 3 else "Maplewod St", c, z if i % 2 else None, lat if i % 5 else None, lon if i % 5 else None, None))
+    got = {r["site_id"]: r["uuid"] for r in entity.match_entities(spark.createDataFrame(sites, SITES), spark.createDataFrame(points, NAD)).collect()}
+    right = sum(got.get(i) == f"u{i}" for i in range(300))
+    assert right >= 285 and right == len(got)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_packing_plan(seed):
     r = random.Random(seed)
@@ -177,6 +233,14 @@ def test_mix(spark):
     assert large["a"]["n_tokens"] == 400 and large["b"]["n_tokens"] == 300
 
 
+def test_mix_with_a_source_that_has_nothing(spark):
+    records = spark.createDataFrame([(i, "ab"[i % 2], 10, 1.0) for i in range(40)], "doc_id int, source string, n_tokens int, weight double")
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.4, 1), ("none", 0.1, 2), ("never", 0.1, 0)], "source string, target_share double, max_repeat int")
+    report = {r["source"]: r["n_tokens"] for r in mixing.share_report(mixing.mix(records, targets), targets).collect()}
+    assert report == {"a": 200, "b": 200, "none": 0, "never": 0}
+    assert mixing.mix(records.limit(0), targets).count() == 0 and mixing.mix(records, targets.limit(0)).count() == 0
+
+
 TEXTS = [
     f"My name is {g} {f} and I sort mail. Call (555) 555-01{i:02d} before noon. Deliver to: {i + 10} N Oak{f.lower()} St. Tracking says 9343 6158 8926 44{i:02d} 70. Passport 9{i:02d}-12-3456 does not match. contact: {g.lower()}{i}@mail.example\nThe 3800 block of Lake {f} Blvd is closed. {g} {f} <{g.lower()}@x.example> wrote:"
     for i, (g, f) in enumerate(itertools.product(["Marta", "Rufus", "Priya", "Anton"], ["Bronulzano", "Tikelzano", "Hevanzano", "Lisozano", "Gridanmundo", "Wigomundo", "Pebomundo", "Mumumundo", "Kelotorp", "Fluletorp", "Wavotorp", "Nadatorp"]))
