@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +64,7 @@ _MARKS, _OTHER = re.compile(r"[.'’]"), re.compile(r"[\W_]+")
 LAST_WORD = 5  # letters from which the last word of a name is a key of its own
 LONG_TYPE = 5  # letters from which a street type may have two slips
 LONG_NAME = 8  # letters from which a name may have two slips
+_MARK = "\x01"  # between the place and the street parts as written
 _COMPONENTS = ("pd", "pm", "pt", "name", "po", "sd")
 
 
@@ -316,30 +318,62 @@ def _digits(number: str) -> int:
     return int(d) if d.isdigit() and len(d) < 10 else -1
 
 
+def _joined(parsed: tuple) -> str:
+    """Components in one text; ``""`` without a name."""
+    return "|".join(parsed) if parsed[3] else ""
+
+
+def _unlisted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of ZIPs without streets: parsed only."""
+    for b in batches:
+        code, written = pd.factorize(b["written"])
+        split = [w.split(_MARK) for w in written]
+        parsed = np.array([_joined(parse_street(w[1:])) for w in split], dtype=object)
+        place = np.array([w[0] for w in split], dtype=object)
+        yield pd.DataFrame({"x_id": b["x_id"], "number": b["number"], "zip": b["zip"], "street_id": pd.array([None] * len(b), dtype="Int64"), "place_name": place[code] if len(b) else "", "parsed": parsed[code] if len(b) else ""})
+
+
 def _own_block(rows: pd.DataFrame, streets: pd.DataFrame) -> pd.DataFrame:
-    """First pass, inside the ZIP as written: takes only what is plain."""
-    index, parses, out = StreetIndex(streets), {}, []
+    """First pass, inside the ZIP as written: takes only what is plain.
+
+    Rows written alike are read once; only where the number has a say between
+    streets are they looked at one by one."""
+    index = StreetIndex(streets)
     town = streets["r_place"].iloc[0] if len(streets) else None
     places: dict[str, bool] = {}
-    for x, number, place, *parts in zip(rows["x_id"], rows["number"], rows["place_name"], *(rows[c] for c in STREET)):
-        parts = tuple(parts)
-        if parts not in parses:
-            parses[parts] = parse_street(list(parts))
-        parsed, chosen = parses[parts], None
+    code, written = pd.factorize(rows["written"])
+    numbers = rows["number"].tolist()
+    by_code = np.argsort(code, kind="stable")
+    cuts = np.searchsorted(code[by_code], np.arange(len(written) + 1))
+    chosen = np.full(len(rows), -1, dtype=np.int64)
+    parsed_of, place_of = np.empty(len(written), dtype=object), np.empty(len(written), dtype=object)
+    for k, w in enumerate(written):
+        place, *parts = w.split(_MARK)
+        parsed = parse_street(parts)
+        parsed_of[k], place_of[k] = _joined(parsed), place
         if place not in places:
             word = _place_word(place)
             places[place] = not word or not town or _slips(word, town, 4) <= 3
-        if places[place] and parsed[3]:
-            digits = _digits(number)
+        if not parsed[3] or not places[place]:
+            continue
+        at = by_code[cuts[k] : cuts[k + 1]]
+        exact = index.candidates(parsed, False)
+        if len(exact) == 1 and exact[0][0] <= 1.0:
+            chosen[at] = index.ids[exact[0][1]]  # whatever the number
+            continue
+        if not exact and not index.candidates(parsed, True):
+            continue
+        for i in at:
+            digits = _digits(numbers[i])
             for slips in (False, True):
-                ranked = sorted((c + index.off(digits, i), i) for c, i in index.candidates(parsed, slips))
+                ranked = sorted((c + index.off(digits, j), j) for c, j in index.candidates(parsed, slips))
                 if ranked and ranked[0][0] <= (1.0 + MARGIN if not slips else 1.4) and (len(ranked) == 1 or ranked[1][0] > ranked[0][0]):
-                    chosen = index.ids[ranked[0][1]]
+                    chosen[i] = index.ids[ranked[0][1]]
                     break
                 if ranked and not slips and ranked[0][0] <= 1.0:
                     break  # tied between streets of just this name
-        out.append((x, number, chosen, "" if chosen is not None else place) + (("",) * 6 if chosen is not None else parsed))
-    return pd.DataFrame(out, columns=["x_id", "number", "street_id", "place_name", *_COMPONENTS])
+    known = chosen >= 0
+    return pd.DataFrame({"x_id": rows["x_id"].to_numpy(), "number": numbers, "zip": rows["zip"].to_numpy(), "street_id": pd.array(chosen, dtype="Int64"), "place_name": np.where(known, "", place_of[code] if len(rows) else ""), "parsed": np.where(known, "", parsed_of[code] if len(rows) else "")}).assign(street_id=lambda d: d["street_id"].where(known))
 
 
 def _any_block(rows: pd.DataFrame, streets: pd.DataFrame) -> pd.DataFrame:
@@ -347,17 +381,17 @@ def _any_block(rows: pd.DataFrame, streets: pd.DataFrame) -> pd.DataFrame:
     index, out = StreetIndex(streets), []
     town = streets["r_place"].iloc[0] if len(streets) else None
     block = streets["zip"].iloc[0] if len(streets) else ""
-    for x, number, z, place, *parsed in zip(rows["x_id"], rows["number"], rows["zip"], rows["place"], *(rows[c] for c in _COMPONENTS)):
+    for x, number, z, place, parsed in zip(rows["x_id"], rows["number"], rows["zip"], rows["place"], rows["parsed"]):
         at = 0.0 if z == block else 0.3 if not z else 0.4 if _slips(z, block, 3) <= 2 else 0.8
         away = 0.0 if place == town else 0.2 if not place or not town else 0.1 if _slips(place, town, 4) <= 3 else 1.0
         far = 3.0 if at >= 0.8 and away >= 1.0 else 0.0
         digits = _digits(number)
-        ranked = sorted((c + index.off(digits, i) + at + away + far, index.ids[i]) for c, i in index.candidates(tuple(parsed), True))
+        ranked = sorted((c + index.off(digits, i) + at + away + far, index.ids[i]) for c, i in index.candidates(tuple(parsed.split("|")), True))
         ranked = [r for r in ranked if r[0] <= LIMIT + MARGIN]
         if ranked:
             tied = len(ranked) > 1 and ranked[1][0] <= ranked[0][0]
-            out.append((x, number, z, place, *parsed, round(ranked[0][0], 6), None if tied else ranked[0][1]))
-    return pd.DataFrame(out, columns=["x_id", "number", "zip", "place", *_COMPONENTS, "cost", "street_id"])
+            out.append((x, number, z, place, parsed, round(ranked[0][0], 6), None if tied else ranked[0][1]))
+    return pd.DataFrame(out, columns=["x_id", "number", "zip", "place", "parsed", "cost", "street_id"])
 
 
 MARGIN = 0.8  # what a number outside the ranges of a street costs
@@ -385,6 +419,7 @@ def resolve(records: DataFrame, ranges: DataFrame) -> DataFrame:
     given = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in (*STREET, "place_name")]
     mark = lambda c: F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+", "")
     number = F.concat_ws("|", mark("number_prefix"), F.regexp_replace(mark("number_digits"), "^0+(?=.)", ""), mark("number_suffix"))
+    written = F.concat_ws(_MARK, "place_name", *STREET).alias("written")
     base = records.where("x_id is not null and trim(number_digits) <> ''").select("x_id", number.alias("number"), clean_zip(F.col("place_zipcode")).alias("zip"), *given)
 
     # the usual place of each listed ZIP, and how many groups it needs
@@ -401,19 +436,14 @@ def resolve(records: DataFrame, ranges: DataFrame) -> DataFrame:
     # first pass: inside the ZIP as written; where that is not listed there is nothing to look up
     own = base.join(zips.select("zip", "groups"), "zip").withColumn("part", F.pmod(F.xxhash64("x_id"), "groups").cast("int"))
     copies = streets.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    form = f"x_id {kind}, number string, street_id long, place_name string, {', '.join(f'{c} string' for c in _COMPONENTS)}, zip string"
-
-    def first(rows: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
-        out = _own_block(rows, ref)
-        out["zip"] = rows["zip"].to_numpy()
-        return out
-
-    listed_rows = own.select("x_id", "number", "zip", "place_name", *STREET, "part").groupBy("zip", "part").cogroup(copies.groupBy("zip", "part")).applyInPandas(first, form)
-    others = _parsed(base.join(zips.select("zip"), "zip", "left_anti"), f"x_id {kind}, number string, place_name string, zip string").withColumn("street_id", F.lit(None).cast("long"))
+    form = f"x_id {kind}, number string, zip string, street_id long, place_name string, parsed string"
+    at = copies.groupBy("zip", "part")
+    listed_rows = own.select("x_id", "number", "zip", written, "part").groupBy("zip", "part").cogroup(at).applyInPandas(_own_block, form)
+    others = base.join(zips.select("zip"), "zip", "left_anti").select("x_id", "number", "zip", written).mapInPandas(_unlisted, form)
     looked = materialize(listed_rows.unionByName(others), "looked")
 
     # second pass: what was not plain, in its ZIP, the ZIPs of its place, and else in ZIPs one slip away
-    hard = looked.where("street_id is null and name <> ''").select("x_id", "number", "zip", _place_expr(F.col("place_name")).alias("place"), *_COMPONENTS).distinct()
+    hard = looked.where("street_id is null and parsed <> ''").select("x_id", "number", "zip", _place_expr(F.col("place_name")).alias("place"), "parsed").distinct()
     hard = materialize(hard, "hard")
     ways = _blocks(hard.select("zip", "place").distinct(), zips.select("zip", "r_place"))
     blocked = hard.join(materialize(ways, "ways"), ["zip", "place"])
@@ -421,14 +451,14 @@ def resolve(records: DataFrame, ranges: DataFrame) -> DataFrame:
     sizes = materialize(sizes, "sizes")
     spread = blocked.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("x_id"), "groups").cast("int")).drop("groups")
     copies = streets.drop("groups").withColumnRenamed("zip", "block").join(sizes, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("zip", F.col("block"))
-    form = f"x_id {kind}, number string, zip string, place string, {', '.join(f'{c} string' for c in _COMPONENTS)}, cost double, street_id long"
+    form = f"x_id {kind}, number string, zip string, place string, parsed string, cost double, street_id long"
     read = spread.groupBy("block", "part").cogroup(copies.groupBy("block", "part")).applyInPandas(_any_block, form)
-    whole = ["x_id", "number", "zip", "place", *_COMPONENTS]
+    whole = ["x_id", "number", "zip", "place", "parsed"]
     tied = F.struct("cost", F.coalesce("street_id", F.lit(-1)).alias("street_id"))
     best = read.groupBy(*whole).agg(F.min(tied).alias("m"), F.max(F.struct(-F.col("cost"), F.coalesce("street_id", F.lit(-1)).alias("street_id"))).alias("w"))
     best = best.select(*whole, F.when((F.col("m.street_id") >= 0) & (F.col("m.street_id") == F.col("w.street_id")), F.col("m.street_id")).alias("street_id"))
     late = hard.join(best, whole, "left")
-    text = F.concat_ws("|", "zip", F.when(F.col("zip") == "", F.col("place")).otherwise(""), *_COMPONENTS)
+    text = F.concat_ws("|", "zip", F.when(F.col("zip") == "", F.col("place")).otherwise(""), "parsed")
     settled = looked.where("street_id is not null").select("x_id", F.col("street_id").cast("string").alias("street"), "number")
     return settled.unionByName(late.select("x_id", F.coalesce(F.col("street_id").cast("string"), text).alias("street"), "number"))
 

@@ -240,6 +240,9 @@ _LOCAL = re.compile(r"[\w.+-]+[ \t]*$")
 _GERMAN_WORD = ("straße", "strasse", "str.", "weg", "platz", "allee", "gasse", "ring", "ufer", "damm", "chaussee")
 _SPANISH_WORD = ("calle", "avenida", "avda", "av.", "paseo", "plaza", "camino", "carretera", "ronda", "travesía", "c/")
 _DOT_WORD = ("dot", "punkt", "point", "punto")
+_NEXT = re.compile(r"-?[A-Za-z]{0,3},?[ \t]+([^\W_]+)")
+_ROUTE_FIRST = {"state", "county", "st", "co", "sr", "cr", "north", "south", "east", "west", "northeast", "northwest", "southeast", "southwest", "n", "s", "e", "w", "ne", "nw", "se", "sw"}
+_FRENCH_FIRST = {"rue", "avenue", "av", "boulevard", "bd", "chemin", "place", "allée", "impasse", "quai", "route", "cours", "square", "bis", "ter"}
 _PATTERN = {(k, f): p for k, f, p in GENERATORS}
 
 
@@ -276,10 +279,13 @@ def _numbered(text: str) -> Iterator[tuple[str, str, int, int]]:
             yield from at("id", "solid", s)
         elif n == 7 and s >= 2 and prev.isalpha():
             yield from at("id", "letters", s - 2)
-        if n <= 6 and (after in " \t-," and after or after.isalpha()):
+        if n <= 6 and (after in " \t-," and after or after.isalpha()) and (word := _NEXT.match(text, e)):
+            first = word[1].lower()
             yield from at("address", "english", s)
-            yield from at("address", "route", s)
-            yield from at("address", "french", s)
+            if first in _ROUTE_FIRST:
+                yield from at("address", "route", s)
+            if first in _FRENCH_FIRST or after.isalpha() or "," in word[0]:
+                yield from at("address", "french", s)
         if n <= 5 and prev and prev in " \tº":
             if text[max(0, s - 20) : s].rstrip(" \t").lower().endswith(_GERMAN_WORD):
                 for m in _PATTERN["address", "german"].finditer(text, max(0, s - 60), min(size, e + 4)):
