@@ -15,6 +15,7 @@ from cairn.functions.tagger import parse_addresses
 from cairn.functions.text import STREET, format_parts
 from cairn.operators.geocode import geocode
 from cairn.operators.spatial import parse_point
+from cairn.session import clear_stages
 
 
 def output_path(source: str) -> str:
@@ -50,6 +51,7 @@ def main(args: list[str] | None = None) -> None:
         out.write.mode("overwrite").option("header", True).option("nullValue", "").csv(target)
     else:
         out.write.mode("overwrite").parquet(target)
+    clear_stages(spark)
     print(target)
 
 

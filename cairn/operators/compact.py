@@ -44,25 +44,28 @@ def longest_first(sizes: Sequence[int], groups: int) -> list[int]:
 def assign_files(files: DataFrame, target_bytes: int, shard_files: int = 50_000) -> DataFrame:
     """``file_id, out_group`` for a table of ``file_id, shard_key, n_bytes``.
 
-    Files are scheduled in shards of files with neighbouring ``shard_key``, so
-    that no task, nor the driver, ever holds the list of all files: a key with
-    more than about ``shard_files`` files is split by a hash of the file. Each
-    shard has ``ceil(bytes / target_bytes)`` groups of its own.
+    Files are scheduled in shards of files with equal ``shard_key``, so that no
+    task, nor the driver, ever holds the list of all files: a key with more than
+    about ``shard_files`` files is split by a hash of the file, and keys that
+    hold less than ``target_bytes`` share shards. Each shard has
+    ``ceil(bytes / target_bytes)`` groups of its own.
     """
     files = files.select("file_id", F.coalesce("n_bytes", F.lit(0)).cast("long").alias("n_bytes"), F.coalesce("shard_key", F.lit("")).alias("shard_key"))
-    keys = files.groupBy("shard_key").agg(F.count(F.lit(1)).alias("n_files"))
-    sharded = files.join(keys, "shard_key").select(
-        "file_id", "n_bytes", "shard_key",
-        F.pmod(F.xxhash64("file_id"), F.ceil(F.col("n_files") / F.lit(shard_files))).alias("part"),
-    )
+    keys = materialize(files.groupBy("shard_key").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_bytes").alias("key_bytes")).withColumn("small", F.col("key_bytes") < target_bytes), "keys")
+    # two numbers: shards for the small keys, of about eight output files or shard_files input files each
+    few = keys.where("small").agg(F.coalesce(F.sum("n_files"), F.lit(0)), F.coalesce(F.sum("key_bytes"), F.lit(0))).first()
+    mixed = max(1, -(-int(few[0]) // shard_files), -(-int(few[1]) // (8 * target_bytes)))
+    # the small keys are one shard after another of their own name, so that the hash cannot be one of a key
+    shard = F.when(F.col("small"), F.struct(F.lit(None).cast("string").alias("key"), F.pmod(F.xxhash64("shard_key"), F.lit(mixed)).alias("part"))).otherwise(F.struct(F.col("shard_key").alias("key"), F.pmod(F.xxhash64("file_id"), F.ceil(F.col("n_files") / F.lit(shard_files))).alias("part")))
+    sharded = files.join(keys, "shard_key").select("file_id", "n_bytes", shard.alias("s")).select("file_id", "n_bytes", "s.key", "s.part")
 
     def schedule(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["n_bytes", "file_id"], ascending=[False, True], kind="stable")
         groups = max(1, math.ceil(int(shard["n_bytes"].sum()) / target_bytes))
-        return pd.DataFrame({"file_id": shard["file_id"], "shard_key": shard["shard_key"], "part": shard["part"], "slot": longest_first(shard["n_bytes"].tolist(), groups)})
+        return pd.DataFrame({"file_id": shard["file_id"], "key": shard["key"], "part": shard["part"], "slot": longest_first(shard["n_bytes"].tolist(), groups)})
 
-    planned = sharded.groupBy("shard_key", "part").applyInPandas(schedule, "file_id long, shard_key string, part long, slot long")
-    return planned.select("file_id", F.xxhash64("shard_key", "part", "slot").alias("out_group"))
+    planned = sharded.groupBy("key", "part").applyInPandas(schedule, f"file_id {dict(files.dtypes)['file_id']}, key string, part long, slot long")
+    return planned.select("file_id", F.xxhash64(F.coalesce("key", F.lit("small keys")), F.col("key").isNull(), "part", "slot").alias("out_group"))
 
 
 def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
@@ -109,6 +112,9 @@ def _writer(folder: str, schema: pa.Schema):
     return write
 
 
+LOOSE_BYTES = 100  # what a row weighs whose file the inventory does not list
+
+
 def compact(rows: DataFrame, files: DataFrame, out: str, id_col: str, file_col: str, shard_col: str, ignore: Sequence[str] = (), target_bytes: int = 128 << 20, shard_files: int = 50_000) -> DataFrame:
     """Writes each distinct row of ``rows`` once to well-sized files under ``out``.
 
@@ -117,55 +123,75 @@ def compact(rows: DataFrame, files: DataFrame, out: str, id_col: str, file_col:
     they agree in all columns other than ``id_col``, ``file_col`` and ``ignore``
     (NULL equals NULL); the one with the smallest ``id_col`` is kept, with the
     smallest file on ties. Files stay whole, except for what deduplication
-    takes out, and files of one ``shard_col`` value share output groups.
+    takes out; files of one ``shard_col`` value share output groups, those of
+    values with little content also with one another.
 
     Rows whose file is missing from the inventory (or NULL) are kept and weigh
-    100 bytes each; empty files vanish; an inventory that lists a file twice
-    counts its largest entry. An empty table gives an empty manifest. Any extra
-    column is carried along. Returns the manifest, ``out_group, path, n_rows,
-    n_bytes, check``, after verifying that the files hold the planned rows; if
-    they do not, ``RuntimeError`` is raised and nothing is published.
+    ``LOOSE_BYTES`` each; those without file are spread over as many groups as
+    that makes. Empty files vanish; an inventory that lists a file twice counts
+    its largest entry. An empty table gives an empty manifest. Any extra column
+    is carried along. Returns the manifest, ``out_group, path, n_rows, n_bytes,
+    check``.
+
+    Content is shuffled once, to its output group; duplicates are found from
+    digests, and only rows that have any are joined with what to keep. What was
+    planned, what was streamed to the files, and what is read back from them
+    must agree in rows and in the sum of their hashes, else ``RuntimeError``
+    and nothing is published.
     """
     spark = rows.sparkSession
     require(rows, id_col, file_col, shard_col)
     require(files, file_col, "n_bytes")
-    # a digest stands for the content in the shuffle; 128 bits leave no room for chance
+    # a digest stands for the content; 128 bits leave no room for chance
     content = [c for c in rows.columns if c not in {id_col, file_col, *ignore}]
     whole = F.to_json(F.struct(*(F.col(f"`{c}`") for c in content)), {"ignoreNullFields": "false"})
-    digest = F.md5(whole)
-    small = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{file_col}`").alias("file_id"), F.col(f"`{shard_col}`").cast("string").alias("shard_key"), digest.alias("digest"))
-    kept = small.groupBy("digest").agg(F.min(F.struct("id", "file_id", "shard_key")).alias("k")).select("k.*")
+    names = {"id": id_col, "file_id": file_col}
+    digested = rows.withColumn("digest__", F.md5(whole))
+    check = F.conv(F.substring("digest", 1, 15), 16, 10).cast("decimal(38,0)")
+    small = digested.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{file_col}`").alias("file_id"), F.col(f"`{shard_col}`").cast("string").alias("shard_key"), F.col("digest__").alias("digest"))
+    kept = small.groupBy("digest").agg(F.min(F.struct("id", "file_id", "shard_key")).alias("k"), F.count(F.lit(1)).alias("copies")).select("k.*", "copies", "digest")
     kept = materialize(kept, "kept")
     known = files.groupBy(F.col(f"`{file_col}`").alias("file_id")).agg(F.max("n_bytes").alias("known_bytes"))
     used = kept.groupBy("file_id").agg(F.min("shard_key").alias("shard_key"), F.count(F.lit(1)).alias("n"))
-    sized = used.join(known, "file_id", "left").select("file_id", "shard_key", F.coalesce("known_bytes", F.col("n") * 100).alias("n_bytes"))
-    loose = F.xxhash64(F.lit("no file"), F.col("shard_key"))
-    groups = assign_files(sized.where("file_id is not null"), target_bytes, shard_files)
-    plan = kept.join(groups, "file_id", "left").select("id", "file_id", F.coalesce("out_group", loose).alias("out_group"))
-    plan = materialize(plan, "plan")
-
-    tagged = rows.join(
-        plan.withColumnsRenamed({"id": "plan_id__", "file_id": "plan_file__"}),
-        rows[f"`{id_col}`"].eqNullSafe(F.col("plan_id__")) & rows[f"`{file_col}`"].eqNullSafe(F.col("plan_file__")),
-    )
-    # repeated deliveries of one id within one file: the first one only
-    tagged = tagged.withColumn("check", F.xxhash64(whole).cast("decimal(38,0)")).drop("plan_id__", "plan_file__")
-    tagged = tagged.dropDuplicates([id_col, file_col, "check"])
+    sized = used.where("file_id is not null").join(known, "file_id", "left").select("file_id", "shard_key", F.coalesce("known_bytes", F.col("n") * LOOSE_BYTES).alias("n_bytes"))
+    groups = materialize(assign_files(sized, target_bytes, shard_files), "groups")
+    loose_parts = max(1, -(-kept.where("file_id is null").count() * LOOSE_BYTES // target_bytes))
+
+    def grouped(d: DataFrame, digest: str, file: str) -> DataFrame:
+        loose = F.xxhash64(F.lit("no file"), F.pmod(F.xxhash64(digest), F.lit(loose_parts)))
+        return d.join(groups.withColumnRenamed("file_id", "group_file__"), d[f"`{file}`"] == F.col("group_file__"), "left").withColumn("out_group", F.coalesce("out_group", loose)).drop("group_file__")
+
+    expected = materialize(grouped(kept, "digest", "file_id").groupBy("out_group").agg(F.count(F.lit(1)).alias("expected"), F.sum(check).alias("sum")), "expected")
+    # rows that are alone in their content pass; of the others those that are kept, exact repetitions once
+    several = kept.where("copies > 1").select(F.col("digest").alias("digest__"), F.col("id").alias("keep_id__"), F.col("file_id").alias("keep_file__"))
+    alone = digested.join(several.select("digest__"), "digest__", "left_anti")
+    chosen = digested.join(several, "digest__").where(F.col(f"`{names['id']}`").eqNullSafe(F.col("keep_id__")) & F.col(f"`{names['file_id']}`").eqNullSafe(F.col("keep_file__"))).drop("keep_id__", "keep_file__").dropDuplicates(["digest__"])
+    tagged = grouped(alone.unionByName(chosen), "digest__", file_col).withColumn("check", F.conv(F.substring("digest__", 1, 15), 16, 10).cast("decimal(38,0)"))
     schema = _arrow_schema(rows)
     uri = out if "://" in out else "file://" + os.path.abspath(out)
     store, base = _filesystem(uri)
     store.create_dir(base, recursive=True)
-    lanes = max(1, min(plan.select("out_group").distinct().count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    written = tagged.repartition(lanes, "out_group").sortWithinPartitions("out_group", id_col).mapInArrow(_writer(uri, schema), _MANIFEST)
+    lanes = max(1, min(expected.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    written = tagged.drop("digest__").repartition(lanes, "out_group").sortWithinPartitions("out_group", id_col).mapInArrow(_writer(uri, schema), _MANIFEST)
     manifest = materialize(written, "manifest")
-    expected = plan.groupBy("out_group").agg(F.count(F.lit(1)).alias("expected"))
-    wrong = manifest.groupBy("out_group").agg(F.sum("n_rows").alias("n"), F.count(F.lit(1)).alias("files")).join(expected, "out_group", "full").where("n is null or expected is null or n <> expected or files <> 1")
+    wrong = manifest.groupBy("out_group").agg(F.sum("n_rows").alias("n"), F.sum("check").alias("streamed"), F.count(F.lit(1)).alias("files")).join(expected, "out_group", "full").where("n is null or expected is null or n <> expected or streamed <> sum or files <> 1")
     if wrong.take(1):
         raise RuntimeError("the written groups do not hold the planned rows")
+    if manifest.take(1):
+        _read_back(spark.read.schema(rows.schema), uri, manifest, F.md5(whole))
     publish(manifest, uri)
     return manifest
 
 
+def _read_back(reader, uri: str, manifest: DataFrame, digest) -> None:
+    """Compares what the files hold with what was streamed to them."""
+    held = reader.parquet(f"{uri}/part-*.parquet").select(F.regexp_extract(F.input_file_name(), "[^/]+$", 0).alias("path"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(38,0)").alias("c"))
+    held = held.groupBy("path").agg(F.count(F.lit(1)).alias("held"), F.sum("c").alias("sum"))
+    # a lost or repeated task may have left files that the manifest does not name
+    if manifest.join(held, "path", "left").where("held is null or held <> n_rows or sum <> check").take(1):
+        raise RuntimeError("the files do not hold what was written to them")
+
+
 def _arrow_schema(df: DataFrame) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -198,10 +224,10 @@ def read_compacted(spark: SparkSession, out: str, verify: bool = True) -> DataFr
     return spark.read.parquet(*(f"{root}/{x['path']}" for x in listed)) if listed else None
 
 
-def compact_taf(spark: SparkSession, taf: DataFrame, taf_file: DataFrame, target_bytes: int = 1 << 20) -> tuple[DataFrame, str]:
+def compact_taf(spark: SparkSession, taf: DataFrame, taf_file: DataFrame) -> tuple[DataFrame, str]:
     """Consolidates the street ranges; returns the manifest and the folder."""
     out = shared_path(spark, "compacted")
-    return compact(taf, taf_file, out, "taf_id", "file_id", "zip3", target_bytes=target_bytes), out
+    return compact(taf, taf_file, out, "taf_id", "file_id", "zip3"), out
 
 
 def duplicate_ids(spark: SparkSession, taf: DataFrame, taf_file: DataFrame) -> DataFrame:

@@ -3,25 +3,29 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 _local: list[str] = []
+_stages: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named in ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests, one machine) a temporary folder
-    of this process is used instead.
+    Only where that setting is missing and the session runs within this process
+    (``local`` masters: tests, one machine) a temporary folder is used instead;
+    on a cluster a folder of one machine would be no use, so ``RuntimeError``.
     """
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="cairn-"))
         atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
@@ -37,15 +41,27 @@ def materialize(df: DataFrame, kind: str = "stage") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
     This cuts the lineage: what follows reads the files, also after the loss
-    of an executor, and sees their true size.
+    of an executor, and sees their true size. ``clear_stages`` deletes them.
     """
     path = shared_path(df.sparkSession, kind)
+    _stages.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def delete(spark: SparkSession, path: str) -> bool:
+    """Deletes a file or folder of any file system that Spark knows; False if there is none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True))
+
+
+def clear_stages(spark: SparkSession) -> int:
+    """Deletes the written stages of this process, once no result that reads them
+    is needed any more; their number."""
+    n = 0
+    while _stages:
+        n += delete(spark, _stages.pop())
+    return n
 
 
 def require(df: DataFrame, *columns: str) -> None:
@@ -53,7 +69,3 @@ def require(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-
-
-def with_fields(df: DataFrame, extra: list[T.StructField]) -> T.StructType:
-    return T.StructType([*df.schema.fields, *extra])
