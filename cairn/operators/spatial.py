@@ -5,8 +5,9 @@ many of them. Every reference point lies in one leaf; a query is repeated into
 each leaf that its search box touches. In a leaf an R-tree is bulk-loaded over
 one side and probed with the other, and the candidates are refined exactly. A
 pair is reported only by the leaf that holds its reference point, the indexed
-point itself, so no pair comes out twice. A leaf that cannot be split, since
-its points coincide, is salted.
+point itself, so no pair comes out twice. Both sides are then counted by leaf,
+over all rows: a leaf with more than its share, as the sample is bounded or its
+points coincide, is dealt to several groups, of points and of queries alike.
 """
 
 from __future__ import annotations
@@ -49,22 +50,21 @@ class Quadtree:
     def __init__(self, lon: np.ndarray, lat: np.ndarray, capacity: int):
         codes = np.sort(self.code(*self.cell(lon, lat)))
         starts: list[int] = []
-        weights: list[int] = []
         stack = [(0, 0, 0, len(codes))]
         while stack:
             level, prefix, a, b = stack.pop()
             width = 1 << 2 * (_DEPTH - level)
             if b - a <= capacity or level == _DEPTH:
                 starts.append(prefix)
-                weights.append(max(1, math.ceil((b - a) / max(1, capacity))))
                 continue
             edges = [prefix + i * (width >> 2) for i in range(5)]
             at = [a, *(a + np.searchsorted(codes[a:b], e) for e in edges[1:4]), b]
             stack += [(level + 1, edges[i], int(at[i]), int(at[i + 1])) for i in (3, 2, 1, 0)]
-        order = np.argsort(starts)
-        self.starts = np.array(starts, dtype=np.int64)[order]
-        #: Parts into which the points of a leaf are salted; 1 unless it cannot be split.
-        self.salts = np.array(weights, dtype=np.int64)[order]
+        self.starts = np.sort(np.array(starts, dtype=np.int64))
+        #: Groups to which the points and the queries of a leaf are dealt.
+        self.salts = np.ones(len(starts), dtype=np.int64)
+        self.parts = np.ones(len(starts), dtype=np.int64)
+        self._index: RTree | None = None
 
     @staticmethod
     def cell(lon, lat):
@@ -96,10 +96,11 @@ class Quadtree:
     def touched(self, west, south, east, north) -> tuple[np.ndarray, np.ndarray]:
         """(box, leaf) for every leaf that a box touches; the leaves are found
         through an R-tree over their own bounds."""
-        tree = RTree(*self.bounds())
+        if self._index is None:
+            self._index = RTree(*self.bounds())
         x0, y0 = self.cell(west, south)
         x1, y1 = self.cell(east, north)
-        return tree.probe(x0, y0, x1, y1)
+        return self._index.probe(x0, y0, x1, y1)
 
 
 class RTree:
@@ -149,6 +150,36 @@ def sample_quadtree(points: DataFrame, sample_rows: int = 200_000, leaf_rows: in
     return Quadtree(seen["lon"].to_numpy(), seen["lat"].to_numpy(), max(1, math.ceil(leaf_rows * fraction)))
 
 
+def count_leaves(points: DataFrame, tree: Quadtree) -> np.ndarray:
+    """Rows of ``points`` (``lon, lat``) in each leaf; as many numbers come to
+    the driver as there are leaves, which the sample bounds."""
+    shared = points.sparkSession.sparkContext.broadcast(tree)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            leaf, n = np.unique(shared.value.leaf(b["lon"].to_numpy(), b["lat"].to_numpy()), return_counts=True)
+            yield pd.DataFrame({"leaf": leaf, "n": n})
+
+    out = np.zeros(len(tree.starts), dtype=np.int64)
+    seen = points.select("lon", "lat").mapInPandas(run, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).toPandas()
+    out[seen["leaf"].to_numpy()] = seen["n"].to_numpy()
+    return out
+
+
+def _shares(counts: np.ndarray, leaf_rows: int) -> np.ndarray:
+    return np.maximum(1, -(-counts // (2 * leaf_rows)))
+
+
+def _hash(ids: pd.Series) -> np.ndarray:
+    return pd.util.hash_array(ids.to_numpy(dtype=object)).astype(np.uint64)
+
+
+def _dealt(leaf: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, copy) for every row, ``copies`` times."""
+    row = np.repeat(np.arange(len(leaf)), copies)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+
+
 def _reach(lat: np.ndarray, metres: float) -> tuple[np.ndarray, np.ndarray]:
     """Degrees of longitude and latitude that surely hold ``metres``."""
     d = math.degrees(metres / EARTH_M) * (1 + 1e-9) + 1e-12
@@ -178,6 +209,7 @@ def near_points(queries: DataFrame, points: DataFrame, metres: float, sample_row
     usable = "id is not null and abs(lon) <= 180 and abs(lat) <= 90 and not isnan(lon) and not isnan(lat)"
     queries, points = (s.select("id", "lon", "lat").where(usable) for s in (queries, points))
     tree = sample_quadtree(points, sample_rows, leaf_rows)
+    tree.salts, tree.parts = _shares(count_leaves(points, tree), leaf_rows), _shares(count_leaves(queries, tree), leaf_rows)
     spark = queries.sparkSession
     shared = spark.sparkContext.broadcast(tree)  # leaves: bounded by the sample, not by the data
 
@@ -185,8 +217,9 @@ def near_points(queries: DataFrame, points: DataFrame, metres: float, sample_row
         t = shared.value
         for b in batches:
             leaf = t.leaf(b["lon"].to_numpy(), b["lat"].to_numpy())
-            salt = pd.util.hash_array(b["id"].to_numpy(dtype=object)).astype(np.uint64) % t.salts[leaf].astype(np.uint64)
-            yield pd.DataFrame({"leaf": leaf, "salt": salt.astype(np.int64), "id": b["id"], "lon": b["lon"], "lat": b["lat"]})
+            salt = (_hash(b["id"]) % t.salts[leaf].astype(np.uint64)).astype(np.int64)
+            i, part = _dealt(leaf, t.parts[leaf])
+            yield pd.DataFrame({"leaf": leaf[i], "salt": salt[i], "part": part, "id": b["id"].to_numpy()[i], "lon": b["lon"].to_numpy()[i], "lat": b["lat"].to_numpy()[i]})
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = shared.value
@@ -195,13 +228,12 @@ def near_points(queries: DataFrame, points: DataFrame, metres: float, sample_row
             dx, dy = _reach(lat, metres)
             i, w, s, e, n = _unwrapped(np.arange(len(b)), lon - dx, lat - dy, lon + dx, lat + dy)
             q, leaf = t.touched(w, s, e, n)
-            i, leaf = i[q], leaf
-            k = t.salts[leaf]
-            i, leaf = np.repeat(i, k), np.repeat(leaf, k)
-            salt = np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
-            out = pd.DataFrame({"leaf": leaf, "salt": salt, "row": i}).drop_duplicates()
-            i = out["row"].to_numpy()
-            yield pd.DataFrame({"leaf": out["leaf"].to_numpy(), "salt": out["salt"].to_numpy(), "id": b["id"].to_numpy()[i], "lon": lon[i], "lat": lat[i]})
+            met = np.unique(np.stack([i[q], leaf]), axis=1)
+            i, leaf = met[0], met[1]
+            part = (_hash(b["id"])[i] % t.parts[leaf].astype(np.uint64)).astype(np.int64)
+            k, salt = _dealt(leaf, t.salts[leaf])
+            i = i[k]
+            yield pd.DataFrame({"leaf": leaf[k], "salt": salt, "part": part[k], "id": b["id"].to_numpy()[i], "lon": lon[i], "lat": lat[i]})
 
     def probe(key, q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -220,9 +252,9 @@ def near_points(queries: DataFrame, points: DataFrame, metres: float, sample_row
                 out.append(pd.DataFrame({"query_id": part["id"].to_numpy()[k[ok]], "point_id": p["id"].to_numpy()[j[ok]]}).drop_duplicates())
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype=str), "point_id": pd.Series(dtype=str)})
 
-    form = "leaf long, salt long, id string, lon double, lat double"
-    left = queries.mapInPandas(spread, form).groupBy("leaf", "salt")
-    right = points.mapInPandas(place, form).groupBy("leaf", "salt")
+    form = "leaf long, salt long, part long, id string, lon double, lat double"
+    left = queries.mapInPandas(spread, form).groupBy("leaf", "salt", "part")
+    right = points.mapInPandas(place, form).groupBy("leaf", "salt", "part")
     return left.cogroup(right).applyInPandas(probe, "query_id string, point_id string").distinct()
 
 
@@ -268,14 +300,15 @@ def containing_region(points: DataFrame, regions: DataFrame, sample_rows: int =
     require(regions, "id", "wkt")
     points = points.select("id", "lon", "lat").where("id is not null and abs(lon) <= 180 and abs(lat) <= 90 and not isnan(lon) and not isnan(lat)")
     tree = sample_quadtree(points, sample_rows, leaf_rows)
+    tree.salts = _shares(count_leaves(points, tree), leaf_rows)
     shared = points.sparkSession.sparkContext.broadcast(tree)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = shared.value
         for b in batches:
             leaf = t.leaf(b["lon"].to_numpy(), b["lat"].to_numpy())
-            salt = pd.util.hash_array(b["id"].to_numpy(dtype=object)).astype(np.uint64) % t.salts[leaf].astype(np.uint64)
-            yield pd.DataFrame({"leaf": leaf, "salt": salt.astype(np.int64), "id": b["id"], "lon": b["lon"], "lat": b["lat"]})
+            salt = (_hash(b["id"]) % t.salts[leaf].astype(np.uint64)).astype(np.int64)
+            yield pd.DataFrame({"leaf": leaf, "salt": salt, "id": b["id"], "lon": b["lon"], "lat": b["lat"]})
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = shared.value
@@ -286,8 +319,8 @@ def containing_region(points: DataFrame, regions: DataFrame, sample_rows: int =
                     continue
                 w, s, e, n = (np.array(v) for v in zip(*boxes))
                 leaves = np.unique(t.touched(w, s, e, n)[1])
-                k = t.salts[leaves]
-                yield pd.DataFrame({"leaf": np.repeat(leaves, k), "salt": np.concatenate([np.arange(v) for v in k]), "id": rid, "wkt": wkt})
+                k, salt = _dealt(leaves, t.salts[leaves])
+                yield pd.DataFrame({"leaf": leaves[k], "salt": salt, "id": rid, "wkt": wkt})
 
     def probe(key, p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"point_id": pd.Series(dtype=str), "region_id": pd.Series(dtype=str)})]

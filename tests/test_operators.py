@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions.text import FLAT
-from cairn.operators import counties, fuzzy, geocode, match
+from cairn.operators import counties, fuzzy, geocode, match, spatial
 from cairn.operators.compact import assign_files, compact, longest_first, read_compacted
 from cairn.operators.heavy_keys import heavy_keys, per_key
 from cairn.operators.spatial import Quadtree, RTree, containing_region, great_circle, inside, near_points, parse_point, parse_polygons
@@ -73,7 +73,7 @@ def test_quadtree_covers():
     counts = np.bincount(t.leaf(lon, lat), minlength=len(t.starts))
     assert counts.max() <= 50
     same = Quadtree(np.full(500, 1.0), np.full(500, 2.0), 50)
-    assert same.salts.max() == 10
+    assert spatial._shares(np.bincount(same.leaf(np.full(500, 1.0), np.full(500, 2.0))), 50).max() == 5
 
 
 def test_near_points(spark):
@@ -156,3 +156,53 @@ def test_one_edit_behind_ten_thousand_characters(spark):
     a = "".join(chr(97 + i * i % 23) for i in range(10_050))
     x, y = spark.createDataFrame([(a + "xyz",)], "xv string"), spark.createDataFrame([(a + "xz",)], "yv string")
     assert [r["dist"] for r in fuzzy.close_pairs(x, y, 1).collect()] == [1]
+
+
+def test_crowded_leaves_are_dealt_to_groups(spark):
+    # most points, and most queries, stand at one place; the sample knows 20 of them
+    r = np.random.default_rng(6)
+    lon, lat = r.normal(-84, 0.02, 900), r.normal(39, 0.02, 900)
+    lon[:300], lat[:300] = -84.0, 39.0
+    points = spark.createDataFrame([(str(i), float(x), float(y)) for i, (x, y) in enumerate(zip(lon, lat))], "id string, lon double, lat double")
+    queries = points.where("cast(id as int) % 3 = 0").unionByName(points.where("id = '1'"))
+    got = {tuple(x) for x in near_points(queries, points, 120.0, sample_rows=20, leaf_rows=15).collect()}
+    ids = [i for i in range(900) if i % 3 == 0 or i == 1]
+    want = {(str(i), str(j)) for i in ids for j in np.flatnonzero(great_circle(lat[i], lon[i], lat, lon) <= 120.0)}
+    assert got == want
+
+
+def test_compact_spreads_rows_without_a_file_and_joins_small_keys(spark, tmp_path):
+    rows = spark.createDataFrame([(i, None if i < 60 else i % 8, f"z{i % 4}", f"v{i}") for i in range(100)] + [(100, 3, "z1", "v5"), (200, None, "z0", "v9"), (99, 3, "z3", "v99")], "id int, file int, zone string, v string")
+    files = spark.createDataFrame([(i, 200) for i in range(8)], "file int, n_bytes int")
+    manifest = compact(rows, files, str(tmp_path / "a"), "id", "file", "zone", ignore=["zone"], target_bytes=2000)
+    got = read_compacted(spark, str(tmp_path / "a"))
+    assert sorted(r["id"] for r in got.collect()) == list(range(100))
+    # 6,000 bytes without file make three groups, 1,600 of four small keys one
+    assert manifest.count() == 4
+    one = compact(rows, files, str(tmp_path / "b"), "id", "file", "zone")
+    assert one.agg(F.sum("n_rows")).first()[0] == 101 and one.count() == 2
+
+
+def test_compact_finds_damaged_files(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from cairn.operators import compact as module
+
+    rows = spark.createDataFrame([(i, 0, "z", f"v{i}") for i in range(20)], "id int, file int, zone string, v string")
+    out = tmp_path / "o"
+    manifest = compact(rows, spark.createDataFrame([(0, 10)], "file int, n_bytes int"), str(out), "id", "file", "zone")
+    path = out / manifest.first()["path"]
+    pq.write_table(pq.read_table(path).slice(0, 19), path)
+    content = F.md5(F.to_json(F.struct("zone", "v"), {"ignoreNullFields": "false"}))
+    with pytest.raises(RuntimeError):
+        module._read_back(spark.read.schema(rows.schema), "file://" + str(out), manifest, content)
+
+
+def test_no_stages_in_a_local_folder_of_a_cluster():
+    from types import SimpleNamespace
+
+    from cairn.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"), conf=conf))
