@@ -136,12 +136,14 @@ def _collect(tags: Column, label: str, sep: str) -> Column:
     return F.array_join(F.array_distinct(F.transform(F.filter(tags, lambda t: t["label"] == label), lambda t: t["token"])), sep)
 
 
-def addresses_from_tags(df: DataFrame, tags: str, ordinals: bool = True) -> DataFrame:
-    """The twelve flat columns of labelled tokens: collected, repaired, harmonised.
-    NULL tags give twelve NULLs, no tokens twelve empty strings."""
+def addresses_from_tags(df: DataFrame, tags: str, ordinals: bool = True, maps: bool = True) -> DataFrame:
+    """The twelve flat columns of labelled tokens: collected, repaired and, with
+    ``maps``, harmonised. NULL tags give twelve NULLs, no tokens twelve empty strings."""
     raw = {f: _collect(F.col(tags), label, "" if f.startswith("number_") or f in ("place_state", "place_zipcode") else " ") for f, label in FIELDS.items()}
-    fixed = raw | {"number_digits": repair_digits(raw["number_digits"]), "place_zipcode": repair_zip(raw["place_zipcode"]), "place_state": map_state(raw["place_state"]), "street_predirectional": map_direction(raw["street_predirectional"]), "street_postdirectional": map_direction(raw["street_postdirectional"]), "street_posttype": map_post_type(raw["street_posttype"]), "street_pretype": map_pre_type(raw["street_pretype"])}
-    if ordinals:
+    fixed = raw | {"number_digits": repair_digits(raw["number_digits"]), "place_zipcode": repair_zip(raw["place_zipcode"])}
+    if maps:
+        fixed |= {"place_state": map_state(raw["place_state"]), "street_predirectional": map_direction(raw["street_predirectional"]), "street_postdirectional": map_direction(raw["street_postdirectional"]), "street_posttype": map_post_type(raw["street_posttype"]), "street_pretype": map_pre_type(raw["street_pretype"])}
+    if ordinals and maps:
         fixed["street_name"] = map_ordinal(raw["street_name"])
     return df.withColumns({f: F.when(F.col(tags).isNotNull(), fixed[f]) for f in FLAT})
 

@@ -76,5 +76,9 @@ def normalize_county(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "[.']", ""), " +", " "))
 
 
+# Names of county equivalents.
+COUNTY_SUFFIXES = ("County", "Parish", "City and Borough", "Census Area", "Planning Region", "Borough", "Municipality", "Municipio", "city")
+
+
 def strip_county_suffix(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?i) (county|parish|borough|census area|municipality|city and borough|planning region|municipio)$", "")
+    return F.regexp_replace(c, f" ({'|'.join(COUNTY_SUFFIXES)})$", "")
