@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.dicts import dictionary
+from cairn.functions.dicts import POST_TYPES, dictionary, entries
 from cairn.session import materialize, require
 
 STREET = ["street_predirectional", "street_premodifier", "street_pretype", "street_name", "street_posttype", "street_postdirectional"]
@@ -55,7 +55,29 @@ def clean_zip(c: Column) -> Column:
     return F.when(z.rlike(r"^[0-9]{5}(-?[0-9]{4})?$"), F.substring(z, 1, 5)).when(z.rlike(r"^[0-9]{4}$"), F.concat(F.lit("0"), z)).otherwise(z)
 
 
-_TYPES = {k: v.lower() for k, v in dictionary("post_type").items() if " " not in k}
+_TYPES = {k: v.lower() for k, v in entries(POST_TYPES).items()}
+
+
+def typed_spellings(types: dict[str, str]) -> dict[str, str]:
+    """Short forms as people type them, for types by their full names: with vowels
+    after the first letter left out, ``oo`` as ``u``, and, of names of three letters,
+    with the last doubled or an e behind. Forms of two types, or known ones, are none."""
+    full = {k: v for k, v in types.items() if len(k) <= 9 and all(len(k) >= len(o) for o, w in types.items() if w == v)}
+    out: dict[str, set[str]] = {}
+    for name, v in full.items():
+        forms = {name[:1]}
+        for c in name[1:]:
+            forms = {f + c for f in forms} | (forms if c in "aeiou" else set())
+        forms.add(name.replace("oo", "u"))
+        if len(name) == 3:
+            forms |= {name + name[-1], name + "e"}
+        for f in forms:
+            if len(f) >= 3:
+                out.setdefault(f, set()).add(v)
+    return {f: min(v) for f, v in out.items() if len(v) == 1 and f not in types}
+
+
+_TYPED = typed_spellings(_TYPES)
 _FULL = {v: k for k, v in reversed(_TYPES.items()) if k != v}
 _WAYS = {k.replace(".", "").replace("-", " "): v.lower() for k, v in dictionary("direction").items()}
 _ORDINALS = ordinal_words()
@@ -115,6 +137,8 @@ def parse_street(parts: list[str | None]) -> tuple[str, str, str, str, str, str]
         own = _plain(parts[4]).rsplit(" ", 1)[-1]
         if t[-1] in _TYPES:
             po, t = _TYPES[t[-1]], t[:-1]
+        elif t[-1] in _TYPED:
+            po, t = _TYPED[t[-1]], t[:-1]
         elif own and t[-1] == own:
             po, t = "?" + own, t[:-1]
     return pd_, pm, pt, _name(t), po, sd

@@ -13,14 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.functions.dicts import dictionary
+from cairn.functions.dicts import POST_TYPES, dictionary, entries
 from cairn.functions.distance import osa_sql
+from cairn.llm.address import typed_spellings
 from cairn.session import materialize, require
 
 # Short and long forms of words in place names.
-PLACE_WORDS = {"ft": "fort", "frt": "fort", "mt": "mount", "mnt": "mount", "st": "saint", "ste": "saint", "snt": "saint", "n": "north", "no": "north", "nth": "north", "s": "south", "so": "south", "jct": "junction", "junc": "junction", "juncn": "junction", "jnc": "junction", "junct": "junction", "jctn": "junction", "ldg": "landing", "lndg": "landing", "lg": "landing", "lndng": "landing", "hts": "heights", "hgts": "heights", "ht": "heights", "spgs": "springs", "spr": "springs", "sprs": "springs", "spg": "springs", "fls": "falls", "fl": "falls", "nw": "new"}
+PLACE_WORDS = {"ft": "fort", "frt": "fort", "mt": "mount", "mnt": "mount", "st": "saint", "ste": "saint", "snt": "saint", "n": "north", "no": "north", "nth": "north", "s": "south", "so": "south", "jct": "junction", "junc": "junction", "jnc": "junction", "junct": "junction", "jctn": "junction", "ldg": "landing", "lndg": "landing", "lg": "landing", "lndng": "landing", "hts": "heights", "hgts": "heights", "ht": "heights", "spgs": "springs", "spr": "springs", "sprs": "springs", "spg": "springs", "fls": "falls", "fl": "falls", "nw": "new"}
 TYPE_WORDS = {"vue": "Vw", "rn": "Run", "trial": "Trl"}
-STATE_WORDS = ("oh", "in", "ky", "ohio", "indiana", "kentucky", "usa", "us")
+STATE_CODES = sorted({v.lower() for v in dictionary("state").values()})
+STATE_WORDS = (*sorted({w.lower() for w in dictionary("state")} | set(STATE_CODES), key=len, reverse=True), "usa", "us")
 
 
 def place_sql(c: str) -> str:
@@ -44,7 +46,7 @@ def place_sql(c: str) -> str:
 def zip_sql(c: str) -> str:
     """A ZIP in plain form: misread letters as digits, labels, decimals and the
     four-digit part cut, a lost leading zero put back."""
-    out = f"regexp_replace(upper({c}), '^\\\\s*(ZIP( *CODE)?|OH|IN|KY)[: ]+|[#\\\\s]', '')"
+    out = f"regexp_replace(upper({c}), '^\\\\s*(ZIP( *CODE)?|[A-Z]{{2}})[: ]+|[#\\\\s]', '')"
     out = f"regexp_replace({out}, '[.]0+$', '')"
     out = f"translate({out}, 'OQILSBZG', '00115826')"
     out = f"CASE WHEN {out} RLIKE '^[0-9]{{5}}-?[0-9]{{4}}$' THEN substr({out}, 1, 5) ELSE regexp_replace({out}, '-', '') END"
@@ -102,7 +104,7 @@ def edits_allowed(field: Column, size: Column) -> Column:
 def references(canon: DataFrame) -> DataFrame:
     """The reference strings: plain forms of the entries, for street types also
     their usual spellings. ``field, text, canon_id, k``."""
-    spelling = canon.sparkSession.createDataFrame([(k, v.lower()) for k, v in (dictionary("post_type") | TYPE_WORDS).items()], "spelling string, canonical string")
+    spelling = canon.sparkSession.createDataFrame([(k, v.lower()) for k, v in (typed_spellings(entries(POST_TYPES)) | entries(POST_TYPES) | TYPE_WORDS).items()], "spelling string, canonical string")
     name = canon.where("field = 'name'").select("field", F.expr(f"replace({place_sql('canonical')}, ' ', '')").alias("text"), "canon_id")
     code = canon.where("field = 'zipcode'").select("field", F.expr(zip_sql("canonical")).alias("text"), "canon_id")
     kind = canon.where("field = 'posttype'").select("field", F.expr(type_sql("canonical")).alias("text"), "canon_id")
@@ -136,7 +138,8 @@ def candidates(values: DataFrame, canon: DataFrame) -> DataFrame:
     tail = tail.select("field", "given", F.expr(f"array_join(slice({words}, 1, size({words}) - 1), '')").alias("value"))
     # "city of", misspelt
     head = given.where("field = 'name' and length(plain) >= 12 and levenshtein(substr(plain, 1, 8), 'city of ', 3) >= 0").select("field", "given", F.expr("regexp_replace(regexp_replace(plain, '^\\\\S+ \\\\S+ ', ''), ' ', '')").alias("value"))
-    glued = given.where("field = 'name' and replace(plain, ' ', '') rlike '^cityof|(city|usa|oh|in|ky)$'").select("field", "given", F.expr("regexp_replace(replace(plain, ' ', ''), '^cityof|(city|usa|oh|in|ky)$', '')").alias("value"))
+    edge = f"^cityof|(city|usa|{'|'.join(STATE_CODES)})$"
+    glued = given.where(f"field = 'name' and replace(plain, ' ', '') rlike '{edge}'").select("field", "given", F.expr(f"regexp_replace(replace(plain, ' ', ''), '{edge}', '')").alias("value"))
     forms = solid.unionByName(tail).unionByName(head).unionByName(glued).where("value <> ''").distinct()
     forms = materialize(forms, "value_forms")
     ref = materialize(references(canon), "references")

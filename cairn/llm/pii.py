@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.dicts import POST_TYPES
+from cairn.functions.dicts import POST_TYPES, entries
 from cairn.llm.boost import Boosted
 from cairn.session import materialize, require
 
@@ -44,8 +44,9 @@ CUE_SHARE = 1_000  # a cue stands beside one in so many of the labelled spans of
 
 # Words that end a street name in running text (full words and
 # abbreviations of the usual types; ambiguous ones are left to the classifier).
-_LEAVE_OUT = {"al", "bot", "bl", "br", "bv", "cen", "cent", "centre", "center", "cl", "cp", "div", "dl", "dm", "exp", "ext", "field", "fields", "flat", "ford", "fork", "form", "harb", "is", "la", "mill", "is", "la", "pass", "pr", "pt", "rest", "row", "rows", "run", "runs", "sta", "st", "str", "station", "via", "walk", "way", "well", "wells", "view", "spring", "port", "point", "plain", "path", "park", "pine", "island", "lake", "mount", "fort", "mt", "ft", "lk", "common", "club", "corner", "course", "branch", "bridge", "camp", "cape", "bend", "bottom", "bluff", "beach", "arcade", "annex", "dam", "divide", "estate", "extension", "fall", "falls", "ferry", "forest", "forge", "garden", "gateway", "glen", "green", "harbor", "haven", "hill", "hills", "inlet", "key", "knoll", "lakes", "landing", "light", "lock", "lodge", "mall", "meadow", "mission", "mountain", "neck", "orchard", "prairie", "ranch", "rapid", "river", "shore", "stream", "summit", "trace", "track", "tunnel", "union", "valley", "village", "ville", "vista", "woods"}
-_TYPES = sorted({w.strip().lower() for line in POST_TYPES.strip().splitlines() for w in re.split("[:,]", line)} - _LEAVE_OUT | {"st", "str", "way", "run", "row", "walk", "path", "pass", "view", "park"}, key=len, reverse=True)
+_LEAVE_OUT = {"acc", "access", "bg", "burg", "ci", "cr", "crest", "cliff", "curve", "curv", "fall", "hw", "ht", "iss", "isle", "ky", "land", "lf", "light", "loaf", "lp", "mews", "oval", "pte", "rad", "radial", "ramp", "rue", "shoal", "spr", "spur", "track", "trailer", "un", "wall", "ways", "wl", "express", "ranches", "tunnels", "al", "bot", "bl", "br", "bv", "cen", "cent", "centre", "center", "cl", "cp", "div", "dl", "dm", "exp", "ext", "field", "fields", "flat", "ford", "fork", "form", "harb", "is", "la", "mill", "is", "la", "pass", "pr", "pt", "rest", "row", "rows", "run", "runs", "sta", "st", "str", "station", "via", "walk", "way", "well", "wells", "view", "spring", "port", "point", "plain", "path", "park", "pine", "island", "lake", "mount", "fort", "mt", "ft", "lk", "common", "club", "corner", "course", "branch", "bridge", "camp", "cape", "bend", "bottom", "bluff", "beach", "arcade", "annex", "dam", "divide", "estate", "extension", "fall", "falls", "ferry", "forest", "forge", "garden", "gateway", "glen", "green", "harbor", "haven", "hill", "hills", "inlet", "key", "knoll", "lakes", "landing", "light", "lock", "lodge", "mall", "meadow", "mission", "mountain", "neck", "orchard", "prairie", "ranch", "rapid", "river", "shore", "stream", "summit", "trace", "track", "tunnel", "union", "valley", "village", "ville", "vista", "woods"}
+_PLURALS = {w for w in entries(POST_TYPES) if w.endswith("s") and w[:-1] in entries(POST_TYPES)}  # in running text they are things more often than streets
+_TYPES = sorted(set(entries(POST_TYPES)) - _PLURALS - _LEAVE_OUT | {"st", "str", "way", "run", "row", "walk", "path", "pass", "view", "park"}, key=len, reverse=True)
 _WAY = r"(?:North(?:east|west)?|South(?:east|west)?|East|West|N\.?E\.?|N\.?W\.?|S\.?E\.?|S\.?W\.?|N\.?|S\.?|E\.?|W\.?)"
 _UNIT = r"(?:,?[ \t]+(?:(?:Apt|Apartment|Unit|Suite|Ste|Room|Rm|Floor|Fl|Lot)\b\.?[ \t]*#?|#)[ \t]*[A-Za-z]?-?\d{1,4}-?[A-Za-z]?\b)"
 _L = r"[^\W\d_]"
