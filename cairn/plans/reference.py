@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import cells, dicts, geo, phonetic, tagger, text, zips
 from cairn.operators import counties, diagnose, fuzzy, geocode, match
+from cairn.plans import match_sql
 from cairn.session import shared_path
 from cairn.sources import points, ranges
 from cairn.sources.tables import table
@@ -121,14 +122,20 @@ def _x_streets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _taf_streets(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "taf").where("zip is not null").groupBy("zip", *STREET).agg(F.min("taf_id").alias("taf_id"))
+    return table(spark, d, "taf").where("zip is not null").select("taf_id", "zip", *(phonetic.map_ordinal(F.col(c)).alias(c) if c == "street_name" else c for c in STREET)).groupBy("zip", *STREET).agg(F.min("taf_id").alias("taf_id"))
+
+
+#: Types, directions, edits, phonetic distance of the registered street matches.
+STREET_MATCHES = {
+    "street_match_exact": ("exact", "exact", 0, 0), "street_match_swap": ("swap", "swap", 0, 0), "street_match_ignore": ("ignore", "ignore", 0, 0), "street_match_compatible": ("compatible", "exact", 0, 0),
+    "street_match_fuzzy": ("exact", "exact", 1, 0), "street_match_phonetic": ("exact", "swap", 0, 2), "street_match_ordinal": ("ignore", "swap", 1, 1),
+}
 
 
 def _street_query(types: str, directions: str, fuzz: float, phon: float):
     def run(spark: SparkSession, d: str) -> DataFrame:
         out = match.match_streets(_x_streets(spark, d), _taf_streets(spark, d), "key", "taf_id", ["zip"], phon, fuzz, types, directions)
-        out = out.select(F.col("x_id").alias("street"), F.col("y_ord").alias("taf_id"), "how")
-        return out.where("how = 'exact'") if fuzz < 1 else out  # the exact stage on its own
+        return out.select(F.col("x_id").alias("street"), F.col("y_ord").alias("taf_id"), "how")
 
     return run
 
@@ -310,13 +317,7 @@ def dedup_restore(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (clean_text, format_address, unique_by_text, missing_records, digit_repair, zip_repair, house_number_int, street_type_map, direction_map, pre_type_map, state_map, unmapped_types, ordinal_map, soundex_key, street_key, ordinal_neighbors, zip_variants, zip_choice, county_lookup, fuzzy_match_names, fuzzy_field, number_match, staged_match, match_stage_counts, left_join_expand, fuzzy_left_join, fuzzy_multi_field, index_summary, explain_match, address_points, side_unpivot, feature_name_filter, range_install, range_zip, manifest_counts, needed_counties, missing_counties, top_streets, range_pick, range_fractions, line_bearing, offset_points, geocode_points, geocode_stage, geocode_table, uncovered_zips, point_cells, tag_tokens, parse_text, dedup_restore)
-} | {
-    "street_match_exact": _street_query("exact", "exact", 0, 0),
-    "street_match_swap": _street_query("swap", "swap", 0, 0),
-    "street_match_ignore": _street_query("ignore", "ignore", 0, 0),
-    "street_match_compatible": _street_query("compatible", "exact", 0, 0),
-    "street_match_fuzzy": _street_query("exact", "exact", 1, 1),
-}
+} | {name: _street_query(*how) for name, how in STREET_MATCHES.items()}
 
 # ---------------------------------------------------------------- SQL
 
@@ -359,21 +360,7 @@ def _ordinals(source: str, c: str) -> str:
       mapped AS (SELECT street_name, CASE WHEN regexp_full_match(lower(trim(street_name)), '[0-9]+(st|nd|rd|th)') THEN upper(trim(street_name)) WHEN n IS NOT NULL THEN n || {_END} ELSE street_name END AS mapped FROM plain LEFT JOIN words USING (w))"""
 
 
-_LETTERS = "regexp_replace(upper({c}), '[^A-Z]', '', 'g')"
-_CODES = "translate({l}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230120022455012623010202')"
-
-
-def _soundex(c: str) -> str:
-    """H and W do not separate equal codes, vowels do."""
-    letters = _LETTERS.format(c=c)
-    inner = f"translate(translate({letters}, 'HW', ''), 'ABCDEFGIJKLMNOPQRSTUVXYZ', '0123012022455012623010202')"
-    del inner
-    no_hw = f"(substr({letters}, 1, 1) || regexp_replace(substr({letters}, 2), '[HW]', '', 'g'))"
-    codes = f"translate({no_hw}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230120022455012623010202')"
-    for digit in "123456":
-        codes = f"regexp_replace({codes}, '{digit}+', '{digit}', 'g')"
-    rest = f"replace(substr({codes}, 2), '0', '')"
-    return f"CASE WHEN {c} IS NULL THEN NULL WHEN {letters} = '' THEN '0000' ELSE substr({letters}, 1, 1) || rpad(substr({rest}, 1, 3), 3, '0') END"
+_soundex = match_sql.soundex
 
 
 _VARIANTS = f"""WITH z AS (SELECT DISTINCT place_zipcode AS s FROM x WHERE {_valid("place_zipcode")}),
@@ -388,30 +375,13 @@ _VARIANTS = f"""WITH z AS (SELECT DISTINCT place_zipcode AS s FROM x WHERE {_val
 _X_STREETS = f"""xs AS (SELECT DISTINCT place_zipcode AS zip, {_mapped("coalesce(street_predirectional, '')", "direction")} AS street_predirectional, coalesce(street_premodifier, '') AS street_premodifier, {_mapped("coalesce(street_pretype, '')", "pre_type")} AS street_pretype,
     mo.mapped AS street_name, {_mapped("coalesce(street_posttype, '')", "post_type")} AS street_posttype, {_mapped("coalesce(street_postdirectional, '')", "direction")} AS street_postdirectional FROM x JOIN mapped mo ON mo.street_name = coalesce(x.street_name, '') WHERE place_zipcode IS NOT NULL),
   xk AS (SELECT *, concat_ws('|', zip, {_S}) AS street FROM xs WHERE street_name <> ''),
-  ts AS (SELECT zip, {_S}, min(taf_id) AS taf_id FROM taf WHERE zip IS NOT NULL AND street_name <> '' GROUP BY ALL)"""
-_PLAIN_NAMES = _ordinals("(SELECT coalesce(street_name, '') AS n0 FROM x)", "n0")
+  ts AS (SELECT zip, {", ".join("mo.mapped AS street_name" if c == "street_name" else c for c in STREET)}, taf_id AS y_ord FROM taf JOIN mapped mo ON mo.street_name = taf.street_name WHERE zip IS NOT NULL)"""
+_PLAIN_NAMES = _ordinals("(SELECT coalesce(street_name, '') AS n0 FROM x UNION SELECT street_name FROM taf)", "n0")
 
 
-def _e(c: str) -> str:
-    return f"lower(coalesce(nullif({c}, ''), '<empty>'))"
-
-
-def _pair(alias: str, a: str, b: str, swap: bool) -> str:
-    """Rows (key, rank) of a pair of components, as a list of structs."""
-    x, y = _e(f"{alias}.{a}"), _e(f"{alias}.{b}")
-    none = f"({x} = '<empty>' AND {y} = '<empty>')"
-    one = f"{{'k': {x} || '|' || {y}, 'r': CASE WHEN {none} THEN 2 ELSE 0 END}}"
-    if not swap:
-        return f"[{one}]"
-    return f"CASE WHEN {x} = {y} THEN [{one}] ELSE [{one}, {{'k': {y} || '|' || {x}, 'r': CASE WHEN {none} THEN 2 ELSE 1 END}}] END"
-
-
-def _exact_streets(swap: bool) -> str:
-    side = lambda t, i: f"SELECT *, unnest({_pair(t, 'street_pretype', 'street_posttype', swap)}) AS tv FROM {t}"
-    both = lambda t: f"SELECT *, unnest({_pair('q', 'street_predirectional', 'street_postdirectional', swap)}) AS dv FROM ({side(t, 0)}) q"
-    return f"""{_PLAIN_NAMES}, {_X_STREETS}, a AS ({both("xk")}), b AS ({both("ts")}),
-      hits AS (SELECT a.street, b.taf_id, a.tv.r + b.tv.r AS t, a.dv.r + b.dv.r AS d FROM a JOIN b ON a.zip = b.zip AND a.tv.k = b.tv.k AND a.dv.k = b.dv.k AND {_e("a.street_premodifier")} = {_e("b.street_premodifier")} AND lower(a.street_name) = lower(b.street_name)),
-      best AS (SELECT street, taf_id, row_number() OVER (PARTITION BY street ORDER BY t + d, t, d, taf_id) AS r FROM hits)"""
+def _street_sql(types: str, directions: str, fuzz: float, phon: float) -> str:
+    same = " AND ".join(f"xk.{c} = f.{c}" for c in ("zip", *STREET))
+    return f"{_PLAIN_NAMES}, {_X_STREETS}, {match_sql.NEIGHBORS}, {match_sql.streets('xk', 'ts', types, directions, phon, fuzz)} SELECT street, y_ord AS taf_id, how FROM xk JOIN s_found f ON {same}"
 
 
 _FLAT_X = ", ".join(f"coalesce({c}, '') AS {c}" for c in text.FLAT)
@@ -457,8 +427,6 @@ SQL = {
       r AS (SELECT *, row_number() OVER (PARTITION BY number ORDER BY CASE how WHEN 'exact' THEN 0 ELSE 1 END, gap, dist, uuid) AS k FROM hits) SELECT number, uuid, how FROM r WHERE k = 1""",
     "index_summary": f"""{_NAD_NAMES}, {_POINTS} SELECT place_zipcode, count(DISTINCT {_ADDRESS}) AS n_addresses, count(DISTINCT ({_S})) AS n_streets FROM pts WHERE place_zipcode <> '' GROUP BY place_zipcode""",
     "address_points": f"""{_NAD_NAMES}, {_POINTS} SELECT {", ".join(text.FLAT)}, uuid, max(date_update) AS date_update, count(*) AS n FROM pts GROUP BY {", ".join(text.FLAT)}, uuid""",
-    "street_match_exact": f"{_exact_streets(False)} SELECT street, taf_id, 'exact' AS how FROM best WHERE r = 1",
-    "street_match_swap": f"{_exact_streets(True)} SELECT street, taf_id, 'exact' AS how FROM best WHERE r = 1",
     "side_unpivot": """WITH s AS (SELECT linearid, geometry_wkt, side, min(ROW(taf_id, fullname, zip, fromhn, tohn, parity, offset_flag)) AS r FROM taf GROUP BY ALL), p AS (SELECT linearid, geometry_wkt, side, r[1] AS taf_id, r[2] AS fullname, r[3] AS zip, r[4] AS fromhn, r[5] AS tohn, r[6] AS parity, r[7] AS offset_flag FROM s),
       f AS (SELECT linearid, geometry_wkt, coalesce(max(fullname) FILTER (side = 'L'), max(fullname) FILTER (side = 'R')) AS fullname FROM p GROUP BY ALL)
       SELECT p.linearid, f.fullname, side, zip, fromhn, tohn, parity, offset_flag, p.geometry_wkt FROM p JOIN f ON p.linearid IS NOT DISTINCT FROM f.linearid AND p.geometry_wkt IS NOT DISTINCT FROM f.geometry_wkt WHERE p.linearid IS NOT NULL AND f.fullname IS NOT NULL AND zip IS NOT NULL AND fromhn IS NOT NULL AND tohn IS NOT NULL AND parity IS NOT NULL AND offset_flag IS NOT NULL AND p.geometry_wkt IS NOT NULL""",
@@ -482,3 +450,35 @@ SQL = {
     "line_bearing": r"""WITH p AS (SELECT taf_id, string_split(regexp_extract(geometry_wkt, '\(([^()]*)\)', 1), ',') AS v FROM taf), q AS (SELECT taf_id, CAST(string_split(trim(v[1]), ' ')[1] AS DOUBLE) AS x1, CAST(string_split(trim(v[1]), ' ')[2] AS DOUBLE) AS y1, CAST(string_split(trim(v[2]), ' ')[1] AS DOUBLE) AS x2, CAST(string_split(trim(v[2]), ' ')[2] AS DOUBLE) AS y2 FROM p)
       SELECT taf_id, CASE WHEN x1 = x2 AND y1 = y2 THEN NULL ELSE round(fmod(degrees(atan2(sin(radians(x2 - x1)) * cos(radians(y2)), cos(radians(y1)) * sin(radians(y2)) - sin(radians(y1)) * cos(radians(y2)) * cos(radians(x2 - x1)))) + 360, 360), 4) END AS bearing FROM q""",
 }
+SQL |= {name: _street_sql(*how) for name, how in STREET_MATCHES.items()}
+
+# addresses of x with NULL as empty, the first delivery of each; those of nad, one row for each text
+_MATCH_SIDES = f"""{_NAD_NAMES}, {_POINTS}, xd AS (SELECT x_id, a.* FROM (SELECT x_id, min({{{", ".join(f"'{c}': {c}" for c in text.FLAT)}}}) AS a FROM x GROUP BY x_id) q),
+  xa AS (SELECT x_id, {", ".join({"street_predirectional": _mapped("coalesce(street_predirectional, '')", "direction"), "street_postdirectional": _mapped("coalesce(street_postdirectional, '')", "direction"), "street_pretype": _mapped("coalesce(street_pretype, '')", "pre_type"), "street_posttype": _mapped("coalesce(street_posttype, '')", "post_type"), "street_name": "mo.mapped"}.get(c, f"coalesce(xd.{c}, '')") + f" AS {c}" for c in text.FLAT)} FROM xd JOIN mapped mo ON mo.street_name = coalesce(xd.street_name, '')),
+  ya AS (SELECT uuid AS y_ord, {", ".join(text.FLAT)} FROM pts WHERE place_zipcode <> ''), yu AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY {_ADDRESS} ORDER BY y_ord) AS k FROM ya) q WHERE k = 1)"""
+_CHOICES = f"""zc AS (SELECT DISTINCT place_zipcode AS s FROM xa WHERE {_valid("place_zipcode")}),
+  zraw AS (SELECT s, s AS zip FROM zc UNION ALL SELECT s, lpad(CAST(CAST(s AS INT) - 1 AS VARCHAR), 5, '0') FROM zc UNION ALL SELECT s, CASE WHEN s = '99999' THEN '100000' ELSE lpad(CAST(CAST(s AS INT) + 1 AS VARCHAR), 5, '0') END FROM zc
+    UNION ALL SELECT s, substr(s, 1, 4) || d FROM zc, range(10) t(d) UNION ALL SELECT s, substr(s, 1, 3) || d || substr(s, 5, 1) FROM zc, range(10) t(d) UNION ALL SELECT s, substr(s, 1, 1) || substr(s, 3, 1) || substr(s, 2, 1) || substr(s, 4, 2) FROM zc),
+  choices AS (SELECT source_zip, zip FROM (SELECT s AS source_zip, zip, row_number() OVER (PARTITION BY s ORDER BY CASE WHEN zip = s THEN 0 ELSE 1 END, abs(CAST(s AS INT) - CAST(zip AS INT)), damerau_levenshtein(s, zip), CAST(zip AS INT)) AS k FROM (SELECT DISTINCT s, zip FROM zraw WHERE {_valid("zip")} AND zip IN (SELECT place_zipcode FROM yu)) q) w WHERE k = 1)"""
+_MATCHED = f"{_MATCH_SIDES}, {_CHOICES}, {match_sql.staged('xa', 'yu', 'choices')}"
+_EQUAL = " AND ".join(f"m.{c} = y.{c}" for c in text.FLAT)
+
+
+def _fuzzy_sql(same: list[str], by: list[str]) -> str:
+    """Pairs of ``xa`` and ``ya`` with equal fields (case does not count) and among the names, within ``by``, the nearest up to one edit."""
+    keys = "".join(f"{c}, " for c in by)
+    on = " AND ".join([*(f"a.{c} = b.{c}" for c in by), "abs(length(a.v) - length(b.v)) <= 1"])
+    low = ", ".join(f"lower({c}) AS {c}" for c in same)
+    return f"""{_MATCH_SIDES}, fx AS (SELECT x_id, {keys}lower(street_name) AS v, {low} FROM xa), fy AS (SELECT y_ord, {keys}lower(street_name) AS v, {low} FROM ya),
+      near AS (SELECT * FROM (SELECT *, min(d) OVER (PARTITION BY {keys}xv) AS least FROM (SELECT {"".join(f"a.{c}, " for c in by)}a.v AS xv, b.v AS yv, damerau_levenshtein(a.v, b.v) AS d FROM (SELECT DISTINCT {keys}v FROM fx) a JOIN (SELECT DISTINCT {keys}v FROM fy) b ON {on}) q WHERE d <= 1) w WHERE d = least),
+      pairs AS (SELECT DISTINCT fx.x_id, fy.y_ord AS uuid FROM fx JOIN near n ON n.xv = fx.v{"".join(f" AND n.{c} = fx.{c}" for c in by)} JOIN fy ON fy.v = n.yv{"".join(f" AND fy.{c} = n.{c}" for c in by)} AND {" AND ".join(f"fx.{c} = fy.{c}" for c in same)})"""
+
+
+_OTHERS = [c for c in (*text.NUMBER, *STREET) if c != "street_name"]
+SQL |= {
+    "staged_match": f"{_MATCHED} SELECT x_id, {match_sql.STAGE} AS stage, street_name, place_zipcode, y_ord AS uuid FROM m",
+    "match_stage_counts": f"{_MATCHED} SELECT {match_sql.STAGE} AS stage, count(*) AS n FROM m GROUP BY stage",
+    "left_join_expand": f"{_MATCHED} SELECT m.x_id, count(y.y_ord) AS n_found FROM m LEFT JOIN ya y ON m.y_ord IS NOT NULL AND {_EQUAL} GROUP BY m.x_id",
+    "fuzzy_left_join": f"{_fuzzy_sql(_OTHERS, ['place_zipcode'])} SELECT xa.x_id, p.uuid FROM xa LEFT JOIN pairs p ON p.x_id = xa.x_id",
+    "fuzzy_multi_field": f"{_fuzzy_sql([*_OTHERS, *text.PLACE], [])} SELECT x_id, uuid FROM pairs",
+}
