@@ -72,6 +72,10 @@ def street_key(c: Column) -> Column:
     return F.coalesce(written, _by_word(c, {w: f"#{n:04d}" for w, n in word_ordinals().items()}), soundex(c))
 
 
+def is_ordinal_key(c: Column) -> Column:
+    return F.coalesce(c.rlike("^#[0-9]{4}$"), F.lit(False))
+
+
 def ordinal_neighbors(key: Column) -> Column:
     """Keys that differ by moving the digits within the padding, or by one digit
     in place (a leading digit never becomes 0); an empty array for other keys."""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.functions.distance import osa, osa_up_to
+from cairn.functions.phonetic import is_ordinal_key, ordinal_neighbors
 from cairn.functions.text import FLAT, PLACE
 from cairn.session import require
 
@@ -104,6 +105,20 @@ def fuzzy_match(x: DataFrame, y: DataFrame, x_id: str, y_id: str, column: str, l
     return xs.join(near, "xv").join(ys, "yv").select("x_id", "y_id", "dist")
 
 
+def match_phonetic_keys(x: DataFrame, y: DataFrame, x_id: str, y_id: str, column: str, limit: float = 1.0) -> DataFrame:
+    """``x_id, y_id`` for tables of phonetic street keys: for ordinal keys of
+    ``x`` all keys of ``y`` that neighbour them, if ``limit`` is at least 1; for
+    other keys those at the least distance up to ``limit``. NULL matches nothing."""
+    require(x, x_id, column)
+    require(y, y_id, column)
+    ordinal = is_ordinal_key(F.col(column))
+    words = fuzzy_match(x.where(~ordinal), y, x_id, y_id, column, limit).select("x_id", "y_id")
+    if limit < 1:
+        return words
+    near = x.where(ordinal).select(F.col(x_id).alias("x_id"), F.explode(ordinal_neighbors(F.col(column))).alias("key"))
+    return words.unionByName(near.join(y.select(F.col(y_id).alias("y_id"), F.col(column).alias("key")), "key").select("x_id", "y_id"))
+
+
 def resolve_limits(limits: Mapping[str, float] | None) -> dict[str, float]:
     out = dict(DEFAULT_LIMITS)
     for name, v in (limits or {}).items():

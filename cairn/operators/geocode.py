@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 from cairn.functions.geo import along, offset_point, parse_line, range_fraction
 from cairn.functions.text import FLAT, STREET, format_address, format_parts, to_int, valid_zip
 from cairn.functions.zips import VARIANTS, zip_candidates
+from cairn.operators.diagnose import problem_examples
 from cairn.operators.match import match_streets
 from cairn.session import materialize, require
+from cairn.sources.ranges import missing_message, needed_counties
 
 STAGES = ("none", "street_variant", "street", "range_variant", "range")
 
@@ -39,14 +42,18 @@ def place_in_range(picked: DataFrame, offset: float = 10.0) -> DataFrame:
     return at.withColumn("q", offset_point(F.col("p.lon"), F.col("p.lat"), F.col("p.bearing"), F.col("side"), metres)).withColumns({"lon": F.col("q.lon"), "lat": F.col("q.lat")}).drop("p", "q")
 
 
-def geocode(x: DataFrame, ranges: DataFrame, x_id: str = "x_id", ord_col: str = "taf_id", phonetic: float = 1, fuzzy: float = 2, types: str = "exact", directions: str = "exact", variants: Sequence[str] | None = VARIANTS, offset: float = 10.0) -> DataFrame:
+def geocode(x: DataFrame, ranges: DataFrame, x_id: str = "x_id", ord_col: str = "taf_id", phonetic: float = 1, fuzzy: float = 2, types: str = "exact", directions: str = "exact", variants: Sequence[str] | None = VARIANTS, offset: float = 10.0, catalog: DataFrame | None = None, installed: DataFrame | None = None, strict_coverage: bool = False) -> DataFrame:
     """One row for each row of ``x``: ``x_id, matched_zipcode``, six
     ``matched_street_*`` columns, ``matched_geography`` (WKT point), ``geocode_stage``.
 
     Addresses are looked up once for each formatted text. Streets are sought in
     the ZIP itself, and for what is left in its variants, by variant rank, then
-    ZIP. Rows without a usable ZIP find nothing.
+    ZIP. Rows without a usable ZIP find nothing. With a ``catalog`` of what there
+    is and the manifest of what is ``installed``, missing counties are warned
+    of, or refused with ``strict_coverage`` (see ``check_coverage``).
     """
+    if catalog is not None and installed is not None:
+        check_coverage(x, "place_zipcode", catalog, installed, variants, strict_coverage)
     if not (math.isfinite(offset) and offset >= 0):
         raise ValueError("offset must be finite and not negative")
     require(x, x_id, *FLAT)
@@ -97,3 +104,17 @@ def stage_rank(stage: Column) -> Column:
 def uncovered_zips(x: DataFrame, zip_col: str, ranges: DataFrame) -> DataFrame:
     """Usable ZIPs of ``x`` for which no range is installed."""
     return x.where(valid_zip(F.col(zip_col))).select(F.col(zip_col).alias("zip")).distinct().join(ranges.select("zip").distinct(), "zip", "left_anti")
+
+
+def check_coverage(x: DataFrame, zip_col: str, catalog: DataFrame, installed: DataFrame, variants: Sequence[str] | None = VARIANTS, strict: bool = False) -> DataFrame:
+    """Rows of ``needed_counties`` of the ZIPs of ``x`` whose county is in the
+    ``catalog``, but not ``installed`` (a manifest). If there are any, they are
+    told by a warning, or by ``RuntimeError`` if ``strict``."""
+    needed = needed_counties(x, zip_col, catalog, variants)
+    missing = needed.join(installed.select("county_fips").distinct(), "county_fips", "left_anti").select(*needed.columns)
+    message = missing_message(missing)
+    if message and strict:
+        raise RuntimeError(message + " Addresses there, such as: " + problem_examples(x.where(F.col(zip_col).isin([r[0] for r in missing.select("source_zip").distinct().limit(5).collect()])).select(F.col(zip_col).alias("zip")), "zip"))
+    if message:
+        warnings.warn(message, stacklevel=2)
+    return missing

@@ -188,12 +188,30 @@ def match_stage(strict: bool = True) -> Column:
     return F.when(good, stage).otherwise(F.raise_error(F.lit("not the result of a match")).cast("string"))
 
 
-def address_left_join(x: DataFrame, y: DataFrame, x_id: str, y_ord: str, suffix: tuple[str, str] = ("_x", "_y"), **options) -> DataFrame:
+def same_index(index: AddressIndex, y: DataFrame, y_ord: str) -> bool:
+    """Whether an index holds the addresses of ``y``: the same distinct twelve fields."""
+    mine, theirs = index.rows.select(*FLAT).distinct(), AddressIndex(y, y_ord).rows.select(*FLAT).distinct()
+    return not mine.exceptAll(theirs).take(1) and not theirs.exceptAll(mine).take(1)
+
+
+def address_left_join(x: DataFrame, y: DataFrame, x_id: str, y_ord: str, suffix: tuple[str, str] = ("_x", "_y"), by: tuple[str, str] = ("", ""), prepared: AddressIndex | None = None, **options) -> DataFrame:
     """All rows of ``x`` with all rows of ``y`` whose twelve fields equal those of
-    its match; columns of both sides, shared names with suffixes."""
-    found = match_addresses(x, y, x_id, y_ord, **options).where("y_ord is not null")
-    rows = y.select(*(F.col(c).alias(f"__k_{c}") for c in FLAT), *(F.col(c).alias(c + suffix[1] if c in x.columns else c) for c in y.columns))
-    on = [F.coalesce(F.col(f"__k_{c}"), F.lit("")) == F.col(f"__m_{c}") for c in FLAT]
+    its match, NULL as an empty one; without a match once with NULL.
+
+    ``by`` has the prefixes of the twelve columns on both sides. Columns of both
+    sides: the address of ``x`` keeps its names, that of ``y`` gets the second
+    suffix; other shared names get both. A ``prepared`` index of ``y`` saves its
+    preparation; one of other addresses raises ``ValueError``."""
+    a, b = ([p + c for c in FLAT] for p in by)
+    require(x, x_id, *a)
+    require(y, y_ord, *b)
+    xs, ys = x.select(x_id, *(F.col(n).alias(c) for n, c in zip(a, FLAT))), y.select(y_ord, *(F.col(n).alias(c) for n, c in zip(b, FLAT)))
+    if prepared is not None and not same_index(prepared, ys, y_ord):
+        raise ValueError("the prepared index does not hold the addresses of y")
+    found = match_addresses(xs, ys if prepared is None else prepared, x_id, y_ord, **options).where("y_ord is not null")
+    shared = (set(x.columns) & set(y.columns)) - set(a) - set(b)
+    rows = y.select(*(F.coalesce(F.col(n), F.lit("")).alias(f"__k_{c}") for n, c in zip(b, FLAT)), *(F.col(c).alias(c + suffix[1] if c in shared or c in b else c) for c in y.columns))
+    on = [F.col(f"__k_{c}") == F.col(f"__m_{c}") for c in FLAT]
     pairs = found.select(F.col("x_id").alias("__x"), *(F.col(c).alias(f"__m_{c}") for c in FLAT)).join(rows, on).drop(*(f"__k_{c}" for c in FLAT), *(f"__m_{c}" for c in FLAT))
-    left = x.select(F.col(x_id).alias("__id"), *(F.col(c).alias(c + suffix[0] if c in y.columns else c) for c in x.columns))
+    left = x.select(F.col(x_id).alias("__id"), *(F.col(c).alias(c + suffix[0] if c in shared else c) for c in x.columns))
     return left.join(pairs, left["__id"] == pairs["__x"], "left").drop("__id", "__x")

@@ -206,3 +206,75 @@ def test_no_stages_in_a_local_folder_of_a_cluster():
     conf = SimpleNamespace(get=lambda *a: None)
     with pytest.raises(RuntimeError):
         shared_dir(SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"), conf=conf))
+
+
+def test_left_join_with_prefixes_and_a_prepared_index(spark):
+    x = addresses(spark, [(1, "10", "Main", "St", "11111"), (2, "99", "Main", "St", "11111"), (3, "1", "Elm", "St", "22222")]).withColumn("note", F.lit("x"))
+    y = addresses(spark, [(1, "10", "Main", "St", "11111"), (2, "10", "Main", "St", "11111"), (3, "12", "Main", "St", "11111")], "y_ord").withColumn("note", F.col("y_ord"))
+    index = match.AddressIndex(y, "y_ord")
+    out = match.address_left_join(x, y, "x_id", "y_ord", prepared=index)
+    assert "street_name" in out.columns and "street_name_y" in out.columns and "street_name_x" not in out.columns and {"note_x", "note_y"} <= set(out.columns)
+    assert sorted((r["x_id"], r["note_y"]) for r in out.collect() if r["x_id"] != 2) == [(1, 1), (1, 2), (3, None)]
+    named = y.select("y_ord", *(F.col(c).alias("ref_" + c) for c in FLAT))
+    wide = match.address_left_join(x, named, "x_id", "y_ord", by=("", "ref_"))
+    assert sorted((r["x_id"], r["ref_street_name_y"]) for r in wide.collect() if r["x_id"] != 2) == [(1, "Main"), (1, "Main"), (3, None)]
+    with pytest.raises(ValueError):
+        match.address_left_join(x, y.where("y_ord < 3"), "x_id", "y_ord", prepared=index)
+
+
+def test_stage_table(spark):
+    from cairn.operators.diagnose import problem_examples, stage_table
+
+    x = addresses(spark, [(1, "10", "Main", "St", "11111"), (2, "11", "Mian", "St", "11112"), (3, "1", "Elm", "St", "11111"), (4, "1", "Elm", "St", "90909")])
+    y = addresses(spark, [(1, "10", "Main", "St", "11111"), (2, "12", "Main", "St", "11111")], "y_ord")
+    got = {(r["x_id"], r["stage"]): (r["status"], r["candidates"]) for r in stage_table(x, y).collect()}
+    assert len(got) == 16
+    assert [got[1, s][0] for s in ("zip", "street", "number", "final")] == ["exact", "exact", "exact", "number"]
+    assert [got[2, s][0] for s in ("zip", "street", "number", "final")] == ["variant", "fuzzy_or_phonetic", "fuzzy", "number"] and got[2, "street"][1] == "1 streets / 2 addresses"
+    assert [got[3, s] for s in ("street", "number", "final")] == [("no match", "1 streets / 2 addresses"), ("skipped", "0"), ("zip", "zip-only result")]
+    assert [got[4, s][0] for s in ("zip", "street", "number", "final")] == ["no match", "skipped", "skipped", "none"]
+    texts = spark.createDataFrame([("b" * 130,), ("a\nb",), (None,)], "t string")
+    assert problem_examples(texts, "t", 2) == '"<NA>", "a b", ... and 1 more' and problem_examples(texts, "t").endswith('bbb..."') and problem_examples(texts.limit(0), "t") == ""
+
+
+def test_phonetic_keys(spark):
+    x = spark.createDataFrame([(1, "#0005"), (2, "M500"), (3, None), (4, "M600")], "i int, k string")
+    y = spark.createDataFrame([(1, "#0050"), (2, "#0005"), (3, "M550"), (4, "M500"), (5, "#0006")], "j int, k string")
+    pairs = lambda limit: {tuple(r) for r in fuzzy.match_phonetic_keys(x, y, "i", "j", "k", limit).collect()}
+    assert pairs(1) == {(1, 1), (1, 5), (2, 4), (4, 4)} and pairs(0) == {(2, 4)}
+
+
+def test_coverage(spark):
+    x = addresses(spark, [(1, "10", "Main", "St", "11111"), (2, "10", "Main", "St", "77777")])
+    catalog = spark.createDataFrame([("39001", "11111", "111", "11", 3), ("39003", "77777", "777", "77", 1)], "county_fips string, zip string, zip3 string, zip2 string, n_ranges int")
+    installed = catalog.where("county_fips = '39001'")
+    with pytest.warns(UserWarning, match="39003"):
+        assert {r["county_fips"] for r in geocode.check_coverage(x, "place_zipcode", catalog, installed).collect()} == {"39003"}
+    with pytest.raises(RuntimeError, match="77777"):
+        geocode.geocode(x, None, catalog=catalog, installed=installed, strict_coverage=True)
+    assert geocode.check_coverage(x, "place_zipcode", catalog, catalog, strict=True).count() == 0
+
+
+def test_streamed_matching(spark, tmp_path):
+    from cairn.streaming.addresses import match_stream
+
+    x = addresses(spark, [(1, "10", "Main", "St", "11111"), (2, "10", "Elm", "St", "11111")])
+    index = match.AddressIndex(addresses(spark, [(7, "10", "Main", "St", "11111")], "y_ord"), "y_ord")
+    x.write.parquet(str(tmp_path / "in"))
+    got = []
+    query = match_stream(spark.readStream.schema(x.schema).parquet(str(tmp_path / "in")), index, lambda df, n: got.extend(df.select("x_id", "y_ord").collect()), str(tmp_path / "check"))
+    query.awaitTermination(120)
+    assert {tuple(r) for r in got} == {(1, 7), (2, None)}
+
+
+def test_command_line(spark, tmp_path):
+    from cairn import cli
+
+    columns = "taf_id long, zip string, fromhn int, tohn int, side string, parity string, offset_flag string, geometry_wkt string, street_predirectional string, street_premodifier string, street_pretype string, street_name string, street_posttype string, street_postdirectional string"
+    spark.createDataFrame([(1, "45220", 1, 99, "L", "B", "N", "LINESTRING (-84.5 39.1, -84.4 39.1)", "", "", "", "Main", "St", "")], columns).write.parquet(str(tmp_path / "ranges"))
+    (tmp_path / "a.csv").write_text("id,address\n1,50 Main Street Cincinnati OH 45220\n2,nowhere\n")
+    cli.main([str(tmp_path / "a.csv"), str(tmp_path / "ranges")])
+    out = {r["id"]: r for r in spark.read.csv(cli.output_path(str(tmp_path / "a.csv")), header=True).collect()}
+    assert out["1"]["addr_geocode_stage"] == "range" and out["1"]["addr_matched_street"] == "Main St" and abs(float(out["1"]["addr_longitude"]) + 84.45) < 1e-3 and out["2"]["addr_geocode_stage"] == "none"
+    with pytest.raises(SystemExit):
+        cli.main([str(tmp_path / "a.txt"), "x"])
