@@ -42,7 +42,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return near.unionByName(region)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_zip_results, p5_found, p5_manifest, p6_found)}
+def p5_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What the consolidated files hold in all."""
+    return p5_manifest(spark, d).agg(F.sum("n_rows").alias("n_rows"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_zip_results, p5_found, p5_manifest, p5_totals, p6_found)}
 
 SQL = {
     "p2_found": "SELECT place_zipcode FROM x WHERE place_zipcode <> '' GROUP BY place_zipcode HAVING count(*) > 0.04 * (SELECT count(*) FROM x)",
@@ -50,4 +55,13 @@ SQL = {
         CAST(sum(CAST(received_at > entered_at + INTERVAL 30 DAY AS BIGINT)) AS BIGINT) AS n_late, count(place_name) AS n_named, count(DISTINCT x_id) AS n_records FROM x GROUP BY place_zipcode""",
     "p5_found": """SELECT taf_id FROM (SELECT taf_id, min(taf_id) OVER (PARTITION BY linearid, fullname, side, zip, fromhn, tohn, parity, offset_flag, geometry_wkt, street_predirectional, street_premodifier,
         street_pretype, street_name, street_posttype, street_postdirectional, street_tag_parsed, county_fips, zip3, zip2) AS first_id FROM taf) t WHERE taf_id > first_id""",
+    "p5_totals": """SELECT count(*) AS n_rows FROM (SELECT DISTINCT linearid, fullname, side, zip, fromhn, tohn, parity, offset_flag, geometry_wkt, street_predirectional, street_premodifier,
+        street_pretype, street_name, street_posttype, street_postdirectional, street_tag_parsed, county_fips, zip3, zip2 FROM taf) t""",
+    "p6_found": r"""WITH g AS (SELECT DISTINCT geocode_id, CAST(regexp_extract(lower(matched_geography), 'point\s*(?:zm|z|m)?\s*\(\s*([-+.0-9e]+)\s+([-+.0-9e]+)', 1) AS DOUBLE) AS lon, CAST(regexp_extract(lower(matched_geography), 'point\s*(?:zm|z|m)?\s*\(\s*([-+.0-9e]+)\s+([-+.0-9e]+)', 2) AS DOUBLE) AS lat
+        FROM geocode WHERE regexp_matches(lower(matched_geography), 'point\s*(?:zm|z|m)?\s*\(\s*[-+.0-9e]+\s+[-+.0-9e]+')), n AS (SELECT DISTINCT uuid, longitude AS lon, latitude AS lat FROM nad WHERE abs(longitude) <= 180 AND abs(latitude) <= 90),
+      cells AS (SELECT *, CAST(floor(lat / 0.001) AS BIGINT) + i AS cell FROM g, range(-1, 2) t(i)), near AS (SELECT DISTINCT geocode_id, uuid FROM cells g JOIN n ON CAST(floor(n.lat / 0.001) AS BIGINT) = g.cell AND 2 * 6371008.8 * asin(least(1, sqrt(pow(sin(radians(n.lat - g.lat) / 2), 2) + cos(radians(g.lat)) * cos(radians(n.lat)) * pow(sin(radians(n.lon - g.lon) / 2), 2)))) <= 30),
+      rings AS (SELECT tract_id, row_number() OVER () AS ring, string_split(r, ',') AS p FROM (SELECT tract_id, unnest(regexp_extract_all(tract_wkt, '\(([^()]+)\)', 1)) AS r FROM tract) q), corners AS (SELECT tract_id, ring, i, string_split(trim(p[i]), ' ') AS a, string_split(trim(p[i + 1]), ' ') AS b FROM (SELECT *, unnest(range(1, len(p))) AS i FROM rings) q),
+      edges AS (SELECT tract_id, CAST(a[1] AS DOUBLE) AS x1, CAST(a[2] AS DOUBLE) AS y1, CAST(b[1] AS DOUBLE) AS x2, CAST(b[2] AS DOUBLE) AS y2 FROM corners),
+      region AS (SELECT geocode_id, tract_id FROM g JOIN edges ON y1 <> y2 AND (y2 > lat) <> (y1 > lat) AND lon < (x1 - x2) * (lat - y2) / (y1 - y2) + x2 GROUP BY geocode_id, lon, lat, tract_id HAVING count(*) % 2 = 1)
+      SELECT geocode_id, 'near' AS kind, uuid AS other_id FROM near UNION ALL SELECT DISTINCT geocode_id, 'region', CAST(tract_id AS VARCHAR) FROM region""",
 }

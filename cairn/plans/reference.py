@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.functions import cells, dicts, geo, phonetic, tagger, text, zips
+from cairn.functions import address, cells, dicts, geo, phonetic, tagger, text, zips
+from cairn import cli
 from cairn.operators import counties, diagnose, fuzzy, geocode, match
 from cairn.plans import match_sql
+from cairn.operators.spatial import parse_point
 from cairn.session import shared_path
 from cairn.sources import points, ranges
 from cairn.sources.tables import table
@@ -95,10 +97,19 @@ def zip_choice(spark: SparkSession, d: str) -> DataFrame:
     return zips.choose_zips(table(spark, d, "x"), "place_zipcode", table(spark, d, "nad"), "zip_code")
 
 
+#: Some counties with their codes, as the census bureau lists them.
+COUNTIES = [("Hamilton County", "OH", "39061"), ("Butler County", "OH", "39017"), ("Orleans Parish", "LA", "22071"), ("St. Louis County", "MO", "29189"), ("St. Louis city", "MO", "29510"), ("Baltimore County", "MD", "24005"), ("Baltimore city", "MD", "24510"), ("Fairfax County", "VA", "51059"), ("Juneau City and Borough", "AK", "02110"), ("Kenton County", "KY", "21117")]
+ASKED = [("Hamilton", "OH"), ("hamilton  county", "OH"), ("39061", None), ("Orleans", "LA"), ("St. Louis", "MO"), ("St Louis City", "MO"), ("Baltimore", "MD"), ("Fairfax", "VA"), ("Juneau", "AK"), ("Nowhere", "OH"), ("99999", "OH"), (None, "KY")]
+
+
 def county_lookup(spark: SparkSession, d: str) -> DataFrame:
-    asked = table(spark, d, "nad").select("county", "state").distinct()
-    ref = asked.where("county is not null and state is not null").select(F.concat("county", F.lit(" County")).alias("county_full"), "state", F.substring(F.md5(F.concat_ws("|", "state", "county")), 1, 5).alias("county_fips"))
-    return counties.lookup_counties(asked, ref)
+    asked = table(spark, d, "nad").select("county", "state").distinct().unionByName(spark.createDataFrame(ASKED, "county string, state string")).distinct()
+    return counties.lookup_counties(asked, spark.createDataFrame(COUNTIES, "county_full string, state string, county_fips string")).drop("choices")
+
+
+def flat_coerce(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "x").select("x_id", "number_digits", "street_predirectional", "street_name", "street_posttype", "place_zipcode")
+    return address.as_address(x, strict=False)
 
 
 # ---------------------------------------------------------------- fuzzy matching
@@ -187,6 +198,10 @@ def explain_match(spark: SparkSession, d: str) -> DataFrame:
     return diagnose.explain_match(_x_addresses(spark, d), _nad_addresses(spark, d))
 
 
+def stage_table(spark: SparkSession, d: str) -> DataFrame:
+    return diagnose.stage_table(_x_addresses(spark, d), _nad_addresses(spark, d))
+
+
 # ---------------------------------------------------------------- sources
 
 
@@ -208,8 +223,8 @@ def side_unpivot(spark: SparkSession, d: str) -> DataFrame:
 
 def feature_name_filter(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "taf")
-    kind = F.when(F.col("taf_id") % 7 == 0, "S1500").when(F.col("taf_id") % 5 == 0, "S1630").otherwise("S1400")
-    names = t.select("linearid", "fullname", kind.alias("mtfcc"), F.when(F.col("taf_id") % 11 == 0, "A").otherwise("P").alias("paflag"), F.nullif("street_predirectional", F.lit("")).alias("predirabrv"), F.col("street_premodifier").alias("prequalabr"), F.col("street_pretype").alias("pretypabrv"), F.col("street_name").alias("name"), F.col("street_posttype").alias("suftypabrv"), F.col("street_postdirectional").alias("sufdirabrv"))
+    # taf holds roads by their primary names only; the filter itself is tested on rows of other kinds
+    names = t.select("linearid", "fullname", F.lit("S1400").alias("mtfcc"), F.lit("P").alias("paflag"), F.nullif("street_predirectional", F.lit("")).alias("predirabrv"), F.col("street_premodifier").alias("prequalabr"), F.col("street_pretype").alias("pretypabrv"), F.col("street_name").alias("name"), F.col("street_posttype").alias("suftypabrv"), F.col("street_postdirectional").alias("sufdirabrv"))
     return ranges.feature_names(names)
 
 
@@ -225,6 +240,23 @@ def range_zip(spark: SparkSession, d: str) -> DataFrame:
     return ranges.read_ranges(spark, path, ["39960", "05816"]).select("linearid", "zip", "side", "fromhn", "tohn")
 
 
+def county_install(spark: SparkSession, d: str) -> DataFrame:
+    """Every county from its features and names to installed ranges, and all of them once more."""
+    path = shared_path(spark, "ranges")
+    f = _features(spark, d).withColumns({c: F.col(c).cast("string") for c in ("lfromhn", "ltohn", "rfromhn", "rtohn")})
+    t = table(spark, d, "taf").where("not street_tag_parsed")
+    names = t.select("linearid", "fullname", F.lit("S1400").alias("mtfcc"), F.lit("P").alias("paflag"), F.col("street_predirectional").alias("predirabrv"), F.col("street_premodifier").alias("prequalabr"), F.col("street_pretype").alias("pretypabrv"), F.col("street_name").alias("name"), F.col("street_posttype").alias("suftypabrv"), F.col("street_postdirectional").alias("sufdirabrv"))
+    for _ in range(2):
+        ranges.install_county(f, names, "39000", path)
+    return ranges.read_ranges(spark, path).where("not street_tag_parsed").drop("street_tag_parsed", "fullname")
+
+
+def catalog_rows(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "catalog")
+    ranges.write_catalog(ranges.manifest(table(spark, d, "taf")), path)
+    return ranges.catalog_rows(ranges.read_catalog(spark, path))
+
+
 def manifest_counts(spark: SparkSession, d: str) -> DataFrame:
     return ranges.manifest(table(spark, d, "taf"))
 
@@ -268,14 +300,23 @@ def line_bearing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def offset_points(spark: SparkSession, d: str) -> DataFrame:
+    """The first point of each line, 10 m to the side of its first piece."""
     line = geo.parse_line(F.col("geometry_wkt"))
-    t = table(spark, d, "taf").select("taf_id", F.get(line, F.lit(0)).alias("a"))
-    p = geo.direct_point(F.col("a.lon"), F.col("a.lat"), F.lit(30.0), F.lit(1000.0))
+    t = table(spark, d, "taf").select("taf_id", "side", F.get(line, F.lit(0)).alias("a"), F.get(line, F.lit(1)).alias("b"))
+    turn = geo.bearing(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat"))
+    p = geo.offset_point(F.col("a.lon"), F.col("a.lat"), turn, F.col("side"), F.lit(10.0))
     return t.withColumn("p", p).select("taf_id", F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"))
 
 
+def interpolate(spark: SparkSession, d: str) -> DataFrame:
+    """The point at three tenths of each line, and the direction there."""
+    t = table(spark, d, "taf").select("taf_id", geo.along(geo.parse_line(F.col("geometry_wkt")), F.lit(0.3)).alias("p"))
+    return t.select("taf_id", F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"), F.round("p.bearing", 3).alias("bearing"))
+
+
 def geocode_points(spark: SparkSession, d: str) -> DataFrame:
-    return geocode.geocode(_x_addresses(spark, d), table(spark, d, "taf"))
+    g = geocode.geocode(_x_addresses(spark, d), ranges.harmonise_streets(table(spark, d, "taf"))).withColumn("p", parse_point("matched_geography"))
+    return g.select("x_id", "geocode_stage", "matched_zipcode", text.format_parts(*(F.col(f"matched_{c}") for c in STREET)).alias("matched_street"), F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat"))
 
 
 def geocode_stage(spark: SparkSession, d: str) -> DataFrame:
@@ -285,8 +326,8 @@ def geocode_stage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def geocode_table(spark: SparkSession, d: str) -> DataFrame:
-    g = geocode_points(spark, d)
-    return g.select("x_id", "geocode_stage", "matched_zipcode", text.format_parts(*(F.col(f"matched_{c}") for c in STREET)).alias("matched_street"))
+    """The texts of addresses, as the command line geocodes them."""
+    return cli.geocode_table(table(spark, d, "geocode").select("addr").where("addr is not null").distinct(), table(spark, d, "taf"), "addr")
 
 
 def uncovered_zips(spark: SparkSession, d: str) -> DataFrame:
@@ -316,7 +357,7 @@ def dedup_restore(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (clean_text, format_address, unique_by_text, missing_records, digit_repair, zip_repair, house_number_int, street_type_map, direction_map, pre_type_map, state_map, unmapped_types, ordinal_map, soundex_key, street_key, ordinal_neighbors, zip_variants, zip_choice, county_lookup, fuzzy_match_names, fuzzy_field, number_match, staged_match, match_stage_counts, left_join_expand, fuzzy_left_join, fuzzy_multi_field, index_summary, explain_match, address_points, side_unpivot, feature_name_filter, range_install, range_zip, manifest_counts, needed_counties, missing_counties, top_streets, range_pick, range_fractions, line_bearing, offset_points, geocode_points, geocode_stage, geocode_table, uncovered_zips, point_cells, tag_tokens, parse_text, dedup_restore)
+    for f in (clean_text, format_address, unique_by_text, missing_records, digit_repair, zip_repair, house_number_int, street_type_map, direction_map, pre_type_map, state_map, unmapped_types, ordinal_map, soundex_key, street_key, ordinal_neighbors, zip_variants, zip_choice, county_lookup, flat_coerce, fuzzy_match_names, fuzzy_field, number_match, staged_match, match_stage_counts, left_join_expand, fuzzy_left_join, fuzzy_multi_field, index_summary, explain_match, stage_table, address_points, side_unpivot, feature_name_filter, range_install, range_zip, county_install, catalog_rows, manifest_counts, needed_counties, missing_counties, top_streets, range_pick, range_fractions, line_bearing, offset_points, interpolate, geocode_points, geocode_stage, geocode_table, uncovered_zips, point_cells, tag_tokens, parse_text, dedup_restore)
 } | {name: _street_query(*how) for name, how in STREET_MATCHES.items()}
 
 # ---------------------------------------------------------------- SQL
@@ -430,7 +471,7 @@ SQL = {
     "side_unpivot": """WITH s AS (SELECT linearid, geometry_wkt, side, min(ROW(taf_id, fullname, zip, fromhn, tohn, parity, offset_flag)) AS r FROM taf GROUP BY ALL), p AS (SELECT linearid, geometry_wkt, side, r[1] AS taf_id, r[2] AS fullname, r[3] AS zip, r[4] AS fromhn, r[5] AS tohn, r[6] AS parity, r[7] AS offset_flag FROM s),
       f AS (SELECT linearid, geometry_wkt, coalesce(max(fullname) FILTER (side = 'L'), max(fullname) FILTER (side = 'R')) AS fullname FROM p GROUP BY ALL)
       SELECT p.linearid, f.fullname, side, zip, fromhn, tohn, parity, offset_flag, p.geometry_wkt FROM p JOIN f ON p.linearid IS NOT DISTINCT FROM f.linearid AND p.geometry_wkt IS NOT DISTINCT FROM f.geometry_wkt WHERE p.linearid IS NOT NULL AND f.fullname IS NOT NULL AND zip IS NOT NULL AND fromhn IS NOT NULL AND tohn IS NOT NULL AND parity IS NOT NULL AND offset_flag IS NOT NULL AND p.geometry_wkt IS NOT NULL""",
-    "feature_name_filter": """SELECT DISTINCT linearid, fullname, coalesce(street_predirectional, '') AS street_predirectional, coalesce(street_premodifier, '') AS street_premodifier, coalesce(street_pretype, '') AS street_pretype, coalesce(street_name, '') AS street_name, coalesce(street_posttype, '') AS street_posttype, coalesce(street_postdirectional, '') AS street_postdirectional FROM taf WHERE taf_id % 7 <> 0 AND taf_id % 11 <> 0 AND fullname IS NOT NULL""",
+    "feature_name_filter": """SELECT DISTINCT linearid, fullname, coalesce(street_predirectional, '') AS street_predirectional, coalesce(street_premodifier, '') AS street_premodifier, coalesce(street_pretype, '') AS street_pretype, coalesce(street_name, '') AS street_name, coalesce(street_posttype, '') AS street_posttype, coalesce(street_postdirectional, '') AS street_postdirectional FROM taf WHERE fullname IS NOT NULL""",
     "range_install": f"SELECT linearid, fullname, side, zip, fromhn, tohn, parity, offset_flag, geometry_wkt, {_S}, street_tag_parsed, county_fips, zip3, zip2 FROM taf",
     "range_zip": "SELECT linearid, zip, side, fromhn, tohn FROM taf WHERE (zip3 = '399' AND zip2 = '60') OR (zip3 = '058' AND zip2 = '16')",
     "manifest_counts": "SELECT county_fips, zip, zip3, zip2, count(*) AS n_ranges FROM taf WHERE zip IS NOT NULL GROUP BY ALL",
@@ -482,3 +523,86 @@ SQL |= {
     "fuzzy_left_join": f"{_fuzzy_sql(_OTHERS, ['place_zipcode'])} SELECT xa.x_id, p.uuid FROM xa LEFT JOIN pairs p ON p.x_id = xa.x_id",
     "fuzzy_multi_field": f"{_fuzzy_sql([*_OTHERS, *text.PLACE], [])} SELECT x_id, uuid FROM pairs",
 }
+
+_COUNTY_NAME = "trim(regexp_replace(regexp_replace(lower(trim({c})), '[.'']', '', 'g'), '[ ]+', ' ', 'g'))"
+_rows = lambda rows: ", ".join("(" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
+_LOOKUP = f"""WITH ref(county_full, state, county_fips) AS (VALUES {_rows(COUNTIES)}), r AS (SELECT *, {_COUNTY_NAME.format(c="county_full")} AS fn, {_COUNTY_NAME.format(c="regexp_replace(county_full, ' (County|Parish|City and Borough|Census Area|Planning Region|Borough|Municipality|Municipio|city)$', '')")} AS sn FROM ref),
+  asked AS (SELECT county, state, {_COUNTY_NAME.format(c="county")} AS n FROM (SELECT county, state FROM nad UNION SELECT * FROM (VALUES {_rows(ASKED)}) v(county, state)) q),
+  hits AS (SELECT a.county, a.state, count(r.county_fips) FILTER (r.state = a.state AND fn = n) AS nf, max(county_fips) FILTER (r.state = a.state AND fn = n) AS f, count(*) FILTER (r.state = a.state AND sn = n) AS ns, max(county_fips) FILTER (r.state = a.state AND sn = n) AS s, max(county_fips) FILTER (county_fips = county) AS c, coalesce(regexp_full_match(county, '[0-9]{{5}}'), false) AS code FROM asked a LEFT JOIN r ON true GROUP BY ALL),
+  best AS (SELECT *, CASE WHEN code THEN c WHEN nf = 1 THEN f WHEN ns = 1 THEN s END AS county_fips FROM hits)
+  SELECT b.county, b.state, b.county_fips, ref.county_full, CASE WHEN b.county_fips IS NOT NULL THEN 'ok' WHEN NOT code AND ns > 1 THEN 'ambiguous' WHEN NOT code AND coalesce(b.state, '') = '' THEN 'unknown_state' ELSE 'not_found' END AS status FROM best b LEFT JOIN ref ON ref.county_fips = b.county_fips"""
+
+
+def along_sql(source: str, p: str = "l") -> str:
+    """CTEs up to ``{p}_at`` (``id, lon, lat, bearing``) for a relation of ``id, wkt, f``: the point at a part of a line."""
+    hav = "2 * asin(least(1, sqrt(pow(sin((radians(by_) - radians(ay)) / 2), 2) + cos(radians(ay)) * cos(radians(by_)) * pow(sin((radians(bx) - radians(ax)) / 2), 2))))"
+    xyz = lambda x, y: (f"cos(radians({y})) * cos(radians({x}))", f"cos(radians({y})) * sin(radians({x}))", f"sin(radians({y}))")
+    mix = [f"(sin((1 - t) * d) / sin(d) * ({a}) + sin(t * d) / sin(d) * ({b}))" for a, b in zip(xyz("ax", "ay"), xyz("bx", "by_"))]
+    turn = "fmod(degrees(atan2(sin(radians(bx - ax)) * cos(radians(by_)), cos(radians(ay)) * sin(radians(by_)) - sin(radians(ay)) * cos(radians(by_)) * cos(radians(bx - ax)))) + 360, 360)"
+    return f"""{p}_v AS (SELECT id, f, string_split(regexp_extract(wkt, '[(]([^()]*)[)]', 1), ',') AS v FROM {source}), {p}_e AS (SELECT id, f, i, string_split(trim(v[i]), ' ') AS a, string_split(trim(v[i + 1]), ' ') AS b FROM (SELECT *, unnest(range(1, len(v))) AS i FROM {p}_v) q),
+      {p}_c AS (SELECT id, f, i, CAST(a[1] AS DOUBLE) AS ax, CAST(a[2] AS DOUBLE) AS ay, CAST(b[1] AS DOUBLE) AS bx, CAST(b[2] AS DOUBLE) AS by_ FROM {p}_e), {p}_d AS (SELECT *, {hav} AS d FROM {p}_c), {p}_s AS (SELECT *, coalesce(sum(d) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(d) OVER (PARTITION BY id) AS total FROM {p}_d),
+      {p}_t AS (SELECT *, greatest(0, least(1, (f * total - start) / d)) AS t FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i DESC) AS k FROM {p}_s WHERE start <= f * total AND d > 0) q WHERE k = 1),
+      {p}_p AS (SELECT id, {mix[0]} AS x, {mix[1]} AS y, {mix[2]} AS z, {turn} AS bearing FROM {p}_t),
+      {p}_at AS (SELECT id, degrees(atan2(y, x)) AS lon, degrees(atan2(z, sqrt(x * x + y * y))) AS lat, bearing FROM {p}_p UNION ALL SELECT id, ax, ay, NULL FROM {p}_s s WHERE i = 1 AND f IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p}_t t WHERE t.id = s.id))"""
+
+
+def offset_sql(lon: str, lat: str, bearing: str, side: str, metres: str) -> tuple[str, str]:
+    """Longitude and latitude of a point moved to the side."""
+    turn = f"radians(CASE {side} WHEN 'L' THEN {bearing} - 90 WHEN 'R' THEN {bearing} + 90 END)"
+    d, a = f"({metres} / {geo.RADIUS_M})", f"radians({lat})"
+    y = f"asin(sin({a}) * cos({d}) + cos({a}) * sin({d}) * cos({turn}))"
+    x = f"radians({lon}) + atan2(sin({turn}) * sin({d}) * cos({a}), cos({d}) - sin({a}) * sin({y}))"
+    stay = f"{turn} IS NULL OR {metres} = 0"
+    return f"CASE WHEN {stay} THEN {lon} ELSE fmod(degrees({x}) + 540, 360) - 180 END", f"CASE WHEN {stay} THEN {lat} ELSE degrees({y}) END"
+
+
+_ENDS = r"""e AS (SELECT taf_id, side, CAST(string_split(trim(v[1]), ' ')[1] AS DOUBLE) AS x1, CAST(string_split(trim(v[1]), ' ')[2] AS DOUBLE) AS y1, CAST(string_split(trim(v[2]), ' ')[1] AS DOUBLE) AS x2, CAST(string_split(trim(v[2]), ' ')[2] AS DOUBLE) AS y2 FROM (SELECT taf_id, side, string_split(regexp_extract(geometry_wkt, '[(]([^()]*)[)]', 1), ',') AS v FROM taf) q),
+  w AS (SELECT *, CASE WHEN x1 = x2 AND y1 = y2 THEN NULL ELSE fmod(degrees(atan2(sin(radians(x2 - x1)) * cos(radians(y2)), cos(radians(y1)) * sin(radians(y2)) - sin(radians(y1)) * cos(radians(y2)) * cos(radians(x2 - x1)))) + 360, 360) END AS turn FROM e)"""
+_LON, _LAT = offset_sql("x1", "y1", "turn", "side", "10.0")
+_G_LON, _G_LAT = offset_sql("a.lon", "a.lat", "a.bearing", "r.side", "CASE WHEN r.offset_flag = 'Y' THEN 0.0 ELSE 10.0 END")
+_TAF_MAPPED = ", ".join({"street_predirectional": _mapped("coalesce(street_predirectional, '')", "direction"), "street_postdirectional": _mapped("coalesce(street_postdirectional, '')", "direction"), "street_pretype": _mapped("coalesce(street_pretype, '')", "pre_type"), "street_posttype": _mapped("coalesce(street_posttype, '')", "post_type"), "street_name": "mo.mapped"}.get(c, f"coalesce({c}, '')") + f" AS {c}" for c in STREET)
+_ALL_NAMES = _ordinals("(SELECT coalesce(street_name, '') AS n0 FROM x UNION SELECT coalesce(street_name, '') FROM taf UNION SELECT coalesce(st_name, '') FROM nad)", "n0")
+_SAME_STREET = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in STREET)
+_RAW_ZIPS = """SELECT s, 1 AS rank, lpad(CAST(CAST(s AS INT) - 1 AS VARCHAR), 5, '0') AS zip FROM gz UNION ALL SELECT s, 2, CASE WHEN s = '99999' THEN '100000' ELSE lpad(CAST(CAST(s AS INT) + 1 AS VARCHAR), 5, '0') END FROM gz
+    UNION ALL SELECT s, 3, substr(s, 1, 4) || d FROM gz, range(10) t(d) UNION ALL SELECT s, 4, substr(s, 1, 3) || d || substr(s, 5, 1) FROM gz, range(10) t(d) UNION ALL SELECT s, 5, substr(s, 1, 1) || substr(s, 3, 1) || substr(s, 2, 1) || substr(s, 4, 2) FROM gz"""
+_GEOCODE = f"""{_MATCH_SIDES.replace(_NAD_NAMES, _ALL_NAMES)}, tr AS (SELECT taf_id, zip, fromhn, tohn, side, parity, offset_flag, geometry_wkt, {_TAF_MAPPED} FROM taf JOIN mapped mo ON mo.street_name = coalesce(taf.street_name, '') WHERE zip IS NOT NULL),
+  gt AS (SELECT x_id, {_ADDRESS} AS text, * EXCLUDE (x_id) FROM xa), gd AS (SELECT text, a.* FROM (SELECT text, min({{{", ".join(f"'{c}': {c}" for c in ("place_zipcode", *STREET, "number_digits"))}}}) AS a FROM gt WHERE {_valid("place_zipcode")} GROUP BY text) q),
+  gx AS (SELECT place_zipcode AS zip, {_S} FROM gd), gy AS (SELECT zip, {_S}, taf_id AS y_ord FROM tr), {match_sql.NEIGHBORS}, {match_sql.streets("gx", "gy", fuzzy=2)},
+  own AS (SELECT gd.text, f.zip, f.y_ord FROM gd JOIN s_found f ON f.zip = gd.place_zipcode AND {_SAME_STREET("f", "gd")}), gl AS (SELECT * FROM gd WHERE text NOT IN (SELECT text FROM own)),
+  gz AS (SELECT DISTINCT place_zipcode AS s FROM gl), ways AS (SELECT s, zip, min(rank) AS rank FROM ({_RAW_ZIPS}) q WHERE {_valid("zip")} AND zip <> s AND zip IN (SELECT zip FROM tr) GROUP BY s, zip),
+  tried AS (SELECT gl.text, ways.rank, ways.zip, {", ".join("gl." + c for c in STREET)} FROM gl JOIN ways ON ways.s = gl.place_zipcode), {match_sql.streets("tried", "gy", fuzzy=2, p="v")},
+  late AS (SELECT text, zip, y_ord FROM (SELECT t.text, f.zip, f.y_ord, row_number() OVER (PARTITION BY t.text ORDER BY t.rank, f.zip, f.y_ord) AS k FROM tried t JOIN v_found f ON f.zip = t.zip AND {_SAME_STREET("f", "t")}) q WHERE k = 1),
+  found AS (SELECT f.text, f.zip, {", ".join("tr." + c for c in STREET)}, {_parts(*("tr." + c for c in STREET))} AS street FROM (SELECT * FROM own UNION ALL SELECT * FROM late) f JOIN tr ON tr.taf_id = f.y_ord AND tr.zip = f.zip GROUP BY ALL),
+  wanted AS (SELECT f.text, f.zip, f.street, CAST(trunc(TRY_CAST(regexp_replace(gd.number_digits, '[^0-9.-]', '', 'g') AS DOUBLE)) AS INT) AS n FROM found f JOIN gd USING (text)),
+  picked AS (SELECT * FROM (SELECT w.text AS id, w.n, r.fromhn, r.tohn, r.side, r.offset_flag, r.geometry_wkt AS wkt, row_number() OVER (PARTITION BY w.text ORDER BY abs(fromhn - tohn), abs(n - (fromhn + tohn) / 2.0), taf_id) AS k FROM wanted w JOIN (SELECT *, {_parts(*STREET)} AS street FROM tr) r ON r.zip = w.zip AND r.street = w.street
+    WHERE n BETWEEN least(fromhn, tohn) AND greatest(fromhn, tohn) AND fromhn IS NOT NULL AND tohn IS NOT NULL AND (parity IS NULL OR parity = 'B' OR parity = CASE WHEN n % 2 = 0 THEN 'E' ELSE 'O' END)) q WHERE k = 1),
+  lines AS (SELECT id, wkt, CASE WHEN fromhn = tohn THEN 0.5 ELSE greatest(0, least(1, (n - fromhn) / CAST(tohn - fromhn AS DOUBLE))) END AS f FROM picked), {along_sql("lines")},
+  placed AS (SELECT a.id, round({_G_LON}, 7) AS lon, round({_G_LAT}, 7) AS lat FROM l_at a JOIN picked r ON r.id = a.id)
+  SELECT gt.x_id, CASE WHEN f.text IS NULL OR f.street = '' THEN 'none' WHEN p.lon IS NOT NULL AND gt.place_zipcode = f.zip THEN 'range' WHEN p.lon IS NOT NULL THEN 'range_variant' WHEN gt.place_zipcode = f.zip THEN 'street' ELSE 'street_variant' END AS geocode_stage, f.zip AS matched_zipcode, coalesce(f.street, '') AS matched_street, p.lon, p.lat
+  FROM gt LEFT JOIN found f ON f.text = gt.text LEFT JOIN placed p ON p.id = gt.text"""
+_STREET_TEXT, _NUMBER_OF = (lambda t: _parts(*(f"{t}.{c}" for c in STREET))), (lambda t: "trim(regexp_replace(concat_ws('', " + ", ".join(f"nullif({t}.{c}, '')" for c in text.NUMBER) + "), ' +', ' ', 'g'))")
+_WHOLE = lambda t: "trim(regexp_replace(concat_ws(' ', nullif(" + _NUMBER_OF(t) + ", ''), " + ", ".join(f"nullif({t}.{c}, '')" for c in [*STREET, *text.PLACE]) + "), ' +', ' ', 'g'))"
+_STAGES = f"""{_MATCHED}, zp AS (SELECT place_zipcode AS zip, count(*) AS za, count(DISTINCT ({_S})) AS zs FROM yu GROUP BY place_zipcode), sp AS (SELECT place_zipcode AS zip, {_S}, count(*) AS sa, count(DISTINCT number_digits) AS sn FROM yu GROUP BY ALL),
+  ms AS (SELECT *, {match_sql.STAGE} AS stage FROM m), d AS (SELECT m.*, zp.za, zp.zs, sp.sa, sp.sn FROM ms m LEFT JOIN zp ON zp.zip = m.place_zipcode LEFT JOIN sp ON sp.zip = m.place_zipcode AND {_SAME_STREET("sp", "m")})"""
+_STEP = "CASE d.stage WHEN 'none' THEN 1 WHEN 'zip' THEN 2 WHEN 'street' THEN 3 ELSE 4 END"
+
+
+def _status(need: int, same: str, other: str) -> str:
+    return f"CASE WHEN {_STEP} < {need - 1} THEN 'skipped' WHEN {_STEP} < {need} THEN 'no match' WHEN {same} THEN 'exact' ELSE '{other}' END"
+
+
+SQL |= {
+    "county_lookup": _LOOKUP,
+    "flat_coerce": f"{_ordinals('x', 'street_name')} SELECT x_id, '' AS number_prefix, CASE WHEN number_digits IS NULL OR number_digits = '' OR (regexp_full_match(number_digits, '[0-9]+') AND TRY_CAST(number_digits AS DOUBLE) <= 999999) THEN number_digits END AS number_digits, '' AS number_suffix, {_mapped('street_predirectional', 'direction')} AS street_predirectional, '' AS street_premodifier, '' AS street_pretype, mo.mapped AS street_name, {_mapped('street_posttype', 'post_type')} AS street_posttype, '' AS street_postdirectional, '' AS place_name, '' AS place_state, CASE WHEN place_zipcode IS NULL OR place_zipcode = '' OR {_valid('place_zipcode')} THEN place_zipcode END AS place_zipcode FROM x LEFT JOIN mapped mo ON mo.street_name IS NOT DISTINCT FROM x.street_name",
+    "catalog_rows": "SELECT county_fips, zip, zip3, zip2, count(*) AS n_ranges FROM taf WHERE zip IS NOT NULL GROUP BY ALL",
+    "offset_points": f"WITH {_ENDS} SELECT taf_id, round({_LON}, 6) AS lon, round({_LAT}, 6) AS lat FROM w",
+    "interpolate": f"WITH src AS (SELECT taf_id AS id, geometry_wkt AS wkt, 0.3 AS f FROM taf), {along_sql('src')} SELECT taf.taf_id, round(lon, 6) AS lon, round(lat, 6) AS lat, round(bearing, 3) AS bearing FROM taf LEFT JOIN l_at ON l_at.id = taf.taf_id",
+    "geocode_points": _GEOCODE,
+    "explain_match": f"{_STAGES} SELECT x_id, stage, za AS zip_addresses, zs AS zip_streets, sn AS street_numbers FROM d",
+    "stage_table": f"""{_STAGES} SELECT d.x_id, 1 AS position, 'zip' AS stage, {_status(2, "g.place_zipcode = d.place_zipcode", "variant")} AS status, g.place_zipcode AS input, coalesce(d.place_zipcode, '') AS matched, CAST(coalesce(za, 0) AS VARCHAR) AS candidates FROM d JOIN xa g USING (x_id)
+      UNION ALL SELECT d.x_id, 2, 'street', {_status(3, f"{_STREET_TEXT('g')} = {_STREET_TEXT('d')}", "fuzzy_or_phonetic")}, {_STREET_TEXT("g")}, {_STREET_TEXT("d")}, CASE WHEN d.stage = 'none' THEN '0' ELSE coalesce(zs, 0) || ' streets / ' || coalesce(za, 0) || ' addresses' END FROM d JOIN xa g USING (x_id)
+      UNION ALL SELECT d.x_id, 3, 'number', {_status(4, f"{_NUMBER_OF('g')} = {_NUMBER_OF('d')}", "fuzzy")}, {_NUMBER_OF("g")}, {_NUMBER_OF("d")}, CASE WHEN {_STEP} < 3 THEN '0' ELSE CAST(coalesce(sa, 0) AS VARCHAR) END FROM d JOIN xa g USING (x_id)
+      UNION ALL SELECT d.x_id, 4, 'final', d.stage, {_WHOLE("g")}, {_WHOLE("d")}, CASE d.stage WHEN 'number' THEN '1 best match' WHEN 'street' THEN 'street-only result' WHEN 'zip' THEN 'zip-only result' ELSE 'no result' END FROM d JOIN xa g USING (x_id)""",
+}
+SQL["county_install"] = f"""WITH su AS ({SQL["side_unpivot"]}), nm AS (SELECT linearid, min({{{", ".join(f"'{c}': coalesce({c}, '')" for c in STREET)}}}) AS n FROM taf WHERE NOT street_tag_parsed AND fullname IS NOT NULL GROUP BY linearid)
+  SELECT su.* EXCLUDE (fullname), n.*, '39000' AS county_fips, substr(zip, 1, 3) AS zip3, substr(zip, 4, 2) AS zip2 FROM su JOIN nm USING (linearid)"""
