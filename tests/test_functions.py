@@ -95,6 +95,31 @@ def test_tagger():
     assert tagger.tag(None) is None and tagger.tag("") == []
 
 
+#: Texts with their labels in short: the first letters of each word of a label.
+LABELLED = {
+    "PO Box 123 Cincinnati OH 45220": "UBT UBT UBI PN SN ZC", "RR 2 Box 14 Loveland OH 45140": "UBGT UBGI UBT UBI PN SN ZC", "12 Oak St PO Box 9 Dayton OH 45402": "AN SN SNPT UBT UBT UBI PN SN ZC",
+    "Attn Ann Lee 290 Ludlow Avenue Cincinnati OH 45220": "R R R AN SN SNPT PN SN ZC", "Carew Tower 441 Vine St Cincinnati OH 45202": "BN BN AN SN SNPT PN SN ZC", "Eden Park Cincinnati OH": "LN LN PN SN",
+    "corner of Main and Vine Cincinnati OH": "CO CO SN IS SN PN SN", "Main St and Vine St Cincinnati OH 45220": "SN SNPT IS SN SNPT PN SN ZC", "unknown": "NA", "10 Oak St Building 4 Dayton OH": "AN SN SNPT ST SI PN SN",
+    "A 123 Main St E Cincinnati OH 45220": "ANP AN SN SNPT SNPD PN SN ZC", "200 W Old US 50 Ave Cincinnati OH 45220": "AN SNPD SNPM SNPT SN SNPT PN SN ZC", "111 State Route 32": "AN SNPT SNPT SN", "45220": "AN", "#": "OI",
+}
+
+
+def test_labels():
+    import re
+
+    short = lambda label: "".join(re.findall("[A-Z]", label.replace("USPS", "U").replace("ID", "I")))
+    for text, want in LABELLED.items():
+        got = tagger.tag(text)
+        assert " ".join(short(a) for a, _ in got) == want, text
+        assert {a for a, _ in got} <= set(tagger.LABELS) and len(tagger.LABELS) == 26
+
+
+def test_explained_tags(spark):
+    df = spark.createDataFrame([("12 Oak Hollow St Apt 3",), ("",), (None,)], "t string")
+    got = [(r["text"], r["token"], r["field"], r["note"]) for r in tagger.explain_tags(df, "t").orderBy("text", "position").collect()]
+    assert got[0] == ("", None, None, "no tokens") and ("12 Oak Hollow St Apt 3", "Oak", "street_name", "joined with the other tokens of its label") in got and got[-1][2:] == (None, "not part of the address record") and len(got) == 7
+
+
 def test_parse(spark):
     df = spark.createDataFrame([("200 W 14th Street Cincinnati OH 45222",), (None,), ("1234 Main St Cincinnati Cincinnati OH 45229",)], "t string")
     rows = {r["t"]: r for r in tagger.parse_addresses(df, "t").collect()}
