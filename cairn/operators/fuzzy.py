@@ -68,6 +68,8 @@ def close_pairs(x: DataFrame, y: DataFrame, limit: float, by: Sequence[str] = ()
     if limit < 1:
         return x.join(y.withColumn("xv", F.col("yv")), [*by, "xv"]).select(*by, "xv", "yv", F.lit(0).alias("dist"))
     k = int(limit)
+    if by:  # what has no partner in its block needs no keys
+        x = x.join(y.select(*by).distinct(), by, "left_semi")
     if k <= 2:
         found = x.withColumn("k", F.explode(deletions("xv", k))).join(y.withColumn("k", F.explode(deletions("yv", k))), [*by, "k"]).select(*by, "xv", "yv")
     else:
