@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from cairn.functions.distance import osa, osa_up_to
 from cairn.functions.phonetic import is_ordinal_key, ordinal_neighbors
 from cairn.functions.text import FLAT, PLACE
-from cairn.session import require
+from cairn.session import parallelism, require
 
 #: Largest distances of a field, unless given.
 DEFAULT_LIMITS: dict[str, float] = {f: 0.0 for f in FLAT} | {"street_name": 1.0}
@@ -63,13 +63,14 @@ def close_pairs(x: DataFrame, y: DataFrame, limit: float, by: Sequence[str] = ()
     Candidates come from equality joins: on deletion neighbourhoods up to two
     edits, on segments beyond. NULL matches nothing.
     """
-    by = list(by)
-    x, y = x.where("xv is not null").select(*by, "xv").distinct(), y.where("yv is not null").select(*by, "yv").distinct()
-    if limit < 1:
-        return x.join(y.withColumn("xv", F.col("yv")), [*by, "xv"]).select(*by, "xv", "yv", F.lit(0).alias("dist"))
-    k = int(limit)
+    by, k = list(by), int(limit) if limit >= 1 else 0
+    x, y = x.where("xv is not null").select(*by, "xv"), y.where("yv is not null").select(*by, "yv")
+    if k < 1:
+        return x.distinct().join(y.distinct().withColumn("xv", F.col("yv")), [*by, "xv"]).select(*by, "xv", "yv", F.lit(0).alias("dist"))
     if by:  # what has no partner in its block needs no keys
         x = x.join(y.select(*by).distinct(), by, "left_semi")
+    n = parallelism(x.sparkSession)
+    x, y = x.repartition(n, *by, "xv").distinct(), y.repartition(n, *by, "yv").distinct()
     if k <= 2:
         found = x.withColumn("k", F.explode(deletions("xv", k))).join(y.withColumn("k", F.explode(deletions("yv", k))), [*by, "k"]).select(*by, "xv", "yv")
     else:

@@ -64,6 +64,12 @@ def clear_stages(spark: SparkSession) -> int:
     return n
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Partitions for small rows that are much work: by their size alone they
+    would be put into one task."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def require(df: DataFrame, *columns: str) -> None:
     """Raises ``ValueError`` when a column is missing."""
     missing = [c for c in columns if c not in df.columns]
