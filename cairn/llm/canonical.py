@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from cairn.functions.dicts import POST_TYPES, dictionary, entries
 from cairn.functions.distance import osa_sql
 from cairn.llm.address import typed_spellings
-from cairn.session import materialize, require
+from cairn.session import materialize, parallelism, require
 
 # Short and long forms of words in place names.
 PLACE_WORDS = {"ft": "fort", "frt": "fort", "mt": "mount", "mnt": "mount", "st": "saint", "ste": "saint", "snt": "saint", "n": "north", "no": "north", "nth": "north", "s": "south", "so": "south", "jct": "junction", "junc": "junction", "jnc": "junction", "junct": "junction", "jctn": "junction", "ldg": "landing", "lndg": "landing", "lg": "landing", "lndng": "landing", "hts": "heights", "hgts": "heights", "ht": "heights", "spgs": "springs", "spr": "springs", "sprs": "springs", "spg": "springs", "fls": "falls", "fl": "falls", "nw": "new"}
@@ -81,7 +81,8 @@ def near_strings(values: DataFrame, ref: DataFrame) -> DataFrame:
     cut = segments(ref)
     shapes = cut.select("field", "k", "size", "seg", "pos", "len").distinct()
     reach = ref.groupBy("field").agg(F.max("k").alias("most"))
-    sized = values.where("value is not null and value <> ''").select("field", "value").distinct().join(reach, "field")
+    spread = values.where("value is not null and value <> ''").select("field", "value").repartition(parallelism(values.sparkSession), "field", "value").distinct()
+    sized = spread.join(F.broadcast(reach), "field")  # one row for each field of the list
     sized = sized.withColumn("size", F.explode(F.sequence(F.greatest(F.length("value") - F.col("most"), F.lit(1)), F.length("value") + F.col("most"))))
     shaped = sized.join(shapes, ["field", "size"]).withColumn("delta", F.length("value") - F.col("size")).where(F.abs("delta") <= F.col("k"))
     # where the segment may start if it is the first one left unchanged (seen from either end)
