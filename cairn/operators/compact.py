@@ -21,10 +21,10 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.session import materialize, require, shared_path
+from cairn.session import broadcast_if_small, materialize, require, shared_path
 
 _MANIFEST = "out_group long, path string, n_rows long, n_bytes long, check decimal(38,0)"
 
@@ -133,8 +133,9 @@ def compact(rows: DataFrame, files: DataFrame, out: str, id_col: str, file_col:
     is carried along. Returns the manifest, ``out_group, path, n_rows, n_bytes,
     check``.
 
-    Content is shuffled once, to its output group; duplicates are found from
-    digests, and only rows that have any are joined with what to keep. What was
+    Duplicates are found from digests. Where the lists of repeated contents and
+    of files are short enough to be broadcast, which is counted, content is
+    shuffled once only, to its output group. What was
     planned, what was streamed to the files, and what is read back from them
     must agree in rows and in the sum of their hashes, else ``RuntimeError``
     and nothing is published.
@@ -146,27 +147,27 @@ def compact(rows: DataFrame, files: DataFrame, out: str, id_col: str, file_col:
     content = [c for c in rows.columns if c not in {id_col, file_col, *ignore}]
     whole = F.to_json(F.struct(*(F.col(f"`{c}`") for c in content)), {"ignoreNullFields": "false"})
     names = {"id": id_col, "file_id": file_col}
-    digested = rows.withColumn("digest__", F.md5(whole))
-    check = F.conv(F.substring("digest", 1, 15), 16, 10).cast("decimal(38,0)")
+    digest = F.unhex(F.md5(whole))
+    digested = rows.withColumn("digest__", digest)
     small = digested.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{file_col}`").alias("file_id"), F.col(f"`{shard_col}`").cast("string").alias("shard_key"), F.col("digest__").alias("digest"))
     kept = small.groupBy("digest").agg(F.min(F.struct("id", "file_id", "shard_key")).alias("k"), F.count(F.lit(1)).alias("copies")).select("k.*", "copies", "digest")
     kept = materialize(kept, "kept")
     known = files.groupBy(F.col(f"`{file_col}`").alias("file_id")).agg(F.max("n_bytes").alias("known_bytes"))
     used = kept.groupBy("file_id").agg(F.min("shard_key").alias("shard_key"), F.count(F.lit(1)).alias("n"))
     sized = used.where("file_id is not null").join(known, "file_id", "left").select("file_id", "shard_key", F.coalesce("known_bytes", F.col("n") * LOOSE_BYTES).alias("n_bytes"))
-    groups = materialize(assign_files(sized, target_bytes, shard_files), "groups")
+    groups = broadcast_if_small(materialize(assign_files(sized, target_bytes, shard_files), "groups"))
     loose_parts = max(1, -(-kept.where("file_id is null").count() * LOOSE_BYTES // target_bytes))
 
     def grouped(d: DataFrame, digest: str, file: str) -> DataFrame:
         loose = F.xxhash64(F.lit("no file"), F.pmod(F.xxhash64(digest), F.lit(loose_parts)))
         return d.join(groups.withColumnRenamed("file_id", "group_file__"), d[f"`{file}`"] == F.col("group_file__"), "left").withColumn("out_group", F.coalesce("out_group", loose)).drop("group_file__")
 
-    expected = materialize(grouped(kept, "digest", "file_id").groupBy("out_group").agg(F.count(F.lit(1)).alias("expected"), F.sum(check).alias("sum")), "expected")
+    expected = materialize(grouped(kept, "digest", "file_id").groupBy("out_group").agg(F.count(F.lit(1)).alias("expected"), F.sum(_check(F.col("digest"))).alias("sum")), "expected")
     # rows that are alone in their content pass; of the others those that are kept, exact repetitions once
-    several = kept.where("copies > 1").select(F.col("digest").alias("digest__"), F.col("id").alias("keep_id__"), F.col("file_id").alias("keep_file__"))
+    several = broadcast_if_small(materialize(kept.where("copies > 1").select(F.col("digest").alias("digest__"), F.col("id").alias("keep_id__"), F.col("file_id").alias("keep_file__")), "several"))
     alone = digested.join(several.select("digest__"), "digest__", "left_anti")
     chosen = digested.join(several, "digest__").where(F.col(f"`{names['id']}`").eqNullSafe(F.col("keep_id__")) & F.col(f"`{names['file_id']}`").eqNullSafe(F.col("keep_file__"))).drop("keep_id__", "keep_file__").dropDuplicates(["digest__"])
-    tagged = grouped(alone.unionByName(chosen), "digest__", file_col).withColumn("check", F.conv(F.substring("digest__", 1, 15), 16, 10).cast("decimal(38,0)"))
+    tagged = grouped(alone.unionByName(chosen), "digest__", file_col).withColumn("check", _check(F.col("digest__")))
     schema = _arrow_schema(rows)
     uri = out if "://" in out else "file://" + os.path.abspath(out)
     store, base = _filesystem(uri)
@@ -178,14 +179,19 @@ def compact(rows: DataFrame, files: DataFrame, out: str, id_col: str, file_col:
     if wrong.take(1):
         raise RuntimeError("the written groups do not hold the planned rows")
     if manifest.take(1):
-        _read_back(spark.read.schema(rows.schema), uri, manifest, F.md5(whole))
+        _read_back(spark.read.schema(rows.schema), uri, manifest, digest)
     publish(manifest, uri)
     return manifest
 
 
+def _check(digest: Column) -> Column:
+    """A number from a digest, of which sums are compared."""
+    return F.conv(F.hex(F.substring(digest, 1, 7)), 16, 10).cast("decimal(38,0)")
+
+
 def _read_back(reader, uri: str, manifest: DataFrame, digest) -> None:
     """Compares what the files hold with what was streamed to them."""
-    held = reader.parquet(f"{uri}/part-*.parquet").select(F.regexp_extract(F.input_file_name(), "[^/]+$", 0).alias("path"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(38,0)").alias("c"))
+    held = reader.parquet(f"{uri}/part-*.parquet").select(F.regexp_extract(F.input_file_name(), "[^/]+$", 0).alias("path"), _check(digest).alias("c"))
     held = held.groupBy("path").agg(F.count(F.lit(1)).alias("held"), F.sum("c").alias("sum"))
     # a lost or repeated task may have left files that the manifest does not name
     if manifest.join(held, "path", "left").where("held is null or held <> n_rows or sum <> check").take(1):

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local: list[str] = []
 _stages: list[str] = []
@@ -64,6 +65,12 @@ def clear_stages(spark: SparkSession) -> int:
     return n
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df``, written already and of a few short columns, to be broadcast if it
+    is counted to have at most so many rows; else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions for small rows that are much work: by their size alone they
     would be put into one task."""
