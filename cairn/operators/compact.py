@@ -86,8 +86,8 @@ def _writer(folder: str, schema: pa.Schema):
 
         try:
             for batch in batches:
-                groups = batch.column("out_group").to_numpy(zero_copy_only=False)
-                checks = batch.column("check").to_pylist()
+                groups = batch.column("__group").to_numpy(zero_copy_only=False)
+                checks = batch.column("__check").to_pylist()
                 cuts = [0, *(i for i in range(1, len(groups)) if groups[i] != groups[i - 1]), len(groups)]
                 data = batch.select(schema.names).cast(schema)
                 for a, b in zip(cuts, cuts[1:]):
@@ -146,10 +146,9 @@ def compact(rows: DataFrame, files: DataFrame, out: str, id_col: str, file_col:
     # a digest stands for the content; 128 bits leave no room for chance
     content = [c for c in rows.columns if c not in {id_col, file_col, *ignore}]
     whole = F.to_json(F.struct(*(F.col(f"`{c}`") for c in content)), {"ignoreNullFields": "false"})
-    names = {"id": id_col, "file_id": file_col}
     digest = F.unhex(F.md5(whole))
-    digested = rows.withColumn("digest__", digest)
-    small = digested.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{file_col}`").alias("file_id"), F.col(f"`{shard_col}`").cast("string").alias("shard_key"), F.col("digest__").alias("digest"))
+    digested = rows.withColumn("__digest", digest)
+    small = digested.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{file_col}`").alias("file_id"), F.col(f"`{shard_col}`").cast("string").alias("shard_key"), F.col("__digest").alias("digest"))
     kept = small.groupBy("digest").agg(F.min(F.struct("id", "file_id", "shard_key")).alias("k"), F.count(F.lit(1)).alias("copies")).select("k.*", "copies", "digest")
     kept = materialize(kept, "kept")
     known = files.groupBy(F.col(f"`{file_col}`").alias("file_id")).agg(F.max("n_bytes").alias("known_bytes"))
@@ -158,22 +157,24 @@ def compact(rows: DataFrame, files: DataFrame, out: str, id_col: str, file_col:
     groups = broadcast_if_small(materialize(assign_files(sized, target_bytes, shard_files), "groups"))
     loose_parts = max(1, -(-kept.where("file_id is null").count() * LOOSE_BYTES // target_bytes))
 
+    placed = groups.select(F.col("file_id").alias("__file"), F.col("out_group").alias("__group"))
+
     def grouped(d: DataFrame, digest: str, file: str) -> DataFrame:
         loose = F.xxhash64(F.lit("no file"), F.pmod(F.xxhash64(digest), F.lit(loose_parts)))
-        return d.join(groups.withColumnRenamed("file_id", "group_file__"), d[f"`{file}`"] == F.col("group_file__"), "left").withColumn("out_group", F.coalesce("out_group", loose)).drop("group_file__")
+        return d.join(placed, d[f"`{file}`"] == F.col("__file"), "left").withColumn("__group", F.coalesce("__group", loose)).drop("__file")
 
-    expected = materialize(grouped(kept, "digest", "file_id").groupBy("out_group").agg(F.count(F.lit(1)).alias("expected"), F.sum(_check(F.col("digest"))).alias("sum")), "expected")
+    expected = materialize(grouped(kept, "digest", "file_id").groupBy(F.col("__group").alias("out_group")).agg(F.count(F.lit(1)).alias("expected"), F.sum(_check(F.col("digest"))).alias("sum")), "expected")
     # rows that are alone in their content pass; of the others those that are kept, exact repetitions once
-    several = broadcast_if_small(materialize(kept.where("copies > 1").select(F.col("digest").alias("digest__"), F.col("id").alias("keep_id__"), F.col("file_id").alias("keep_file__")), "several"))
-    alone = digested.join(several.select("digest__"), "digest__", "left_anti")
-    chosen = digested.join(several, "digest__").where(F.col(f"`{names['id']}`").eqNullSafe(F.col("keep_id__")) & F.col(f"`{names['file_id']}`").eqNullSafe(F.col("keep_file__"))).drop("keep_id__", "keep_file__").dropDuplicates(["digest__"])
-    tagged = grouped(alone.unionByName(chosen), "digest__", file_col).withColumn("check", _check(F.col("digest__")))
+    several = broadcast_if_small(materialize(kept.where("copies > 1").select(F.col("digest").alias("__digest"), F.col("id").alias("__id"), F.col("file_id").alias("__keep")), "several"))
+    alone = digested.join(several.select("__digest"), "__digest", "left_anti")
+    chosen = digested.join(several, "__digest").where(F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & F.col(f"`{file_col}`").eqNullSafe(F.col("__keep"))).drop("__id", "__keep").dropDuplicates(["__digest"])
+    tagged = grouped(alone.unionByName(chosen), "__digest", file_col).withColumn("__check", _check(F.col("__digest")))
     schema = _arrow_schema(rows)
     uri = out if "://" in out else "file://" + os.path.abspath(out)
     store, base = _filesystem(uri)
     store.create_dir(base, recursive=True)
     lanes = max(1, min(expected.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    written = tagged.drop("digest__").repartition(lanes, "out_group").sortWithinPartitions("out_group", id_col).mapInArrow(_writer(uri, schema), _MANIFEST)
+    written = tagged.drop("__digest").repartition(lanes, "__group").sortWithinPartitions("__group", F.col(f"`{id_col}`")).mapInArrow(_writer(uri, schema), _MANIFEST)
     manifest = materialize(written, "manifest")
     wrong = manifest.groupBy("out_group").agg(F.sum("n_rows").alias("n"), F.sum("check").alias("streamed"), F.count(F.lit(1)).alias("files")).join(expected, "out_group", "full").where("n is null or expected is null or n <> expected or streamed <> sum or files <> 1")
     if wrong.take(1):

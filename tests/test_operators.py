@@ -52,6 +52,13 @@ def test_compact_empty(spark, tmp_path):
     assert read_compacted(spark, str(tmp_path / "o")) is None
 
 
+def test_compact_with_columns_named_like_its_own(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, "z", 5, "a"), (2, 1, "z", 5, "a"), (3, None, None, None, None), (4, 2, "y", 6, "b")], "id int, file_id int, zone string, out_group int, check string")
+    out = str(tmp_path / "o")
+    compact(rows, spark.createDataFrame([(1, None), (1, 50), (7, 3)], "file_id int, n_bytes int"), out, "id", "file_id", "zone")
+    assert sorted(tuple(r) for r in read_compacted(spark, out).collect() if r["id"] != 3) == [(1, 1, "z", 5, "a"), (4, 2, "y", 6, "b")] and read_compacted(spark, out).count() == 3
+
+
 def test_assign_splits_busy_shards(spark):
     files = spark.range(50).select(F.col("id").alias("file_id"), F.lit("a").alias("shard_key"), F.lit(10).alias("n_bytes"))
     got = assign_files(files, 100, shard_files=10)
