@@ -354,7 +354,7 @@ def _unlisted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         split = [w.split(_MARK) for w in written]
         parsed = np.array([_joined(parse_street(w[1:])) for w in split], dtype=object)
         place = np.array([w[0] for w in split], dtype=object)
-        yield pd.DataFrame({"x_id": b["x_id"], "number": b["number"], "zip": b["zip"], "street_id": pd.array([None] * len(b), dtype="Int64"), "place_name": place[code] if len(b) else "", "parsed": parsed[code] if len(b) else ""})
+        yield pd.DataFrame({"x_id": b["x_id"], "number": b["number"], "zip": b["zip"], "street_id": pd.array([None] * len(b), dtype="Int64"), "place_name": place[code], "parsed": parsed[code]})
 
 
 def _own_block(rows: pd.DataFrame, streets: pd.DataFrame) -> pd.DataFrame:
@@ -397,7 +397,8 @@ def _own_block(rows: pd.DataFrame, streets: pd.DataFrame) -> pd.DataFrame:
                 if ranked and not slips and ranked[0][0] <= 1.0:
                     break  # tied between streets of just this name
     known = chosen >= 0
-    return pd.DataFrame({"x_id": rows["x_id"].to_numpy(), "number": numbers, "zip": rows["zip"].to_numpy(), "street_id": pd.array(chosen, dtype="Int64"), "place_name": np.where(known, "", place_of[code] if len(rows) else ""), "parsed": np.where(known, "", parsed_of[code] if len(rows) else "")}).assign(street_id=lambda d: d["street_id"].where(known))
+    # a block may have streets and no rows: texts must be objects even then
+    return pd.DataFrame({"x_id": rows["x_id"].to_numpy(), "number": rows["number"].to_numpy(dtype=object), "zip": rows["zip"].to_numpy(dtype=object), "street_id": pd.array(chosen, dtype="Int64"), "place_name": np.where(known, "", place_of[code]), "parsed": np.where(known, "", parsed_of[code])}).assign(street_id=lambda d: d["street_id"].where(known))
 
 
 def _any_block(rows: pd.DataFrame, streets: pd.DataFrame) -> pd.DataFrame:
@@ -518,6 +519,12 @@ def _blocks(written: DataFrame, zips: DataFrame) -> DataFrame:
     return found.unionByName(near.distinct())
 
 
+def locations(records: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``x_id, location``: the class of each record with a location, as a hash of
+    its street and number; one row for each location of a record."""
+    return resolve(records, ranges).select("x_id", F.xxhash64("street", "number").alias("location")).distinct()
+
+
 def same_location(records: DataFrame, ranges: DataFrame) -> DataFrame:
     """All pairs ``x_id_a < x_id_b`` of records that denote the same location.
 

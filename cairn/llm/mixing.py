@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.llm.tokens import VOCABULARY, n_tokens
-from cairn.session import materialize, require
+from cairn.session import broadcast_if_small, materialize, require
 
 _WORD = re.compile(r"\w+")
 
@@ -95,9 +95,10 @@ def mix(records: DataFrame, targets: DataFrame, total: int | None = None, seed:
     # 1 - exp(-rate * key) rises with the key and is about even over (0, 1)
     spread = known.join(F.broadcast(budgets), "source")  # one row for each listed source
     spread = spread.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("rate") * F.col("key"))) * F.col("buckets")), F.col("buckets") - 1).cast("int"))
-    sums = materialize(spread.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("size")), "buckets")
+    sums = spread.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("size"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spread = spread.join(sums.withColumn("before", before), ["source", "bucket"])
+    # a row for each ``bucket_rows`` records
+    spread = spread.join(broadcast_if_small(materialize(sums.withColumn("before", before), "before")), ["source", "bucket"])
     inside, out = F.col("before") + F.col("size") <= F.col("rest"), F.col("before") >= F.col("rest")
     sure = spread.where(inside | out).select("doc_id", "source", "n_tokens", (F.col("epochs") + F.when(inside, 1).otherwise(0)).alias("repeats"))
     upto = F.sum("n_tokens").over(Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm.address import same_location
+from cairn.llm.address import locations, same_location
 from cairn.llm.canonical import map_entries, unmatched
 from cairn.llm.entity import match_entities
 from cairn.llm.mixing import measured, mix, share_report
@@ -29,6 +29,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return same_location(table(spark, d, "x"), table(spark, d, "taf"))
 
 
+def p4_locations(spark: SparkSession, d: str) -> DataFrame:
+    return locations(table(spark, d, "x"), table(spark, d, "taf"))
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(table(spark, d, "documents"), 2048)
 
@@ -53,6 +57,6 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redact(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p4_found, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p4_found, p4_locations, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_redacted)}
 
 SQL: dict[str, str] = {}

@@ -69,10 +69,13 @@ def test_unmatched_values_of_a_record_with_another_value(spark):
 
 
 def test_records_without_a_street_name_have_no_location(spark):
-    taf = spark.createDataFrame([("11111", 1, 99, "", "", "", "Main", "St", "")], TAF)
+    taf = spark.createDataFrame([("11111", 1, 99, "", "", "", "Main", "St", ""), ("33333", 1, 99, "", "", "", "Main", "St", "")], TAF)
     rows = [(1, "5", None, None, None), (2, "5", "", None, "11111"), (3, "5", "", "Town", "11111"), (4, "5", "Main", "Town", "11111"), (5, "5", "Main", None, "11111"), (6, "5", "Elm", None, "99999"), (7, "5", "Elm", None, "99999")]
     x = spark.createDataFrame([(i, "", n, "", "", "", "", name, "", "", place, "OH", z) for i, n, name, place, z in rows], "x_id int, " + ", ".join(f"{c} string" for c in FLAT))
     assert {tuple(r) for r in address.same_location(x, taf).collect()} == {(4, 5), (6, 7)}
+    classes = {r["x_id"]: r["location"] for r in address.locations(x, taf).collect()}
+    assert set(classes) == {4, 5, 6, 7} and classes[4] == classes[5] != classes[6] == classes[7]
+    assert address.same_location(x.limit(0), taf).count() == 0 and address.same_location(x, taf.limit(0)).count() == 2
 
 
 def test_a_type_of_many_letters_glued_to_the_name():
