@@ -776,7 +776,8 @@ def find_personal(documents: DataFrame, detector: Detector | None = None) -> Dat
             kinds, start, end, words, surface = (np.concatenate(list(b[c])) for c in ("kind", "start", "end", "words", "surface"))
             taken = shared.value.judge(text.tolist(), kinds, start.tolist(), end.tolist(), _features(b["features"]), list(words))
             doc = b["doc_id"].to_numpy()
-            yield pd.DataFrame({"doc_id": doc[text[taken]], "kind": [KINDS[kinds[j]] for j in taken], "surface": surface[taken]})
+            at = np.array(taken, dtype=np.int64)
+            yield pd.DataFrame({"doc_id": doc[text[at]], "kind": np.array(KINDS, dtype=object)[kinds[at]], "surface": surface[at].astype(object)})
 
     return proposed.select("doc_id", "kind", "start", "end", "features", "words", "surface").mapInPandas(run, f"doc_id {kind}, kind string, surface string").distinct()
 

@@ -329,4 +329,7 @@ def test_kinds_without_labels_are_found(spark):
         planted = {(i, f) for i, p in enumerate(want) for f in p if f[0] == kind}
         assert len(planted & {(i, f) for i, fs in got.items() for f in fs}) >= 0.9 * len(planted) > 0
     empty = spark.createDataFrame([], "doc_id int, text string, kind string")
-    assert pii.find_personal(empty).count() == 0
+    assert pii.find_personal(empty).count() == 0 and pii.redact(empty).count() == 0
+    # proposals, none of which is taken
+    nothing = spark.createDataFrame([(1, "The logo is in banner@2x.png, see icon@3x.png."), (1, None), (2, "")], "doc_id int, text string")
+    assert pii.find_personal(nothing, pii.Detector.fit([])).count() == 0 and pii.find_personal(nothing).count() == 0
