@@ -22,6 +22,10 @@ from cairn.session import parallelism, require
 #: Largest distances of a field, unless given.
 DEFAULT_LIMITS: dict[str, float] = {f: 0.0 for f in FLAT} | {"street_name": 1.0}
 
+#: A block with at most so many values of ``y`` is compared whole: the some 70
+#: keys that a value has for two edits would be more work, and much more to shuffle.
+WHOLE_BLOCK = 1000
+
 
 def deletions(c: str, k: int) -> Column:
     """The string and what is left of it after up to ``k`` deletions (k <= 2)."""
@@ -61,7 +65,8 @@ def close_pairs(x: DataFrame, y: DataFrame, limit: float, by: Sequence[str] = ()
     ``y`` (lower case already) with equal ``by`` and distance up to ``limit``.
 
     Candidates come from equality joins: on deletion neighbourhoods up to two
-    edits, on segments beyond. NULL matches nothing.
+    edits (for two, only in blocks of over ``WHOLE_BLOCK`` values), on segments
+    beyond. NULL matches nothing.
     """
     by, k = list(by), int(limit) if limit >= 1 else 0
     x, y = x.where("xv is not null").select(*by, "xv"), y.where("yv is not null").select(*by, "yv")
@@ -71,11 +76,18 @@ def close_pairs(x: DataFrame, y: DataFrame, limit: float, by: Sequence[str] = ()
         x = x.join(y.select(*by).distinct(), by, "left_semi")
     n = parallelism(x.sparkSession)
     x, y = x.repartition(n, *by, "xv").distinct(), y.repartition(n, *by, "yv").distinct()
+    whole = None
+    if by and k == 2:
+        y = y.withColumn("in_block", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+        whole = x.join(y.where(F.col("in_block") <= WHOLE_BLOCK).drop("in_block"), by).where(F.levenshtein("xv", "yv", 2 * k) >= 0).select(*by, "xv", "yv")
+        y = y.where(F.col("in_block") > WHOLE_BLOCK).drop("in_block")
+        x = x.join(y.select(*by).distinct(), by, "left_semi")
     if k <= 2:
         found = x.withColumn("k", F.explode(deletions("xv", k))).join(y.withColumn("k", F.explode(deletions("yv", k))), [*by, "k"]).select(*by, "xv", "yv")
     else:
         found = _by_segments(x, y, k, by)
-    return found.distinct().withColumn("dist", osa_up_to("xv", "yv", k)).where("dist is not null")
+    found = found.distinct() if whole is None else found.distinct().unionByName(whole)
+    return found.withColumn("dist", osa_up_to("xv", "yv", k)).where("dist is not null")
 
 
 def nearest_pairs(x: DataFrame, y: DataFrame, limit: float, by: Sequence[str] = ()) -> DataFrame:

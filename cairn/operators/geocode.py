@@ -14,7 +14,7 @@ from cairn.functions.text import FLAT, STREET, format_address, format_parts, to_
 from cairn.functions.zips import VARIANTS, zip_candidates
 from cairn.operators.diagnose import problem_examples
 from cairn.operators.match import match_streets
-from cairn.session import materialize, require
+from cairn.session import materialize, require, staged
 from cairn.sources.ranges import missing_message, needed_counties
 
 STAGES = ("none", "street_variant", "street", "range_variant", "range")
@@ -58,31 +58,34 @@ def geocode(x: DataFrame, ranges: DataFrame, x_id: str = "x_id", ord_col: str =
         raise ValueError("offset must be finite and not negative")
     require(x, x_id, *FLAT)
     require(ranges, ord_col, "zip", "fromhn", "tohn", "side", "parity", "offset_flag", "geometry_wkt", *STREET)
-    addresses = materialize(x.select(F.col(x_id).alias("x_id"), format_address().alias("text"), *FLAT), "addresses")
+    spark = x.sparkSession
+    addresses = staged(spark, lambda: x.select(F.col(x_id).alias("x_id"), format_address().alias("text"), "place_zipcode", *STREET, "number_digits"), "addresses")
     distinct = addresses.where(valid_zip(F.col("place_zipcode"))).groupBy("text").agg(F.min(F.struct("place_zipcode", *STREET, "number_digits")).alias("a")).select("text", "a.*")
-    distinct = materialize(distinct, "texts")
+    distinct = staged(spark, lambda d=distinct: d, "texts")
     street = format_parts(*(F.col(c) for c in STREET)).alias("street")
     refs = ranges.where("zip is not null").select(F.col(ord_col).alias("ord"), "zip", "fromhn", "tohn", "side", "parity", "offset_flag", "geometry_wkt", *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in STREET)).withColumn("street", street)
-    ystreets = materialize(refs.groupBy("zip", *STREET).agg(F.min("ord").alias("ord")), "streets")
+    ystreets = staged(spark, lambda: refs.groupBy("zip", *STREET).agg(F.min("ord").alias("ord")), "streets")
     options = {"phonetic": phonetic, "fuzzy": fuzzy, "types": types, "directions": directions}
 
     own = distinct.withColumnRenamed("place_zipcode", "zip")
-    near = match_streets(own, ystreets, "text", "ord", ["zip"], **options).withColumn("rank", F.lit(0)).join(own.select(F.col("text").alias("x_id"), "zip"), "x_id")
-    found = materialize(near.select(F.col("x_id").alias("text"), "zip", F.col("y_ord").alias("ord")), "found")
-    if variants:
+    found = staged(spark, lambda: match_streets(own, ystreets, "text", "ord", ["zip"], **options).join(own.select(F.col("text").alias("x_id"), "zip"), "x_id").select(F.col("x_id").alias("text"), "zip", F.col("y_ord").alias("ord")), "found")
+
+    def among_variants() -> DataFrame:
         left = distinct.join(found, "text", "left_anti")
         ways = zip_candidates(left, "place_zipcode", variants).where("source_zip_variant_rank > 0").groupBy("source_zip", "zip").agg(F.min("source_zip_variant_rank").alias("rank"))
         there = ways.join(ystreets.select("zip").distinct(), "zip", "left_semi")
         tried = left.join(there, left["place_zipcode"] == there["source_zip"]).withColumn("key", F.concat_ws("\r", "text", "zip"))
         tried = materialize(tried, "tried")
         late = match_streets(tried, ystreets, "key", "ord", ["zip"], **options).withColumnRenamed("x_id", "key").join(tried.select("key", "text", "zip", "rank"), "key")
-        late = late.groupBy("text").agg(F.min(F.struct("rank", "zip", F.col("y_ord").alias("ord"))).alias("b")).select("text", "b.zip", "b.ord")
-        found = found.unionByName(materialize(late, "late"))
+        return late.groupBy("text").agg(F.min(F.struct("rank", "zip", F.col("y_ord").alias("ord"))).alias("b")).select("text", "b.zip", "b.ord")
+
+    if variants:
+        found = found.unionByName(staged(spark, among_variants, "late"))
     streets = found.join(ystreets.select("ord", "zip", *(F.col(c).alias(f"matched_{c}") for c in STREET)), ["ord", "zip"]).drop("ord")
     streets = streets.withColumn("street", format_parts(*(F.col(f"matched_{c}") for c in STREET)))
     numbered = streets.join(distinct.select("text", "number_digits"), "text")
     wanted = numbered.select(F.col("text").alias("id"), "zip", "street", to_int(F.col("number_digits")).alias("n")).where("n is not null")
-    points = place_in_range(pick_ranges(wanted, refs), offset).select(F.col("id").alias("text"), "lon", "lat")
+    points = staged(spark, lambda: place_in_range(pick_ranges(wanted, refs), offset).select(F.col("id").alias("text"), "lon", "lat"), "points")
     out = addresses.select("x_id", "text", "place_zipcode").join(streets.withColumnRenamed("zip", "matched_zipcode").drop("street"), "text", "left").join(points, "text", "left")
     wkt = F.when(F.col("lon").isNotNull(), F.format_string("POINT (%.7f %.7f)", "lon", "lat"))
     matched = [f"matched_{c}" for c in STREET]
