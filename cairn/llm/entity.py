@@ -43,16 +43,29 @@ PARCEL_END = 6  # digits of a parcel number that tell it apart within a number
 FEATURES = ["name_same", "name_slip", "name_jaccard", "type", "direction", "pre_type", "zip", "city", "parcel", "log_metres", "listed"]
 
 
+def minhashes(names: list[str]) -> np.ndarray:
+    """MinHash values of the letter pairs of each text; zeros for an empty text."""
+    out = np.zeros((len(names), HASHES), dtype=np.uint64)
+    code = _Memo(lambda g: int.from_bytes(g.encode()[:7], "big"))
+    codes, rows, starts = [], [], []
+    for i, name in enumerate(names):
+        s = name.replace(" ", "")
+        grams = {s[j : j + 2] for j in range(len(s) - 1)} or ({s} if s else set())
+        if grams:
+            rows.append(i)
+            starts.append(len(codes))
+            codes += [code[g] for g in grams]
+    if rows:
+        every = np.array(codes, dtype=np.uint64)[:, None]
+        mixed = (every * _SEEDS[0].astype(np.uint64) + _SEEDS[1].astype(np.uint64)) ^ ((every * _SEEDS[1].astype(np.uint64)) >> np.uint64(29))
+        mixed = (mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(8)
+        out[rows] = np.minimum.reduceat(mixed, starts, axis=0)
+    return out
+
+
 def minhash(name: str) -> list[int]:
     """MinHash values of the letter pairs of a text; none for an empty text."""
-    s = name.replace(" ", "")
-    grams = {s[i : i + 2] for i in range(len(s) - 1)} or ({s} if s else set())
-    if not grams:
-        return []
-    codes = np.array([int.from_bytes(g.encode()[:7], "big") for g in grams], dtype=np.uint64)
-    mixed = (codes[:, None] * _SEEDS[0].astype(np.uint64) + _SEEDS[1].astype(np.uint64)) ^ ((codes[:, None] * _SEEDS[1].astype(np.uint64)) >> np.uint64(29))
-    mixed = (mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(8)
-    return [int(v) for v in mixed.min(axis=0)]
+    return minhashes([name])[0].tolist() if name.replace(" ", "") else []
 
 
 def _zip(z: str | None) -> str:
@@ -134,7 +147,24 @@ def _points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _hashed(values: list[str]) -> np.ndarray:
-    return pd.util.hash_array(np.array(values, dtype=object), categorize=True)
+    return pd.util.hash_array(np.array(values, dtype=object), categorize=False)
+
+
+def _distinct(values: pd.Series) -> tuple[np.ndarray, list[str]]:
+    """The position of each value among the distinct ones, and these."""
+    at, distinct = pd.factorize(values)
+    return at, list(distinct)
+
+
+class _Signatures(dict):
+    """MinHash values by text, of all texts asked for at once."""
+
+    def of(self, texts: list[str]) -> np.ndarray:
+        if len(self) > 200_000:
+            self.clear()
+        new = [t for t in texts if t not in self]
+        self.update(zip(new, minhashes(new)))
+        return np.stack([self[t] for t in texts])
 
 
 def _cells(lat: np.ndarray, lon: np.ndarray, side: float, reach: float | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -156,31 +186,36 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     The first are free of slips in the name, the last of slips in the number.
     ``usual`` is the town that the ZIP usually goes with, for a missing one. A column ``around`` asks for the places within reach, not the own one only.
     """
-    bands = _Memo(lambda name: np.array(minhash(name) or [0] * HASHES, dtype=np.uint64))
+    bands = _Signatures()
+    loosened = _Memo(_digits)
     odd = np.uint64(0x9E3779B97F4A7C15)
     mix = lambda u, v: ((u * odd) ^ (v + odd)) * np.uint64(0xBF58476D1CE4E5B9)
+    known = lambda texts: np.array([t != "" for t in texts], dtype=bool)
     for b in batches:
-        names = [s.split("\t")[3] for s in b["street"]]
-        zips, cities = zip(*(s.split("\t") for s in b["area"])) if len(b) else ((), ())
-        rid, base, sig = b["rid"].to_numpy(), _hashed(list(b["number"])), np.stack([bands[n] for n in names]) if len(b) else np.zeros((0, HASHES), dtype=np.uint64)
-        named = np.array([n != "" for n in names], dtype=bool)
-        parcel = b["parcel"]
+        if not len(b):
+            continue
+        # streets, areas and numbers repeat: what is worked out is worked out for each once
+        at, streets = _distinct(b["street"])
+        names = [s.split("\t")[3] for s in streets]
+        sig, named = bands.of(names)[at], known(names)[at]
+        at, areas = _distinct(b["area"] + "\t" + b["usual"].fillna(""))
+        zips, cities, usual = zip(*(s.split("\t") for s in areas))
+        regions, towns = [z[:3] if len(z) == 5 else "" for z in zips], [c or t for c, t in zip(cities, usual)]
+        zip_key, zip_known, region_key, region_known, spelt, town_known = (v[at] for v in (_hashed(zips), known(zips), _hashed(regions), known(regions), bands.of(towns), known(towns)))
+        at, numbers = _distinct(b["number"])
+        base, units, loose = (_hashed(v)[at] for v in (numbers, [n.split("|")[1] for n in numbers], [loosened[n] for n in numbers]))
+        rid, parcel = b["rid"].to_numpy(), list(b["parcel"])
         pair = lambda j: sig[:, j] * odd ^ sig[:, j + 1] + np.uint64(j)
-        known = lambda texts: np.array([t != "" for t in texts], dtype=bool)
-        regions = [z[:3] if len(z) == 5 else "" for z in zips]
         lat, lon = _unpacked(b["at"])
-        parts = [(named & known(regions), _hashed(regions) ^ pair(j)) for j in (2, 4)]
+        parts = [(named & region_known, region_key ^ pair(j)) for j in (2, 4)]
         for y, x, new in _cells(lat, lon, AREA_CELL, AREA_REACH if "around" in b else None):
             parts += [(named & new, mix(y.view(np.uint64), x.view(np.uint64)) ^ pair(j)) for j in (6, 8, 10)]
-        parts += [(named & known(zips), _hashed(list(zips)) ^ sig[:, j] + np.uint64(j)) for j in (0, 11)]
-        towns = [c or t or "" for c, t in zip(cities, b["usual"])] if len(b) else []
-        spelt = np.stack([bands[t] for t in towns]) if len(b) else np.zeros((0, HASHES), dtype=np.uint64)
-        parts += [(named & known(towns), mix(spelt[:, j], pair(2 * j))) for j in (0, 1, 2)]
+        parts += [(named & zip_known, zip_key ^ sig[:, j] + np.uint64(j)) for j in (0, 11)]
+        parts += [(named & town_known, mix(spelt[:, j], pair(2 * j))) for j in (0, 1, 2)]
         parts = [(ok, mix(base, v)) for ok, v in parts]
-        units, loose = _hashed([n.split("|")[1] for n in b["number"]]), _hashed([_digits(n) for n in b["number"]])
-        told = (parcel.str.len() >= PARCEL_END).to_numpy()
-        parts.append((told, mix(loose, _hashed(list(parcel.str[-PARCEL_END:])))))
-        parts.append((told, mix(units, _hashed(list(parcel)))))
+        told = np.array([len(p) >= PARCEL_END for p in parcel], dtype=bool)
+        parts.append((told, mix(loose, _hashed([p[-PARCEL_END:] for p in parcel]))))
+        parts.append((told, mix(units, _hashed(parcel))))
         for y, x, new in _cells(lat, lon, _CELL, SLIP_METRES / 111_000 if "around" in b else None):
             parts.append((new, mix(loose, mix(y.view(np.uint64), x.view(np.uint64)))))
         yield pd.DataFrame({"key": np.concatenate([k[ok].view(np.int64) for ok, k in parts]), "rid": np.concatenate([rid[ok] for ok, _ in parts])})
@@ -204,7 +239,7 @@ def number_slip(a: str, b: str) -> float:
     if _digits(a) == _digits(b):
         return 0.5
     bare = x.isdigit() != y.isdigit() and sorted(filter(str.isdigit, x)) == sorted(filter(str.isdigit, y))
-    return 0.0 if bare or _osa(x, y, 2) < 2 else -1.0
+    return 0.0 if bare or _one_slip(x, y) else -1.0
 
 
 def slip_witnessed(slip: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -236,45 +271,59 @@ def _osa(a: str, b: str, most: int = 3) -> int:
     return min(last[-1], most)
 
 
+def _one_slip(a: str, b: str) -> bool:
+    """Whether the alignment distance is below two."""
+    if a == b:
+        return True
+    n, m = len(a), len(b)
+    if abs(n - m) > 1:
+        return False
+    i, most = 0, min(n, m)
+    while i < most and a[i] == b[i]:
+        i += 1
+    if n != m:
+        return a[i + 1 :] == b[i:] if n > m else a[i:] == b[i + 1 :]
+    return a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
+
+
 def _agree(a: str, b: str) -> float:
     """1 equal, 0 one slip apart, -1 different, NaN if either is missing."""
     if not a or not b:
         return math.nan
-    return 1.0 if a == b else 0.0 if _osa(a, b, 2) < 2 else -1.0
+    return 1.0 if a == b else 0.0 if _one_slip(a, b) else -1.0
+
+
+def _streets(pair: tuple[str, str]) -> tuple:
+    x, y = pair
+    ad, _, at, an, ao, as_ = x.split("\t")
+    bd, _, bt, bn, bo, bs = y.split("\t")
+    s, t = an.replace(" ", ""), bn.replace(" ", "")
+    g, h = {s[i : i + 2] for i in range(len(s) - 1)}, {t[i : i + 2] for i in range(len(t) - 1)}
+    kind = 2.0 if ao == bo else 1.0 if not ao else 0.5 if ao.startswith("?") else 0.2 if not bo else -1.0
+    way = 2.0 if (ad, as_) == (bd, bs) else 1.5 if (ad, as_) == (bs, bd) else 1.0 if not ad and not as_ else 0.2 if not bd and not bs else -1.0
+    return float(an == bn), float(min(_osa(s, t), 3)), len(g & h) / max(1, len(g | h)), kind, way, 1.0 if at == bt else 0.0 if not at else -1.0
 
 
-def compare(b: pd.DataFrame) -> np.ndarray:
-    """Features of candidate pairs, columns ``a_*`` and ``b_*`` of both sides."""
-    memo: dict[tuple[str, str], tuple] = {}
+def _areas(pair: tuple[str, str]) -> tuple:
+    (az, ac), (bz, bc) = (v.split("\t") for v in pair)
+    return _agree(az, bz), _agree(ac, bc)
 
-    def streets(x: str, y: str) -> tuple:
-        ad, _, at, an, ao, as_ = x.split("\t")
-        bd, _, bt, bn, bo, bs = y.split("\t")
-        s, t = an.replace(" ", ""), bn.replace(" ", "")
-        g, h = {s[i : i + 2] for i in range(len(s) - 1)}, {t[i : i + 2] for i in range(len(t) - 1)}
-        kind = 2.0 if ao == bo else 1.0 if not ao else 0.5 if ao.startswith("?") else 0.2 if not bo else -1.0
-        way = 2.0 if (ad, as_) == (bd, bs) else 1.5 if (ad, as_) == (bs, bd) else 1.0 if not ad and not as_ else 0.2 if not bd and not bs else -1.0
-        return float(an == bn), float(min(_osa(s, t), 3)), len(g & h) / max(1, len(g | h)), kind, way, 1.0 if at == bt else 0.0 if not at else -1.0
 
-    def areas(x: str, y: str) -> tuple:
-        (az, ac), (bz, bc) = x.split("\t"), y.split("\t")
-        return _agree(az, bz), _agree(ac, bc)
+def compare(b: pd.DataFrame, streets: _Memo | None = None, areas: _Memo | None = None) -> np.ndarray:
+    """Features of candidate pairs, columns ``a_*`` and ``b_*`` of both sides. The
+    memos keep what is found for pairs of streets and of areas over several calls."""
+    streets, areas = _Memo(_streets) if streets is None else streets, _Memo(_areas) if areas is None else areas
 
     def parcels(x: str, y: str) -> float:
         if not x or not y:
             return math.nan
-        return 2.0 if x == y else 1.0 if len(x) >= 6 and len(x) < len(y) and y.endswith(x) else 0.0 if _osa(x, y, 2) < 2 else -1.0
+        return 2.0 if x == y else 1.0 if len(x) >= 6 and len(x) < len(y) and y.endswith(x) else 0.0 if _one_slip(x, y) else -1.0
 
     out = np.full((len(b), len(FEATURES)), math.nan)
-    for i, (sa, sb, ra, rb, pa, pb) in enumerate(zip(b["a_street"], b["b_street"], b["a_area"], b["b_area"], b["a_parcel"], b["b_parcel"])):
-        v = memo.get((sa, sb))
-        if v is None:
-            v = memo[sa, sb] = streets(sa, sb)
-        w = memo.get((ra, rb))
-        if w is None:
-            w = memo[ra, rb] = areas(ra, rb)
-        out[i, :8] = v + w
-        out[i, 8] = parcels(pa, pb)
+    if len(b):
+        out[:, :6] = [streets[v] for v in zip(b["a_street"], b["b_street"])]
+        out[:, 6:8] = [areas[v] for v in zip(b["a_area"], b["b_area"])]
+        out[:, 8] = [parcels(x, y) for x, y in zip(b["a_parcel"], b["b_parcel"])]
     lat1, lon1 = (np.radians(v) for v in _unpacked(b["a_at"]))
     lat2, lon2 = (np.radians(v) for v in _unpacked(b["b_at"]))
     with np.errstate(invalid="ignore"):
@@ -396,10 +445,11 @@ def match_entities(sites: DataFrame, points: DataFrame, threshold: float = 0.5,
     full = pairs.join(shown(a, "a"), "a_rid").join(shown(b, "b"), "b_rid").select(*columns)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        streets, areas = _Memo(_streets), _Memo(_areas)
         for p in batches:
             slip = np.array([number_slip(u, v) if isinstance(u, str) else 1.0 for u, v in zip(p["a_number"], p["b_number"])])
             p, slip = p[slip >= 0].reset_index(drop=True), slip[slip >= 0]
-            x = compare(p)
+            x = compare(p, streets, areas)
             ok = slip_witnessed(slip, x)
             yield pd.concat([p[["a_id", "b_id"]], pd.DataFrame(x, columns=FEATURES).assign(number=slip)], axis=1)[ok]
 

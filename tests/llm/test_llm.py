@@ -20,6 +20,20 @@ def test_boosting_learns_and_is_calibrated():
     assert ((p > 0.5) == (y[2000:] > 0.5)).mean() > 0.93 and Boosted().fit(x[:0], y[:0]).predict(x[:0]).shape == (0,)
 
 
+def test_boosting_grows_on_distinct_rows(monkeypatch):
+    r = np.random.default_rng(4)
+    x = r.integers(0, 3, (300, 3)).astype(float)
+    y = (x[:, 0] + x[:, 1] > 2).astype(float)
+    sizes, grow = [], Boosted._grow
+    monkeypatch.setattr(Boosted, "_grow", lambda self, b, *more: sizes.append(len(b)) or grow(self, b, *more))
+    groups = np.tile(np.arange(300), 40)
+    many = Boosted(rounds=5, depth=2, least=40).fit(np.tile(x, (40, 1)), np.tile(y, 40), np.full(12_000, 1 / 40), groups=groups)
+    assert sizes and max(sizes) <= 27
+    # forty copies of a fortieth are the same as one row
+    once = Boosted(rounds=5, depth=2, least=1).fit(x, y)
+    assert np.allclose(many.predict(x), once.predict(x))
+
+
 def test_parse_street():
     assert address.parse_street(["", "", "", "SOUTH FLODORPRYOR PARKWAY", "", ""]) == ("s", "", "", "flodorpryor", "pkwy", "")
     assert address.parse_street(["", "", "", "SR 109", "", ""]) == ("", "", "sr", "109", "", "")
@@ -111,6 +125,28 @@ def test_number_slips():
     assert entity.number_slip("6013a|2", "6031|2") == 0 and entity.number_slip("6013a|", "6031b|") == -1
 
 
+def test_one_slip_is_a_distance_below_two():
+    r = random.Random(2)
+    for _ in range(5000):
+        a, b = ("".join(r.choice("ab1") for _ in range(r.randint(0, 6))) for _ in "xy")
+        assert entity._one_slip(a, b) == (entity._osa(a, b, 2) < 2), (a, b)
+
+
+def test_keys_of_what_repeats_are_made_once(monkeypatch):
+    import pandas as pd
+
+    asked, digits = [], entity._digits
+    monkeypatch.setattr(entity, "_digits", lambda n: asked.append(n) or digits(n))
+    row = {"number": "17a|2", "street": "s\t\t\tmain\tst\t", "area": "11111\ttown", "parcel": "123456789", "at": 0, "usual": None}
+    other = row | {"number": "71|", "street": "\t\t\t\t\t", "area": "\t", "usual": "town", "parcel": ""}
+    batch = lambda *rows: pd.DataFrame([r | {"rid": i} for i, r in enumerate(rows)])
+    keys = lambda *rows: pd.concat(entity._keys(iter([batch(*rows), batch(row).iloc[:0]])))
+    got = keys(*[row] * 500, other)
+    assert sorted(asked) == ["17a|2", "71|"]
+    alone = set(keys(row)["key"])
+    assert len(alone) == 9 and all(set(k) == alone for i, k in got.groupby("rid")["key"] if i < 500) and 500 not in set(got["rid"])
+
+
 def test_sites_with_a_slip_in_the_number(spark):
     nad = "uuid string, add_number int, addnum_suf string, st_predir string, st_premod string, st_pretyp string, st_name string, st_postyp string, st_posdir string, subaddress string, post_city string, zip_code string, latitude double, longitude double, parcel_id string"
     place = lambda n, side: (39.0 + n * 4e-5, -84.0 - 0.05 * side)
