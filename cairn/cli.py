@@ -15,7 +15,7 @@ from cairn.functions.tagger import parse_addresses
 from cairn.functions.text import STREET, format_parts
 from cairn.operators.geocode import geocode
 from cairn.operators.spatial import parse_point
-from cairn.session import clear_stages
+from cairn.session import clear_stages, shuffled
 
 
 def output_path(source: str) -> str:
@@ -31,7 +31,7 @@ def geocode_table(df: DataFrame, ranges: DataFrame, column: str = "address", off
     parsed = parse_addresses(rows.select("__row", column).distinct(), column)
     found = geocode(parsed, ranges, "__row", offset=offset).withColumn("p", parse_point("matched_geography"))
     flat = found.select(F.col("x_id").alias("__row"), F.col("geocode_stage").alias("addr_geocode_stage"), F.col("matched_zipcode").alias("addr_matched_zipcode"), format_parts(*(F.col(f"matched_{c}") for c in STREET)).alias("addr_matched_street"), F.col("p.lon").alias("addr_longitude"), F.col("p.lat").alias("addr_latitude"))
-    return rows.join(flat, "__row", "left").drop("__row").withColumn("addr_s2_cell", cell(F.col("addr_longitude"), F.col("addr_latitude")))
+    return rows.join(shuffled(flat), "__row", "left").drop("__row").withColumn("addr_s2_cell", cell(F.col("addr_longitude"), F.col("addr_latitude")))
 
 
 def main(args: list[str] | None = None) -> None:

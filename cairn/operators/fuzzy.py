@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from cairn.functions.distance import osa, osa_up_to
 from cairn.functions.phonetic import is_ordinal_key, ordinal_neighbors
 from cairn.functions.text import FLAT, PLACE
-from cairn.session import parallelism, require
+from cairn.session import parallelism, require, shuffled
 
 #: Largest distances of a field, unless given.
 DEFAULT_LIMITS: dict[str, float] = {f: 0.0 for f in FLAT} | {"street_name": 1.0}
@@ -54,7 +54,7 @@ def _by_segments(x: DataFrame, y: DataFrame, k: int, by: list[str]) -> DataFrame
     probes = cut(x.withColumn("size", F.explode(F.sequence(F.greatest(F.length("xv") - k, F.lit(m)), F.greatest(F.length("xv") + k, F.lit(m))))))
     probes = probes.withColumn("at", F.explode(F.sequence(F.col("from") - k, F.col("from") + k))).where("at >= 0 and at + to - from <= length(xv)")
     probes = probes.select(*by, "xv", "size", "seg", F.expr("substr(xv, at + 1, to - from)").alias("piece")).distinct()
-    found = probes.join(pieces, [*by, "size", "seg", "piece"]).select(*by, "xv", "yv")
+    found = probes.join(shuffled(pieces), [*by, "size", "seg", "piece"]).select(*by, "xv", "yv")
     brief = x.where(F.length("xv") < m + k).withColumn("size", F.explode(F.sequence(F.greatest(F.length("xv") - k, F.lit(0)), F.length("xv") + k)))
     short = brief.join(y.where(F.length("yv") < m).withColumn("size", F.length("yv")), [*by, "size"]).select(*by, "xv", "yv")
     return found.unionByName(short)
@@ -71,7 +71,7 @@ def close_pairs(x: DataFrame, y: DataFrame, limit: float, by: Sequence[str] = ()
     by, k = list(by), int(limit) if limit >= 1 else 0
     x, y = x.where("xv is not null").select(*by, "xv"), y.where("yv is not null").select(*by, "yv")
     if k < 1:
-        return x.distinct().join(y.distinct().withColumn("xv", F.col("yv")), [*by, "xv"]).select(*by, "xv", "yv", F.lit(0).alias("dist"))
+        return x.distinct().join(shuffled(y.distinct().withColumn("xv", F.col("yv"))), [*by, "xv"]).select(*by, "xv", "yv", F.lit(0).alias("dist"))
     if by:  # what has no partner in its block needs no keys
         x = x.join(y.select(*by).distinct(), by, "left_semi")
     n = parallelism(x.sparkSession)
@@ -79,11 +79,11 @@ def close_pairs(x: DataFrame, y: DataFrame, limit: float, by: Sequence[str] = ()
     whole = None
     if by and k == 2:
         y = y.withColumn("in_block", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-        whole = x.join(y.where(F.col("in_block") <= WHOLE_BLOCK).drop("in_block"), by).where(F.levenshtein("xv", "yv", 2 * k) >= 0).select(*by, "xv", "yv")
+        whole = x.join(shuffled(y.where(F.col("in_block") <= WHOLE_BLOCK).drop("in_block")), by).where(F.levenshtein("xv", "yv", 2 * k) >= 0).select(*by, "xv", "yv")
         y = y.where(F.col("in_block") > WHOLE_BLOCK).drop("in_block")
         x = x.join(y.select(*by).distinct(), by, "left_semi")
     if k <= 2:
-        found = x.withColumn("k", F.explode(deletions("xv", k))).join(y.withColumn("k", F.explode(deletions("yv", k))), [*by, "k"]).select(*by, "xv", "yv")
+        found = x.withColumn("k", F.explode(deletions("xv", k))).join(shuffled(y.withColumn("k", F.explode(deletions("yv", k)))), [*by, "k"]).select(*by, "xv", "yv")
     else:
         found = _by_segments(x, y, k, by)
     found = found.distinct() if whole is None else found.distinct().unionByName(whole)

@@ -14,7 +14,7 @@ from cairn.functions.text import FLAT, STREET, format_address, format_parts, to_
 from cairn.functions.zips import VARIANTS, zip_candidates
 from cairn.operators.diagnose import problem_examples
 from cairn.operators.match import match_streets
-from cairn.session import materialize, require, staged
+from cairn.session import materialize, require, shuffled, staged
 from cairn.sources.ranges import missing_message, needed_counties
 
 STAGES = ("none", "street_variant", "street", "range_variant", "range")
@@ -27,7 +27,7 @@ def pick_ranges(wanted: DataFrame, ranges: DataFrame) -> DataFrame:
     hold nothing."""
     lo, hi = F.least("fromhn", "tohn"), F.greatest("fromhn", "tohn")
     fits = (F.col("fromhn").isNotNull() & F.col("tohn").isNotNull() & F.col("n").between(lo, hi)) & (F.col("parity").isNull() | (F.col("parity") == "B") | (F.col("parity") == F.when(F.col("n") % 2 == 0, "E").otherwise("O")))
-    found = wanted.join(ranges, ["zip", "street"]).where(fits)
+    found = wanted.join(shuffled(ranges), ["zip", "street"]).where(fits)
     middle = (F.col("fromhn") + F.col("tohn")) / 2
     rank = F.struct(F.abs(F.col("fromhn") - F.col("tohn")).alias("width"), F.abs(F.col("n") - middle).alias("off"), F.col("ord").alias("ord"))
     return found.groupBy("id").agg(F.min(F.struct(rank.alias("rank"), "n", "fromhn", "tohn", "side", "offset_flag", "geometry_wkt")).alias("r")).select("id", "r.n", "r.fromhn", "r.tohn", "r.side", "r.offset_flag", "r.geometry_wkt")
@@ -68,25 +68,25 @@ def geocode(x: DataFrame, ranges: DataFrame, x_id: str = "x_id", ord_col: str =
     options = {"phonetic": phonetic, "fuzzy": fuzzy, "types": types, "directions": directions}
 
     own = distinct.withColumnRenamed("place_zipcode", "zip")
-    found = staged(spark, lambda: match_streets(own, ystreets, "text", "ord", ["zip"], **options).join(own.select(F.col("text").alias("x_id"), "zip"), "x_id").select(F.col("x_id").alias("text"), "zip", F.col("y_ord").alias("ord")), "found")
+    found = staged(spark, lambda: match_streets(own, ystreets, "text", "ord", ["zip"], **options).join(shuffled(own.select(F.col("text").alias("x_id"), "zip")), "x_id").select(F.col("x_id").alias("text"), "zip", F.col("y_ord").alias("ord")), "found")
 
     def among_variants() -> DataFrame:
-        left = distinct.join(found, "text", "left_anti")
+        left = distinct.join(shuffled(found), "text", "left_anti")
         ways = zip_candidates(left, "place_zipcode", variants).where("source_zip_variant_rank > 0").groupBy("source_zip", "zip").agg(F.min("source_zip_variant_rank").alias("rank"))
         there = ways.join(ystreets.select("zip").distinct(), "zip", "left_semi")
         tried = left.join(there, left["place_zipcode"] == there["source_zip"]).withColumn("key", F.concat_ws("\r", "text", "zip"))
         tried = materialize(tried, "tried")
-        late = match_streets(tried, ystreets, "key", "ord", ["zip"], **options).withColumnRenamed("x_id", "key").join(tried.select("key", "text", "zip", "rank"), "key")
+        late = match_streets(tried, ystreets, "key", "ord", ["zip"], **options).withColumnRenamed("x_id", "key").join(shuffled(tried.select("key", "text", "zip", "rank")), "key")
         return late.groupBy("text").agg(F.min(F.struct("rank", "zip", F.col("y_ord").alias("ord"))).alias("b")).select("text", "b.zip", "b.ord")
 
     if variants:
         found = found.unionByName(staged(spark, among_variants, "late"))
-    streets = found.join(ystreets.select("ord", "zip", *(F.col(c).alias(f"matched_{c}") for c in STREET)), ["ord", "zip"]).drop("ord")
+    streets = found.join(shuffled(ystreets.select("ord", "zip", *(F.col(c).alias(f"matched_{c}") for c in STREET))), ["ord", "zip"]).drop("ord")
     streets = streets.withColumn("street", format_parts(*(F.col(f"matched_{c}") for c in STREET)))
-    numbered = streets.join(distinct.select("text", "number_digits"), "text")
+    numbered = streets.join(shuffled(distinct.select("text", "number_digits")), "text")
     wanted = numbered.select(F.col("text").alias("id"), "zip", "street", to_int(F.col("number_digits")).alias("n")).where("n is not null")
     points = staged(spark, lambda: place_in_range(pick_ranges(wanted, refs), offset).select(F.col("id").alias("text"), "lon", "lat"), "points")
-    out = addresses.select("x_id", "text", "place_zipcode").join(streets.withColumnRenamed("zip", "matched_zipcode").drop("street"), "text", "left").join(points, "text", "left")
+    out = addresses.select("x_id", "text", "place_zipcode").join(shuffled(streets.withColumnRenamed("zip", "matched_zipcode").drop("street")), "text", "left").join(shuffled(points), "text", "left")
     wkt = F.when(F.col("lon").isNotNull(), F.format_string("POINT (%.7f %.7f)", "lon", "lat"))
     matched = [f"matched_{c}" for c in STREET]
     out = out.withColumn("matched_geography", wkt)

@@ -15,7 +15,7 @@ from cairn.functions.phonetic import is_ordinal, ordinal_neighbors, street_key
 from cairn.functions.text import FLAT, NUMBER, STREET, format_number, to_int
 from cairn.functions.zips import VARIANTS, choose_zips
 from cairn.operators.fuzzy import close_pairs, nearest_pairs
-from cairn.session import materialize, require
+from cairn.session import materialize, require, shuffled
 
 TYPE_MODES = ("exact", "swap", "compatible", "ignore")
 DIRECTION_MODES = ("exact", "swap", "ignore")
@@ -82,30 +82,30 @@ def match_streets(x: DataFrame, y: DataFrame, x_id: str, y_ord: str, by: Sequenc
     b = keyed(ys).select(*by, "y_ord", "bucket", "yv", "key", F.col("t_rank").alias("yt"), F.col("d_rank").alias("yd"), *(F.col(c).alias(f"y_{c}") for c in ("street_premodifier", "street_name", *kept)))
     t_rank = compatible_rank("", "y_") if types == "compatible" else F.col("xt") + F.col("yt")
     on = [*by, "bucket", "m", "n"]
-    exact = a.withColumns({"m": _token("street_premodifier"), "n": _token("street_name")}).join(b.drop("yv", "key").withColumns({"m": _token("y_street_premodifier"), "n": _token("y_street_name")}), on)
+    exact = a.withColumns({"m": _token("street_premodifier"), "n": _token("street_name")}).join(shuffled(b.drop("yv", "key").withColumns({"m": _token("y_street_premodifier"), "n": _token("y_street_name")})), on)
     exact = exact.withColumns({"t": t_rank, "d": F.col("xd") + F.col("yd")}).where("t is not null")
     key = [*by, *STREET]
     first = exact.groupBy(*key).agg(F.min(F.struct((F.col("t") + F.col("d")).alias("c"), "t", "d", "y_ord")).alias("best")).select(*key, F.col("best.y_ord").alias("y_ord"), F.lit("exact").alias("how"))
     first = materialize(first, "exact_streets")
     # phonetic keys are written too, so that each plan below stays small
-    rest = materialize(a.join(first, key, "left_anti").withColumn("xv", F.lower("street_name")).withColumn("x_key", street_key(F.col("xv"))), "other_streets")
+    rest = materialize(a.join(shuffled(first), key, "left_anti").withColumn("xv", F.lower("street_name")).withColumn("x_key", street_key(F.col("xv"))), "other_streets")
     block = [*by, "bucket"]
     ykeys = materialize(b.select(*block, "key", "yv").distinct(), "y_keys")
     yb = b.drop("key")
     pairs = materialize(nearest_pairs(rest.select(*block, "xv"), ykeys.select(*block, "yv"), fuzzy, block).drop("dist"), "pairs")
     # an ordinal whose number is not in the bucket takes no name that only looks alike
     ordinal = rest.where(is_ordinal(F.col("xv"))).select(*block, "xv", F.col("x_key").alias("key")).distinct()
-    absent = ordinal.join(ykeys.select(*block, "key").distinct(), [*block, "key"], "left_anti").select(*block, "xv")
-    named = pairs.join(absent, [*block, "xv"], "left_anti").withColumn("name_rank", F.lit(0))
+    absent = ordinal.join(shuffled(ykeys.select(*block, "key").distinct()), [*block, "key"], "left_anti").select(*block, "xv")
+    named = pairs.join(shuffled(absent), [*block, "xv"], "left_anti").withColumn("name_rank", F.lit(0))
     words = rest.where(~is_ordinal(F.col("xv"))).select(*block, "xv", F.col("x_key").alias("key")).where("key is not null and key not in ('', '0000')").distinct()
-    heard = words.join(ykeys, [*block, "key"]).select(*block, "xv", "yv")
+    heard = words.join(shuffled(ykeys), [*block, "key"]).select(*block, "xv", "yv")
     if phonetic >= 1:
         near = ordinal.select(*block, "xv", F.explode(ordinal_neighbors(F.col("key"))).alias("key"))
-        heard = heard.unionByName(near.join(ykeys, [*block, "key"]).select(*block, "xv", "yv"))
+        heard = heard.unionByName(near.join(shuffled(ykeys), [*block, "key"]).select(*block, "xv", "yv"))
     names = materialize(named.unionByName(heard.withColumn("name_rank", F.lit(1))).groupBy(*block, "xv", "yv").agg(F.min("name_rank").alias("name_rank")), "names")
-    second = rest.join(names, [*block, "xv"]).join(yb, [*block, "yv"]).withColumns({"t": t_rank, "d": F.col("xd") + F.col("yd")}).where("t is not null")
+    second = rest.join(shuffled(names), [*block, "xv"]).join(shuffled(yb), [*block, "yv"]).withColumns({"t": t_rank, "d": F.col("xd") + F.col("yd")}).where("t is not null")
     second = second.groupBy(*key).agg(F.min(F.struct((F.col("t") + F.col("d")).alias("c"), "name_rank", "y_ord")).alias("best")).select(*key, F.col("best.y_ord").alias("y_ord"), F.when(F.col("best.name_rank") == 0, "name").otherwise("phonetic").alias("how"))
-    return xs.join(first.unionByName(second), key).select("x_id", "y_ord", "how")
+    return xs.join(shuffled(first.unionByName(second)), key).select("x_id", "y_ord", "how")
 
 
 def match_numbers(x: DataFrame, y: DataFrame, x_id: str, y_ord: str, by: Sequence[str] = (), fuzzy: float = 1) -> DataFrame:
